@@ -111,15 +111,21 @@ class Code:
             raise ValueError("an id without a code")
         end = np.cumsum(size)
         start = end - size
-        total = int(end[-1]) if len(ids) else 0
-        room = (total + 7) // 8 + 8
-        at, word = start >> 3, self.codes[ids].astype(np.int64) << (32 - (start & 7) - size)
-        out = np.zeros(room, np.int64)
-        for k in range(4):  # bits of different ids never meet, so sums are unions
-            out += np.bincount(at + k, weights=(word >> (24 - 8 * k)) & 255, minlength=room).astype(np.int64)
-        return out.astype(np.uint8).tobytes(), start[::LANE].astype(np.uint64)
+        if not len(ids):
+            return b"", start.astype(np.uint64)
+        word, over = start >> 6, (start & 63) + size - 64  # over: bits that go on in the next word
+        codes = self.codes[ids].astype(np.uint64)
+        own = np.where(over <= 0, codes << np.minimum(-over, 63).clip(0).astype(np.uint64), codes >> over.clip(0).astype(np.uint64))
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # a word has the start of one code at least
+        out[:-1] = np.bitwise_or.reduceat(own, first)
+        cut = np.flatnonzero(over > 0)
+        out[word[cut] + 1] |= codes[cut] << (64 - over[cut]).astype(np.uint64)
+        return out.astype(">u8").tobytes(), start[::LANE].astype(np.uint64)
 
     def unpack(self, payload: bytes, lanes: np.ndarray, n: int) -> np.ndarray:
+        if not n:
+            return np.zeros(0, np.uint32)
         ids, sizes = self.table()
         raw = np.frombuffer(payload, np.uint8).astype(np.int64)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]

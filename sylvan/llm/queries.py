@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, packing, sharding, toxicity
+from . import decontaminate, huffman, neardup, packing, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": huffman.op2_token_files,
         "op4_best_two_fit": packing.op4_best_two_fit,
         "op7_minimax_shards": sharding.op7_minimax_shards,
+        "op8_exact_topk": topk.op8_exact_topk,
+        "op9_minhash_classes": neardup.op9_minhash_classes,
         "op10_benchmark_scan": decontaminate.op10_benchmark_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_scan": decontaminate.OP10_SQL}
+    return {"op8_exact_topk": topk.OP8_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}

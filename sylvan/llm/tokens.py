@@ -17,14 +17,16 @@ CACHED_CHUNKS = 600_000
 LONGEST_CACHED = 64
 _ODD = re.compile("[\x1c-\x1f]")
 #: A mark between a letter and white space is a word of its own, so it can stand apart: fewer different chunks.
-_MARK = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?])(?=\\s)")
+_MARK = re.compile("([.,;:!?])(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,;:!?])(?=\\s)")
+#: Lower-case letters that no normalisation changes.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff ]*")
 
 
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -37,6 +39,10 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.one_word = self.by_chunk and bool(suffix) and "\\p{L}]+" in pre
+        # The same vocabulary and merges without the steps that change nothing in words of lower-case Latin letters.
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -47,7 +53,9 @@ class ChunkEncoder:
         out: dict[str, bytes] = {}
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            text = " ".join(part)
+            by = self.lean if _LATIN.fullmatch(text) else self.tokenizer
+            ids = np.asarray(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 out.update(zip(part, self.whole(part)))
@@ -60,7 +68,10 @@ class ChunkEncoder:
         if not self.one_word:
             return dict(zip(chunks, self.whole(chunks)))
         plain = [c for c in chunks if c.isalpha()]
-        got = self.words(plain)
+        latin = [c for c in plain if c <= "\u0100" and _LATIN.fullmatch(c)]
+        got = self.words(latin)
+        if len(latin) < len(plain):
+            got.update(self.words([c for c in plain if c not in got]))
         if len(plain) < len(chunks):
             odd = [c for c in chunks if c not in got]
             got.update(zip(odd, self.whole(odd)))

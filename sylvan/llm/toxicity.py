@@ -31,7 +31,7 @@ BUCKETS = 1 << 18
 DIMENSIONS = 12
 SEGMENT = 3
 GRAMS = (3, 4, 5)
-SAMPLE = 8_000
+SAMPLE = 6_000
 SAMPLE_WORDS = 4_000
 #: Rows of a step; passes over the sample, and steps at least where it is small; step size of the embeddings.
 BATCH = 400
@@ -91,11 +91,12 @@ class _Batch:
         size = np.asarray([len(own) for own in texts], np.int64)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         begins = place % SEGMENT == 0
-        self.segment = np.cumsum(begins) - 1
-        self.seg_text = np.repeat(np.arange(len(texts)), size)[begins]
+        self.segment = (np.cumsum(begins) - 1).astype(np.int32)
+        self.seg_text = np.repeat(np.arange(len(texts), dtype=np.int32), size)[begins]
         self.n_seg = np.bincount(self.seg_text, minlength=len(texts))
         self.first = np.cumsum(self.n_seg) - self.n_seg
-        self.buckets, self.each = grams(list(vocabulary))
+        buckets, self.each = grams(list(vocabulary))
+        self.buckets = buckets.astype(np.int32)
         self.starts = np.cumsum(self.each) - self.each
         self.labels, self.weight = labels, weight
 
@@ -108,13 +109,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
         return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
     r = np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    cut = [own for own in (split(t)[:SAMPLE_WORDS] for t in texts)]
-    usable = np.asarray([k for k, own in enumerate(cut) if own], np.int64)
+    usable = np.asarray([k for k, text in enumerate(texts) if text.strip()], np.int64)
     if not len(usable):
         return np.zeros(BUCKETS, np.float32), -30.0
     usable = usable[r.permutation(len(usable))]
-    batches = [_Batch([cut[i] for i in part], labels[part], weight[part] / len(part)) for part in np.array_split(usable, max(1, len(usable) // BATCH))]
-    del cut
+    batches = [_Batch([split(texts[i])[:SAMPLE_WORDS] for i in part], labels[part], weight[part] / len(part)) for part in np.array_split(usable, max(1, len(usable) // BATCH))]
 
     e = r.standard_normal((BUCKETS, DIMENSIONS)) * 0.02
     u = r.standard_normal((2, DIMENSIONS)) * 0.3
@@ -125,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
         for k in r.permutation(len(batches)):
             x = batches[k]
             direction = u[1] - u[0]
-            gram = e @ direction
+            gram = np.einsum("ij,j->i", e, direction)  # without threads of a BLAS
             score = np.add.reduceat(gram[x.buckets], x.starts) / x.each
             logits = np.bincount(x.segment, weights=score[x.words]) / SEGMENT + (b[1] - b[0])
             part = np.zeros(len(logits))
@@ -138,7 +137,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
                 part[top] += (p - x.labels) * x.weight
             by_word = np.bincount(x.words, weights=(part / SEGMENT)[x.segment], minlength=len(x.each)) / x.each
             by_gram = np.bincount(x.buckets, weights=np.repeat(by_word, x.each), minlength=BUCKETS)
-            toward = by_gram @ e
+            toward = np.einsum("i,ij->j", by_gram, e)
             norm = np.sqrt(direction @ direction)
             at = np.flatnonzero(by_gram)
             sums[0][at] += by_gram[at] ** 2
