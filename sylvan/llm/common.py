@@ -79,7 +79,7 @@ def write_file(uri: str, chunks: Iterator[bytes]) -> int:
     fs, path = _fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     n = 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:  # a name that ends in .gz is no wish
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, neardup, packing, sharding, topk, toxicity
+from . import decontaminate, html, huffman, neardup, packing, sharding, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_token_files": huffman.op2_token_files,
+        "op3_warc": warc.op3_warc,
         "op4_best_two_fit": packing.op4_best_two_fit,
+        "op6_main_text": html.op6_main_text,
         "op7_minimax_shards": sharding.op7_minimax_shards,
         "op8_exact_topk": topk.op8_exact_topk,
         "op9_minhash_classes": neardup.op9_minhash_classes,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": topk.OP8_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op8_exact_topk": topk.OP8_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}
