@@ -33,6 +33,8 @@ LANE = 64
 BLOCK_IDS = 1 << 19
 MAGIC = b"SYLHUF01"
 NO_ID = -(1 << 63)
+#: Instead of an id's width: the row has a task's counts.
+COUNTS = 0
 
 
 # --- the code ---------------------------------------------------------------------------------------------------------------------
@@ -95,7 +97,7 @@ class Code:
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For every window of MAX_BITS bits: the id it begins with, and that code's length."""
         if self._table is None:
-            ids, sizes = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.int64)
+            ids, sizes = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.uint8)
             used = np.flatnonzero(self.lengths)
             order = used[np.lexsort((used, self.lengths[used]))]
             spread = 1 << (MAX_BITS - self.lengths[order].astype(np.int64))
@@ -127,14 +129,14 @@ class Code:
         if not n:
             return np.zeros(0, np.uint32)
         ids, sizes = self.table()
-        raw = np.frombuffer(payload, np.uint8).astype(np.int64)
+        raw = np.frombuffer(payload + bytes(MAX_BITS * LANE // 8 + 8), np.uint8).astype(np.uint32)  # the last lane may run on
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
         out = np.zeros((len(lanes), LANE), np.uint32)
-        at, last = lanes.astype(np.int64), len(window) - 1
+        at = lanes.astype(np.int64)
         for k in range(LANE):
-            got = (window[np.minimum(at >> 3, last)] >> (32 - MAX_BITS - (at & 7))) & ((1 << MAX_BITS) - 1)
+            got = (window[at >> 3] >> (32 - MAX_BITS - (at & 7)).astype(np.uint32)) & np.uint32((1 << MAX_BITS) - 1)
             out[:, k] = ids[got]
-            at = at + sizes[got]
+            at += sizes[got]
         return out.reshape(-1)[:n]
 
 
@@ -187,27 +189,29 @@ class Reader:
 
 
 def _tokenise(tokenizer: str, end_id: int):
+    """A row for each document, and at last one for the task: its counts by id."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = tokens.encoder(tokenizer)
-        kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.asarray([end_id], "<u4").tobytes()
+        size = max(enc.size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        end, total = np.asarray([end_id], "<u4").tobytes(), np.zeros(size, np.int64)
         for pdf in batches:
-            ids = [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in enc.encode(pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "width": int(kind[2])})
+            ids = [np.frombuffer(b + end, "<u4").astype(kind) for b in enc.encode(pdf["text"])]
+            if ids:
+                total += np.bincount(np.concatenate(ids), minlength=size)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() for x in ids], "width": int(kind[2])})
+        yield pd.DataFrame({"doc_id": [None], "ids": [total.tobytes()], "width": [COUNTS]})
 
     return run
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
     for pdf in batches:
-        for width, own in pdf.groupby("width"):
-            got = np.bincount(np.frombuffer(b"".join(own["ids"]), f"<u{width}"))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"id": used, "n": total[used]})
+        for raw in pdf["ids"]:
+            total = np.frombuffer(raw, np.int64)
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"id": used, "n": total[used]})
 
 
 def _write(lengths: bytes, folder: str):
@@ -248,10 +252,10 @@ def write(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, tokeniz
     """
     n = common.partitions(spark)
     ids = scratch.table(common.documents(docs).mapInPandas(_tokenise(tokenizer, end_id), "doc_id long, ids binary, width int"), "ids")
-    counts = ids.select("ids", "width").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
+    counts = ids.where(F.col("width") == COUNTS).select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    ordered = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
+    ordered = ids.where(F.col("width") != COUNTS).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
     manifest = scratch.table(ordered.mapInPandas(_write(code_lengths(total).tobytes(), scratch.path("files")), "part int, uri string, docs long, ids long, bytes long"), "manifest")
     scratch.drop("ids")
     return manifest

@@ -5,11 +5,14 @@ A document's set holds the distinct hashes of its word shingles.  One hash per s
 ``ROWS`` bins make the key of a band; documents with a key in common share a bucket.  At a similarity of 0.8 a pair shares no bucket
 with a probability of 3e-6, and no cap is set on buckets.
 
+Nodes also carry an odd sketch and four bits of each bin.  Pairs whose sizes or odd sketches rule a link out, or whose bins differ in more places than a pair at the limit would
+at ``DEVIATIONS`` standard deviations (one such pair in 50 million), are no candidates; this is a condition of the join that makes them.
+
 Documents with equal sets are one node from the start.  A bucket of n nodes gives n - 1 candidate edges, from its smallest id to the others,
 not all pairs.  Every edge is confirmed on the full sets.  A star can miss links between nodes that its centre isn't linked with, so
-buckets that still hold several components go on: with as many pairs left as a few times the bucket rows, every node outside the
-bucket's first component is compared with all nodes of other components; else one more star is drawn first, from a node that has
-been no centre yet.  Nothing is dropped, and the pairs compared stay in proportion to the bucket rows.
+buckets that still hold several components go on: with no more than ``LAST_PAIRS`` pairs left for a bucket row, every node outside the
+bucket's largest component meets all nodes of other components; else one more star is drawn first, from a node that has been no centre
+yet.  Nothing is dropped, and the pairs looked at stay in proportion to the bucket rows.
 
 Components come from alternating large-star and small-star steps on tables in the shared folder.
 
@@ -33,8 +36,13 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Pairs still to be compared, for each row of the buckets, up to which they are compared in one go.
-LAST_PAIRS = 4
+#: Pairs of a bucket still to be looked at, for each row of the buckets, up to which all are looked at in one go.
+LAST_PAIRS = 64
+#: Longs that hold four bits of every bin; the standard deviations from 0.8 at which a pair's bins differ too much to be worth a comparison.
+DIGESTS = BINS // 16
+DEVIATIONS = 5.5
+#: Longs of the odd sketch, a parity for each of so many bits: two sets differ in as many shingles at least as their odd sketches in bits.
+ODD = 16
 PROBES = 256
 
 _random = np.random.default_rng(9)
@@ -116,9 +124,30 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    rows = sketch(own).reshape(BANDS, ROWS)
-    return _mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _U(_BASE)).view(np.int64)
+def bands(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands, and the digests of the bins."""
+    bins = sketch(own)
+    keys = _mix((bins.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _U(_BASE)).view(np.int64)
+    digests = ((bins >> _U(60)).reshape(DIGESTS, 16) << (_U(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+    odd = np.packbits((np.bincount((own & _U(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1).astype(np.uint8)).view(np.int64)
+    return keys, np.concatenate([digests, odd])
+
+
+def _worth(a: str, b: str, percent: int) -> F.Column:
+    """Whether structs a and b (n, d: digests and odd sketch) can be linked."""
+    same = percent / 100
+    size_a, size_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.lit(0)
+    for k in range(DIGESTS):
+        x = F.col(f"{a}.d")[k].bitwiseXOR(F.col(f"{b}.d")[k])
+        for by in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    apart = sum((F.bit_count(F.col(f"{a}.d")[k].bitwiseXOR(F.col(f"{b}.d")[k])) for k in range(DIGESTS, DIGESTS + ODD)), F.lit(0))
+    filled = BINS * (1 - F.pow(F.lit(1 - 1 / BINS), F.least(size_a, size_b)))
+    p = (1 - same) * 15 / 16
+    most = BINS * (p + DEVIATIONS * (p * (1 - p)) ** 0.5 / F.sqrt(filled))
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b)) & (differ <= most)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -133,14 +162,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def _sketches(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, one, two, keys = [], [], [], []
+            n, one, two, keys, digests = [], [], [], [], []
             for text in pdf["text"]:
                 own = shingles(text, words)
                 n.append(len(own))
                 one.append(int(_mix(own + _U(1)).sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(_mix(own ^ _U(_BASE)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(bands(own) if len(own) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "one": one, "two": two, "keys": keys})
+                got = bands(own) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                keys.append(got[0])
+                digests.append(got[1])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "one": one, "two": two, "keys": keys, "d": digests})
 
     return run
 
@@ -184,43 +215,43 @@ def components(spark: SparkSession, edges: DataFrame, scratch: common.Scratch, n
 def classes(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = common.documents(docs)
-    base = scratch.table(docs.mapInPandas(_sketches(words), "doc_id long, n long, one long, two long, keys array<long>"), "base")
+    base = scratch.table(docs.mapInPandas(_sketches(words), "doc_id long, n long, one long, two long, keys array<long>, d array<long>"), "base")
     same = ["one", "two", "n"]
-    nodes = scratch.table(base.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
-    rows = nodes.select("node", F.explode("keys").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
-    member = scratch.table(rows.join(sizes.select("bucket", "centre"), "bucket").select("bucket", "node", "centre"), "members")
-    texts = scratch.table(docs.withColumnRenamed("doc_id", "node").join(member.select("node").distinct(), "node", "left_semi"), "texts")
+    nodes = scratch.table(base.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("d").alias("d")), "nodes")
+    rows = nodes.select(F.explode("keys").alias("bucket"), "node")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    member = rows.join(sizes, "bucket").join(nodes.select("node", "n", "d"), "node")
+    member = scratch.table(member.select("bucket", "size", "first", F.struct("node", "n", "d").alias("b")), "members")
+    texts = scratch.table(docs.withColumnRenamed("doc_id", "node").join(member.select("b.node").distinct(), "node", "left_semi"), "texts")
     n_rows = member.count()
 
     # First each node's smallest centre alone: where that is linked, the node's other edges are needless.
-    pairs = member.groupBy("node").agg(F.min("centre").alias("u")).where("u <> node").select("u", F.col("node").alias("v"))
+    centre = member.where("b.node = first").select("bucket", F.col("b").alias("a"))
+    pairs = member.where("b.node <> first").join(centre, "bucket").where(_worth("a", "b", percent)).groupBy(F.col("b.node").alias("v")).agg(F.min("a.node").alias("u"))
     links = scratch.table(_verify(pairs, texts, words, percent).distinct(), "links-0")
     roots = components(spark, links, scratch, "roots-0")
     tried, k = None, 0
     while n_rows:
-        state = member.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        by = state.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-        state = state.join(by.select("bucket", "first", "size"), "bucket").withColumn("out", F.col("root") != F.col("first.root"))
+        state = member.withColumn("node", F.col("b.node")).join(roots, "node", "left").select("bucket", "b", "size", "first", F.coalesce("root", "node").alias("root"))
+        by = state.groupBy("bucket").agg(F.mode("root").alias("home"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        state = state.join(by.select("bucket", "home"), "bucket").withColumn("open", F.col("root") != F.col("home"))
         if tried is not None:
-            state = state.join(tried.withColumn("tried", F.lit(True)), ["bucket", "node"], "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
-        else:
-            state = state.withColumn("tried", F.lit(False))
-        state = scratch.table(state.select("bucket", "node", "root", "size", "out", "tried", F.col("first.node").alias("first")), f"state-{k}")
-        left = state.where("out and not tried").agg(F.sum("size")).first()[0] or 0
+            state = state.withColumn("node", F.col("b.node")).join(tried.withColumn("tried", F.lit(True)), ["bucket", "node"], "left").withColumn("open", F.col("open") & F.col("tried").isNull())
+        state = scratch.table(state.select("bucket", "b", "size", "root", "open"), f"state-{k}")
+        left = state.where("open").agg(F.sum("size")).first()[0] or 0
         if not left:
             break
-        if left <= LAST_PAIRS * n_rows:
-            centre = state.where("out and not tried").select("bucket", F.col("node").alias("u"), F.col("root").alias("root_u"))
-        else:  # one more star, from the least node that has been no centre
-            centre = state.where("out and not tried").groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("c")).select("bucket", F.col("c.node").alias("u"), F.col("c.root").alias("root_u"))
-        fresh = state.join(centre, "bucket").where("root <> root_u and node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        more = scratch.table(_verify(fresh, texts, words, percent).distinct(), f"links-{k + 1}")
-        links = links.unionByName(more)
+        last = left <= LAST_PAIRS * n_rows
+        centre = state.where("open").select("bucket", F.col("b").alias("a"), F.col("root").alias("root_a"))
+        if not last:  # one more star, from the least node that has been no centre
+            centre = centre.groupBy("bucket").agg(F.min_by(F.struct("a", "root_a"), "a.node").alias("c")).select("bucket", "c.*")
+        fresh = state.join(centre, "bucket").where(F.col("root") != F.col("root_a")).where(_worth("a", "b", percent))
+        fresh = fresh.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        links = links.unionByName(scratch.table(_verify(fresh, texts, words, percent).distinct(), f"links-{k + 1}"))
         roots = components(spark, links, scratch, f"roots-{k + 1}")
-        if left <= LAST_PAIRS * n_rows:
+        if last:
             break
-        now = centre.select("bucket", F.col("u").alias("node"))
+        now = centre.select("bucket", F.col("a.node").alias("node"))
         tried = scratch.table(now if tried is None else tried.unionByName(now), f"tried-{k}")
         k += 1
     scratch.drop("members", "texts")

@@ -108,9 +108,10 @@ class ChunkEncoder:
         if len(self.cache) + len(seen) > CACHED_CHUNKS:
             self.cache.clear()
         cache = self.cache
-        got = self.learn([c for c in seen if c not in cache])
+        got = self.learn(list(seen - cache.keys()))
         cache.update(got)
-        out = [self.whole([c])[0] if isinstance(c, str) else b"".join([cache[x] for x in c]) for c in group]
+        get = cache.__getitem__
+        out = [self.whole([c])[0] if isinstance(c, str) else b"".join(map(get, c)) for c in group]
         if len(cache) > CACHED_CHUNKS:
             cache.clear()
         for c in [c for c in got if len(c) > LONGEST_CACHED]:
