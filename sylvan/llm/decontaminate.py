@@ -156,6 +156,29 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int
     return common.documents(docs).mapInPandas(run, schema + ", text string" * cut)
 
 
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = 2) -> DataFrame:
+    """Rows, with all of their columns, without those that hit ``most`` items or more; of the others the hit passages are cut out."""
+    machines = [_Id(m) for m in _machines(spark, benchmark, width)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hit: list = [None] * len(pdf)
+            items: list[set[str]] = [set() for _ in range(len(pdf))]
+            for m in machines:
+                machine = _machine(m)
+                for k, text in enumerate(pdf["text"]):
+                    if text:
+                        got = Scan(machine, text)
+                        hit[k] = got.hit if hit[k] is None else hit[k] | got.hit
+                        items[k] |= got.items
+            pdf["text"] = [_without(t, spans(t, h)) if i else t for t, h, i in zip(pdf["text"], hit, items)]
+            if "n_chars" in pdf:
+                pdf["n_chars"] = [len(t) if i else n for t, n, i in zip(pdf["text"], pdf["n_chars"], items)]
+            yield pdf[[len(i) < most for i in items]]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def _without(text: str, cut: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for a, b in cut:

@@ -262,6 +262,12 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, words
     )
 
 
+def distinct(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all of their columns, of one document of each class: that with the smallest id."""
+    gone = classes(spark, docs, scratch, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def op9_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all ``documents`` by 2-word shingles at 0.8."""
     found = classes(spark, common.read(spark, sf_dir, "documents"), common.Scratch(spark, "op9"), words=2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, huffman, neardup, packing, sharding, topk, toxicity, warc
+from . import decontaminate, html, huffman, neardup, packing, pii, sharding, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": huffman.op2_token_files,
         "op3_warc": warc.op3_warc,
         "op4_best_two_fit": packing.op4_best_two_fit,
+        "op5_personal_data": pii.op5_personal_data,
         "op6_main_text": html.op6_main_text,
         "op7_minimax_shards": sharding.op7_minimax_shards,
         "op8_exact_topk": topk.op8_exact_topk,

@@ -68,7 +68,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for n in GRAMS:
         h = np.zeros(len(data), np.uint64)
         for k in range(n):
-            h[: len(data) - k] += value[k:] * _PLACE[k]
+            h[: max(len(data) - k, 0)] += value[k:] * _PLACE[k]
         at = np.flatnonzero(left >= n)
         buckets.append(_mix(h[at] + np.uint64(n)))
         owner.append(word[at])
@@ -208,21 +208,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return train([r["text"] for r in rows], np.asarray([r["toxic"] for r in rows]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with ``keep`` its other columns too."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    own = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))) if keep else common.documents(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*shared.value)
         for pdf in batches:
-            got = scorer.score(pdf["text"].tolist())
-            yield pdf.assign(score=got) if keep else pd.DataFrame({"doc_id": pdf["doc_id"], "score": got})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scorer.score(pdf["text"].tolist())})
 
-    from pyspark.sql import types as T
+    return common.documents(docs).mapInPandas(run, "doc_id long, score double")
 
-    schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]) if keep else "doc_id long, score double"
-    return own.mapInPandas(run, schema)
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.5) -> DataFrame:
+    """The rows, with all of their columns, that score below the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(*shared.value)
+        for pdf in batches:
+            yield pdf[scorer.score([t or "" for t in pdf["text"]]) < limit]
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
