@@ -65,6 +65,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """At a task's end: what its caches held goes back to the system, as the worker may stay for other work."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 # --- files in the shared folder, from executors; any store that Arrow's file systems reach ---------------------------------------
 
 

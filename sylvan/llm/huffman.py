@@ -201,6 +201,7 @@ def _tokenise(tokenizer: str, end_id: int):
             if ids:
                 total += np.bincount(np.concatenate(ids), minlength=size)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() for x in ids], "width": int(kind[2])})
+        enc.rest()
         yield pd.DataFrame({"doc_id": [None], "ids": [total.tobytes()], "width": [COUNTS]})
 
     return run

@@ -106,6 +106,7 @@ def _pieces(tokenizer: str, end_id: int, size: int):
                     rows.append((doc, piece, at // 4, n, zlib.crc32(own), task, int(seen[n])))
                     seen[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "own_rank"])
+        enc.rest()
 
     return run
 

@@ -13,7 +13,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHED_CHUNKS = 600_000
+from . import common
+
+CACHED_CHUNKS = 450_000
 LONGEST_CACHED = 64
 _ODD = re.compile("[\x1c-\x1f]")
 #: A mark between a letter and white space is a word of its own, so it can stand apart: fewer different chunks.
@@ -95,7 +97,7 @@ class ChunkEncoder:
         for text in texts:
             group.append(self.chunks(text))
             held += len(text)
-            if held > 4_000_000:
+            if held > 1_500_000:
                 out += self._encode(group)
                 group, held = [], 0
         return out + self._encode(group)
@@ -119,6 +121,12 @@ class ChunkEncoder:
         return out
 
 
+    def rest(self) -> None:
+        """Empty the cache at a task's end."""
+        self.cache.clear()
+        common.give_back()
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 

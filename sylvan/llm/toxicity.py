@@ -38,7 +38,7 @@ BATCH = 400
 EPOCHS = 24
 LEAST_STEPS = 120
 RATE = 0.5
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 _random = np.random.default_rng(20)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -160,7 +160,7 @@ class Scorer:
         for k, text in enumerate(texts):
             group.append((k, split(text)))
             held += len(group[-1][1])
-            if held > 300_000 or k == len(texts) - 1:
+            if held > 100_000 or k == len(texts) - 1:
                 self._score(group, out)
                 group, held = [], 0
         return out
@@ -216,6 +216,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         scorer = Scorer(*shared.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scorer.score(pdf["text"].tolist())})
+        scorer.cache.clear()
+        common.give_back()
 
     return common.documents(docs).mapInPandas(run, "doc_id long, score double")
 
@@ -228,6 +230,8 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.5)
         scorer = Scorer(*shared.value)
         for pdf in batches:
             yield pdf[scorer.score([t or "" for t in pdf["text"]]) < limit]
+        scorer.cache.clear()
+        common.give_back()
 
     return docs.mapInPandas(run, docs.schema)
 
