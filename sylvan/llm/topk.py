@@ -209,7 +209,7 @@ def search(queries: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
                 rows = [(b.vec_id, rank, int(i), int(s)) for b in best for rank, (i, s) in enumerate(zip(b.ids, b.scores), 1)]
                 yield pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
 
-    slim = vectors(queries).repartition(F.xxhash64("vec_id"))
+    slim = vectors(queries).repartition(common.partitions(queries.sparkSession), F.xxhash64("vec_id"))  # a number of its own, or small query sets meet in one task
     return slim.mapInPandas(run, "query_id long, rank int, vec_id long, score long")
 
 
