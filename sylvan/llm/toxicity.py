@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams (and of itself), hashed into ``BUCKETS`` embeddings; a segment of ``SEGMENT`` words is the mean
 of its words' means (the last segment of a text is filled up with words of no weight); a linear softmax over that mean gives the segment's classes.  A text is as toxic as its most toxic segment:
-a short insult in a very long text counts as much as in a short one.  Misspellings share most n-grams with what was learned.
+a short insult in a very long text counts as much as in a short one.  Misspellings share most n-grams with what was learned.  Text without
+white space (Chinese, joined words, long addresses) counts as overlapping pieces, all of which are scored.
 
 Training is joint: the softmax and the embeddings get gradients from the same loss.  As the softmax is linear in the mean, the loss
 gradient of an n-gram's embedding is one number times the softmax direction, so a step needs the sums of these numbers alone.
@@ -39,6 +40,10 @@ EPOCHS = 24
 LEAST_STEPS = 120
 RATE = 0.5
 CACHED_WORDS = 200_000
+#: Bytes up to which a chunk between white space is one word; characters of the pieces of longer ones, of which each begins half a piece after the last.
+LONG = 64
+PIECE = 16
+_MARKS = ".,;:!?\"'()[]"
 
 _random = np.random.default_rng(20)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -47,7 +52,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split(text: str) -> list[str]:
-    return text.lower().split()
+    """Words in lower case; chunks of more than ``LONG`` bytes as overlapping pieces, so that every n-gram of them is in one."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG // 4:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONG // 4 or len((bare := w.strip(_MARKS)).encode("utf-8", "surrogatepass")) <= LONG:
+            out.append(w)
+        else:
+            out += [bare[at : at + PIECE] for at in range(0, len(bare) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,7 +72,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' n-grams one after the other, and how many each word has.  Marks around a word don't count."""
-    raw = [b"<" + w.strip(".,;:!?\"'()[]").encode("utf-8", "surrogatepass")[:64] + b">" for w in words]
+    raw = [b"<" + w.strip(_MARKS).encode("utf-8", "surrogatepass") + b">" for w in words]
     size = np.asarray([len(r) for r in raw], np.int64)
     ends = np.cumsum(size)
     data = np.frombuffer(b"".join(raw), np.uint8)

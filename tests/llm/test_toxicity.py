@@ -28,6 +28,18 @@ def test_held_out_accuracy_and_misspellings():
     assert odd_one > 0.5 > plain
 
 
+def test_all_of_a_text_without_spaces_counts():
+    texts, labels = corpus(1200, 1)
+    scorer = toxicity.Scorer(*toxicity.train([t.replace(" ", "_") if k % 8 < 4 else t for k, t in enumerate(texts)], labels))
+    clean = corpus(2, 2)[0][1].replace(" ", "_")[:300]
+    early, late, plain = scorer.score([f"blockhead_{clean}", f"{clean}_blockhead_{clean}", f"{clean}_{clean}"])
+    assert early > 0.5 and late > 0.5 > plain
+    word = "".join(chr(0x4E00 + k) for k in range(500))
+    grams = {word[k : k + 5] for k in range(496)}
+    assert {p[k : k + 5] for p in toxicity.split(word) for k in range(len(p) - 4)} == grams
+    assert toxicity.split("A " + "b" * 64 + ".") == ["a", "b" * 64 + "."]
+
+
 def test_odd_tables(spark):
     docs = odd.docs(spark)
     labels = spark.createDataFrame([(7, 0, 0), (8, 0, 1), (8, 1, 0), (3, 1, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
