@@ -9,8 +9,8 @@ Training is joint: the softmax and the embeddings get gradients from the same lo
 gradient of an n-gram's embedding is one number times the softmax direction, so a step needs the sums of these numbers alone.
 The first quarter of the passes spreads a text's error over all of its segments, the others give it to its most toxic one.
 
-The learning sample is bounded: ``SAMPLE`` labelled rows at most (lowest hash of doc_id first, toxic rows up to half), of which each gives
-``SAMPLE_WORDS`` words at most for learning.  Scoring reads every whole text.
+The learning sample is bounded: ``SAMPLE`` labelled rows at most (lowest hash of doc_id first, toxic rows up to half), each with its whole
+text, so the driver's memory grows with the texts of these rows.  Scoring reads every whole text.
 
 Defined results: a null or empty text scores as a text of no words (the softmax's bias); rows labelled more than once with different
 labels count as toxic; without any toxic or any other labelled row all scores are the share of toxic ones (0.0 without labels);
@@ -33,7 +33,6 @@ DIMENSIONS = 12
 SEGMENT = 3
 GRAMS = (3, 4, 5)
 SAMPLE = 6_000
-SAMPLE_WORDS = 4_000
 #: Rows of a step; passes over the sample, and steps at least where it is small; step size of the embeddings.
 BATCH = 400
 EPOCHS = 24
@@ -128,7 +127,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     if not len(usable):
         return np.zeros(BUCKETS, np.float32), -30.0
     usable = usable[r.permutation(len(usable))]
-    batches = [_Batch([split(texts[i])[:SAMPLE_WORDS] for i in part], labels[part], weight[part] / len(part)) for part in np.array_split(usable, max(1, len(usable) // BATCH))]
+    batches = [_Batch([split(texts[i]) for i in part], labels[part], weight[part] / len(part)) for part in np.array_split(usable, max(1, len(usable) // BATCH))]
 
     e = r.standard_normal((BUCKETS, DIMENSIONS)) * 0.02
     u = r.standard_normal((2, DIMENSIONS)) * 0.3
@@ -218,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         return train([], np.zeros(0))
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(list(keep.items()), "doc_id long, toxic int"))  # bounded: sample rows
-    rows = common.documents(docs).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.substring_index("text", " ", SAMPLE_WORDS)).alias("text")).collect()
+    rows = common.documents(docs).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], np.asarray([r["toxic"] for r in rows]))
 

@@ -40,6 +40,16 @@ def test_all_of_a_text_without_spaces_counts():
     assert toxicity.split("A " + "b" * 64 + ".") == ["a", "b" * 64 + "."]
 
 
+def test_learns_from_the_end_of_long_texts(spark):
+    texts = [" ".join(corpus(2, k)[0][1].split()[:9]) + " " * 4100 + ("blockhead" if k % 2 else "seldom") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    bad, good = toxicity.Scorer(*toxicity.learn(odd.docs(spark, texts), labels)).score(["blockhead", "seldom"])
+    assert bad > 0.5 > good
+    filler = " ".join(["seldom"] * 4100)
+    bad, good = toxicity.Scorer(*toxicity.train([filler + " blockhead", filler] * 6, np.asarray([1, 0] * 6))).score(["blockhead", "seldom"])
+    assert bad > 0.5 > good
+
+
 def test_odd_tables(spark):
     docs = odd.docs(spark)
     labels = spark.createDataFrame([(7, 0, 0), (8, 0, 1), (8, 1, 0), (3, 1, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
