@@ -2,7 +2,7 @@
 
 The base patterns (e-mail, IP, card, phone) give each kind's leftmost matches, found in linear time.  The field adds spans apart from
 them: telephone numbers without a plus, cards with other separators, spelled-out e-mail addresses, IPv6 addresses.  It scores whole
-candidate segments of up to ``LONGEST`` tokens by features of the whole span (shape, digits, checksum, separators, neighbours), and dynamic
+candidate segments of up to ``LONGEST`` tokens (and whole spelled-out addresses of any length) by features of the whole span (shape, digits, checksum, separators, neighbours), and dynamic
 programming over a window's positions chooses boundaries and kinds together.  Segments without a digit, an at sign or a spelled-out
 one can't be entities, so only windows around those are decoded, which is the same as decoding all of the text.  Weights are trained
 in numpy by conditional likelihood (forward sums over segmentations) on sentences made from ``_FORMS`` with a fixed seed.
@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 15
+#: Tokens of a segment at most, but for spelled addresses, which may be of any length: eight groups of an IPv6 address have 39 at most
+#: (four characters that are tokens each, seven colons), and nineteen digits of a card each set apart have 37.
+LONGEST = 40
+#: Characters kept around a trigger: a segment of one-character tokens, and a few words besides.
+MARGIN = LONGEST + 24
 #: The score above "no entity" that an added span needs.
 LEAST = 1.0
 
@@ -79,6 +83,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]", re.I)
 _AT = re.compile(r"[\[({<]\s?at\s?[\])}>]", re.I)
+_SPELLED = re.compile(r"[\w.+-]+ ?[\[({<] ?at ?[\])}>] ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w+)+", re.I)
+_SPELLED_END = re.compile(r" ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w+)+", re.I)
+_MORE = re.compile(r"(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w", re.I)
 _HINTS = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "server": "ip"}
 
 
@@ -101,8 +108,11 @@ def features(tokens: list[str], i: int, j: int, text: str) -> list[str]:
         out.append("dialled")
     if re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})", text) or re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f:]*", text):
         out.append("sixteenths")
-    if _AT.search(text) and re.fullmatch(r"[\w.+-]+ ?[\[({<] ?at ?[\])}>] ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w+)+", text, re.I):
-        out.append("spelled")
+    if _AT.search(text) and _SPELLED.fullmatch(text):
+        if i and tokens[i - 1] in "._+-" or _MORE.match("".join(tokens[j : j + 8])):
+            out.append("part")  # of a longer address
+        else:
+            out.append("spelled")
     before = next((t for t in reversed(tokens[max(0, i - 4) : i]) if t.isalpha()), "").lower()
     if before in _HINTS:
         out.append(f"hint={_HINTS[before]}")
@@ -111,6 +121,19 @@ def features(tokens: list[str], i: int, j: int, text: str) -> list[str]:
     return out
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of spelled-out addresses, in linear time: both sides end at the next bracketed at."""
+    for m in _AT.finditer(text):
+        start = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        stop = start
+        while start and (text[start - 1] in ".+-_" or text[start - 1].isalnum()):
+            start -= 1
+        while start < stop and not text[start].isalnum() and text[start] != "+":
+            start += 1
+        if start < stop and (end := _SPELLED_END.match(text, m.end())):
+            yield start, end.end()
+
+
 def segments(tokens: list[str]) -> list[tuple[int, int, list[str]]]:
     """Candidate segments (i, j, features) of a window."""
     out = []
@@ -122,6 +145,13 @@ def segments(tokens: list[str]) -> list[tuple[int, int, list[str]]]:
                 break
             if found := features(tokens, i, j, text):
                 out.append((i, j, found))
+    text = "".join(tokens)
+    if _AT.search(text):
+        at = {int(p): k for k, p in enumerate(np.cumsum([0, *map(len, tokens)]))}
+        for a, b in spelled(text):
+            i, j = at.get(a), at.get(b)
+            if i is not None and j is not None and j - i > LONGEST and (found := features(tokens, i, j, text[a:b])):
+                out.append((i, j, found))
     return out
 
 
@@ -188,6 +218,7 @@ def _form(r: random.Random) -> tuple[str, str | None]:
     forms = [
         (f"({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}-{d(3)}-{d(4)}", "phone"), (f"0{d(2)} {d(3)} {d(4)}", "phone"), (f"00{d(2)} {d(2)} {d(7)}", "phone"), (f"{d(3)}.{d(3)}.{d(4)}", "phone"),
         (quads(card, "."), "card"), (quads(card, "/"), "card"), (f"{_word(r)}{at}{_word(r)}{dot}com", "email"), (f"{_word(r)}.{_word(r)}{at}{_word(r)}{dot}org", "email"),
+        (f"{_word(r)}{r.choice('._')}{_word(r)}{r.choice(['', d(2)])}{at}{_word(r)}{r.choice(['', '-' + _word(r)])}{dot}com", "email"), (f"{r.choice(['', _word(r) + '.'])}{_word(r)}{at}{dot.join(_word(r) for _ in range(r.randint(2, 6)))}{dot}uk", "email"),
         (":".join(format(r.randrange(65536), "x") for _ in range(8)), "ip"), (f"2001:db8::{r.randrange(1, 999):x}", "ip"), (f"fe80::{r.randrange(4096, 9999)}:{r.randrange(99)}", "ip"),
         (quads(wrong, "."), None), (wrong, None), (quads(wrong, " "), None), (d(r.randint(1, 12)), None), (f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", None), (f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", None),
         (f"{d(2)}.{d(2)}", None), (f"{r.randint(10, 23)}:{d(2)}:{d(2)}", None), (f"${d(3)},{d(3)}", None), (f"{d(3)} {_word(r)} {d(2)}", None), (f"{_word(r)}@{_word(r)}", None), (f"{d(1)} {d(2)} {d(3)}", None), (f"{_word(r)}{d(5)}", None), (f"{d(4)}-{d(4)}", None), (f"{d(2)}%", None), (f"{d(10)}:{d(8)}", None),
@@ -229,16 +260,19 @@ def train(seed: int = 5, sentences: int = 500, epochs: int = 6) -> dict[str, np.
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text that hold all tokens of any segment with a trigger."""
+    """Stretches of text that hold all tokens of any segment with a trigger, and some around it."""
+    found = [(m.start(), m.end()) for m in _TRIGGER.finditer(text)]
+    if _AT.search(text):
+        found = sorted([*found, *spelled(text)])
     last = None
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 48), min(len(text), m.end() + 48)
-        while a and text[a - 1].isalnum() and m.start() - a < 80:
+    for start, end in found:
+        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
+        while a and text[a - 1].isalnum() and start - a < MARGIN + 32:
             a -= 1
-        while b < len(text) and text[b].isalnum() and b - m.end() < 80:
+        while b < len(text) and text[b].isalnum() and b - end < MARGIN + 32:
             b += 1
         if last and a <= last[1]:
-            last = (last[0], b)
+            last = (min(a, last[0]), max(b, last[1]))
         else:
             if last:
                 yield last

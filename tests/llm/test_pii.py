@@ -3,6 +3,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from sylvan.llm import pii
 from tests.llm import odd
@@ -63,6 +64,20 @@ def test_field_on_fresh_sentences():
     assert right / (right + wrong) > 0.95
 
 
+@pytest.mark.parametrize(
+    "kind, form",
+    [
+        ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "fe80:1a2b:3c4d:5e6f:7a8b:9c0d:1e2f:3a4b"), ("ip", "1a2b:3c4d:5e6f:7a8b:9c0d:1e2f:3a4b:5c6d"), ("ip", "2001:db8::1f"),
+        ("email", "jane.doe42 [at] example [dot] com"), ("email", "user [at] example [dot] co [dot] uk"), ("email", "john_smith (at) uni-bonn (dot) de"),
+        ("email", "anna.lena.maria [at] mail [dot] institute [dot] department [dot] faculty [dot] university [dot] example [dot] co [dot] uk"),
+    ],
+)
+def test_long_forms_are_found_whole(kind, form):
+    finder = pii.Finder(pii.train())
+    for left, right in (("some words ", " and more"), ("", "")):
+        assert finder.spans(left + form + right)[1] == [(kind, len(left), len(left) + len(form))]
+
+
 def test_tables_and_masks(spark):
     docs = odd.docs(spark)
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
