@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density.
 
 The page is parsed to a tree, without the elements that are no main text by their kind (scripts, styles, forms, navigation, footers, asides,
-hidden ones) or by the words of their class, id or role (adverts, menus, sidebars, notices, comments).  Every node left gets its link-adjusted
+hidden ones) or by a whole class, id or role (adverts, menus, sidebars, notices, comments); an element of such a name stays if it has more
+text than all of the page outside such elements and no article lies there, and so do headings and paragraphs of an article.  Every node left gets its link-adjusted
 characters per tag; a node's density sum adds up its children's.  The subtree with the largest sum is the content; the least density on
 its path to the body is the threshold, and where the subtree lies in an article element, that whole article is taken.  Of the
-taken node, children that fall below the threshold and are mostly links go.
+taken node, if it is in no article, children that fall below the threshold and are mostly links go.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one line feed; a <br> is
 white space.  Defined results: null, empty or text-free pages give the empty text; pages without any tag are one block; unclosed and
@@ -29,7 +30,7 @@ _TOKEN = re.compile(r"""<(?:!--(?P<comment>.*?(?:-->|\Z))|(?P<other>[!?][^>]*(?:
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg annotation annotation-xml".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: What an opening tag closes: itself and its likes, up to the element that holds them.
@@ -37,34 +38,40 @@ _LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _HOLD = frozenset("ul ol dl table select article section div main body".split())
 #: No main text by kind.
 _DROPPED = frozenset("head nav footer aside form menu button select input label dialog object audio video canvas map".split()) | _RAW
-#: No main text by a word of class, id or role.
+#: Maybe no main text, by a whole class, id or role.
 _WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended widget login signup toolbar pagination pager complementary contentinfo dialog search masthead".split())
-_CUT = re.compile(r"[^a-z0-9]+")
+#: Parts of an article that such a name doesn't drop.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.doubtful = False
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in _DROPPED or (tag == "header" and not inside):
         return True
-    if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and not _WORDS.isdisjoint(_CUT.split(value)):
-            return True
     return False
 
 
+def _doubtful(tag: str, attrs: str, inside: bool) -> bool:
+    if tag in ("html", "body", "main") or tag in _PROSE and inside or "=" not in attrs:
+        return False
+    return any(name.lower() in ("class", "id", "role") and not _WORDS.isdisjoint("".join(values).lower().split()) for name, *values in _ATTR.findall(attrs))
+
+
 def parse(page: str) -> Node:
     """The tree; text is kept as strings among the children."""
     root = Node("#root", None)
@@ -97,7 +104,7 @@ def parse(page: str) -> Node:
         if tag in _RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
-            if m["attrs"].endswith("/") and tag in ("svg", "math"):
+            if m["attrs"].endswith("/") and tag == "svg":
                 continue
             at = len(page) if end < 0 else (lower.find(">", end) + 1 or len(page))
             continue
@@ -123,6 +130,7 @@ def parse(page: str) -> Node:
             inside, up = up.tag == "article", up.parent
         own = Node(tag, node, node.dropped or _boilerplate(tag, m["attrs"], inside))
         if not own.dropped:
+            own.doubtful = _doubtful(tag, m["attrs"], inside)
             node.children.append(own)
         if tag not in _VOID:
             node = own
@@ -138,6 +146,36 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def sift(root: Node) -> None:
+    """Takes out doubtful elements, but none that has more text than all of the page outside such elements, where no article lies: that one holds the main text."""
+    nodes = _ordered(root)
+    for own in reversed(nodes):
+        own.chars = sum(len("".join(c.split())) if isinstance(c, str) else c.chars for c in own.children)
+    while True:
+        top, articles, todo = [], [], [root]
+        while todo:
+            own = todo.pop()
+            if own.tag == "article" and own.chars:
+                articles.append(own)
+            for c in own.children:
+                if isinstance(c, Node):
+                    (top if c.doubtful else todo).append(c)
+        if not top:
+            break
+        plain = root.chars - sum(c.chars for c in top)
+        most = max(top, key=lambda c: c.chars)
+        above, up = set(), most.parent
+        while up is not None:
+            above.add(id(up))
+            up = up.parent
+        if most.chars <= plain or any(id(a) not in above for a in articles):
+            break
+        most.doubtful = False
+    for own in nodes:
+        own.chars = 0
+        own.children = [c for c in own.children if isinstance(c, str) or not c.doubtful]
+
+
 def measure(root: Node) -> list[Node]:
     """All nodes, parents before children, with their counts, densities and density sums."""
     nodes = _ordered(root)
@@ -173,6 +211,9 @@ def _blocks(node: Node, threshold: float, top: Node) -> list[str]:
             out.append(text)
         line.clear()
 
+    up, article = top, False
+    while up is not None and not article:
+        article, up = up.tag in ("article", "main"), up.parent
     todo: list[tuple[Node | str | None, bool]] = [(node, True)]
     while todo:
         own, opening = todo.pop()
@@ -181,7 +222,7 @@ def _blocks(node: Node, threshold: float, top: Node) -> list[str]:
         elif isinstance(own, str):
             line.append(own)
         else:
-            if own.parent is top and own.tag in _BLOCK and own.density < threshold and 2 * own.link_chars > own.chars:
+            if not article and own.parent is top and own.tag in _BLOCK and own.density < threshold and 2 * own.link_chars > own.chars:
                 continue
             if own.tag in _BLOCK:
                 flush()
@@ -195,6 +236,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    sift(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     within = _ordered(body)

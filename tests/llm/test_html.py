@@ -26,6 +26,22 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><p>Top</p><div class='layout has-sidebar'><article><p>Some text in here.</p></article></div>", "Some text in here."),
+        ("<body><p>Top</p><div class='post sidebar'><h1>Head</h1><p>Some text in here, and more of it.</p></div>", "Head\nSome text in here, and more of it."),
+        ("<div class='ad'>Buy this, it is longer than the article.</div><article><p>Short.</p></article>", "Short."),
+        ("<section id='main-search'><p>Some text in here.</p></section>", "Some text in here."),
+        ("<article><h2 id='related-work'>Related</h2><p>Some text.</p><h2 id='navigation'>Ways</h2><p class='notice'>Mind this.</p></article>", "Related\nSome text.\nWays\nMind this."),
+        ("<article><p>Some text in here, long enough to stand.</p><ul><li><a href='x'>First source</a><li><a href='y'>Second source</a></ul></article>", "Some text in here, long enough to stand.\nFirst source\nSecond source"),
+        ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> holds.</p></article>", "If x=2 holds."),
+    ],
+)
+def test_main_text_isnt_dropped_by_name(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 50_000 + "x") == "x"
     assert len(html.main_text("<p>word</p>" * 100_000)) == 5 * 100_000 - 1
