@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -21,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sylvan-scratch-")
@@ -57,6 +63,23 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As mapInPandas, but a null beside whole numbers leaves them whole (objects, with None), where pandas alone would round them."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in run(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_pandas(pdf, target, preserve_index=False)
+
+    return df.mapInArrow(arrow, schema)
+
+
+def replaced(batch: pa.RecordBatch, **columns: list) -> pa.RecordBatch:
+    """The batch with other values in some of its columns; all else stays as it is, of whatever type."""
+    own = [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(i) for i, f in enumerate(batch.schema)]
+    return pa.RecordBatch.from_arrays(own, schema=batch.schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

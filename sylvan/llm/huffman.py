@@ -5,14 +5,16 @@ code in one look-up.  A block holds whole documents and can be decoded alone; wi
 is kept, so that all lanes of a block are decoded side by side, one vector step for the n-th id of every lane.
 
 File: magic | code lengths (zlib) | blocks | directory (zlib JSON: offset, size, documents, ids, first doc_id) | its length | magic.
-Block: documents, ids, lanes, payload bytes (u32 each) | doc_ids (i64) | ids of each document (u32) | lane offsets (u64) | payload.
+Block: documents without a doc_id, documents, ids, lanes, payload bytes (u32 each) | doc_ids (i64) | ids of each document (u32) | lane offsets (u64) | payload.
 
 Defined results: a null text is an empty one; an empty text is the end id alone; a null doc_id sorts first and comes back null; rows
-with the same doc_id stay separate rows; an empty table gives no file and an empty result.
+with the same doc_id stay separate rows; an empty table gives no file and an empty result; more than 2**MAX_BITS different ids in use stop
+the query with an error, as no code of that length has room for them (vocabularies of public tokenizers are smaller).
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -20,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,7 @@ MAX_BITS = 18
 LANE = 64
 #: Ids in a block, unless one document alone has more.
 BLOCK_IDS = 1 << 19
-MAGIC = b"SYLHUF01"
-NO_ID = -(1 << 63)
+MAGIC = b"SYLHUF02"
 #: Instead of an id's width: the row has a task's counts.
 COUNTS = 0
 
@@ -143,16 +144,16 @@ class Code:
 # --- the file ---------------------------------------------------------------------------------------------------------------------
 
 
-def file_chunks(lengths: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[bytes]:
-    """blocks: doc_ids, ids of each document, all ids."""
+def file_chunks(lengths: np.ndarray, blocks: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[bytes]:
+    """blocks: how many documents at their beginning have no doc_id, doc_ids, ids of each document, all ids."""
     code = Code(lengths)
     packed = zlib.compress(code.lengths.tobytes(), 6)
     head = MAGIC + struct.pack("<I", len(packed)) + packed
     yield head
     at, directory = len(head), []
-    for docs, each, ids in blocks:
+    for none, docs, each, ids in blocks:
         payload, lanes = code.pack(ids)
-        raw = struct.pack("<4I", len(docs), len(ids), len(lanes), len(payload)) + docs.astype("<i8").tobytes() + each.astype("<u4").tobytes() + lanes.astype("<u8").tobytes() + payload
+        raw = struct.pack("<5I", none, len(docs), len(ids), len(lanes), len(payload)) + docs.astype("<i8").tobytes() + each.astype("<u4").tobytes() + lanes.astype("<u8").tobytes() + payload
         directory.append([at, len(raw), len(docs), len(ids), int(docs[0])])
         at += len(raw)
         yield raw
@@ -174,74 +175,94 @@ class Reader:
         n = struct.unpack("<I", self.file.read(len(MAGIC), 4))[0]
         self.code = Code(np.frombuffer(zlib.decompress(self.file.read(len(MAGIC) + 4, n)), np.uint8))
 
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def block(self, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         at, size, *_ = self.directory[k]
         raw = self.file.read(at, size)
-        docs, ids, lanes, payload = struct.unpack_from("<4I", raw)
-        parts, at = [], 16
+        none, docs, ids, lanes, payload = struct.unpack_from("<5I", raw)
+        parts, at = [], 20
         for kind, n in (("<i8", docs), ("<u4", docs), ("<u8", lanes)):
             parts.append(np.frombuffer(raw, kind, n, at))
             at += parts[-1].nbytes
-        return parts[0], parts[1], self.code.unpack(raw[at : at + payload], parts[2], ids)
+        return none, parts[0], parts[1], self.code.unpack(raw[at : at + payload], parts[2], ids)
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------------------------
 
 
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of the ids of each document, from one buffer."""
+    offsets = np.concatenate([[0], ends * ids.itemsize]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
 def _tokenise(tokenizer: str, end_id: int):
     """A row for each document, and at last one for the task: its counts by id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
         size = max(enc.size, end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
-        end, total = np.asarray([end_id], "<u4").tobytes(), np.zeros(size, np.int64)
-        for pdf in batches:
-            ids = [np.frombuffer(b + end, "<u4").astype(kind) for b in enc.encode(pdf["text"])]
-            if ids:
-                total += np.bincount(np.concatenate(ids), minlength=size)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() for x in ids], "width": int(kind[2])})
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            ids, ends = tokens.with_end(*enc.encode(batch.column("text")), end_id)
+            total += np.bincount(ids, minlength=size)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": _binary(ids.astype(kind), ends), "width": pa.array([int(kind[2])] * len(ends), pa.int32())})
         enc.rest()
-        yield pd.DataFrame({"doc_id": [None], "ids": [total.tobytes()], "width": [COUNTS]})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "ids": [total.tobytes()], "width": pa.array([COUNTS], pa.int32())})
 
     return run
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for raw in pdf["ids"]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("ids").to_pylist():
             total = np.frombuffer(raw, np.int64)
             used = np.flatnonzero(total)
-            yield pd.DataFrame({"id": used, "n": total[used]})
+            yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole documents until a block has BLOCK_IDS ids: how many have no doc_id (they come first), doc_ids, ids of each, all ids."""
+    parts, held = [], 0
+    for batch in batches:
+        docs, raw, width = batch.column("doc_id"), batch.column("ids"), batch.column("width")
+        if not len(docs):
+            continue
+        none, ids = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+        kind = np.dtype(f"<u{width[0].as_py()}")
+        edges = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        every = np.frombuffer(raw.buffers()[2], kind, int(edges[-1] - edges[0]) // kind.itemsize, int(edges[0]))
+        ends, at = (edges - edges[0]) // kind.itemsize, 0
+        while at < len(docs):
+            stop = min(len(docs), at + max(1, int(np.searchsorted(ends[at + 1 :] - ends[at], BLOCK_IDS - held, "left")) + 1))
+            parts.append((none[at:stop], ids[at:stop], np.diff(ends[at : stop + 1]), every[ends[at] : ends[stop]]))
+            held, at = held + len(parts[-1][3]), stop
+            if held >= BLOCK_IDS:
+                missing, *own = (np.concatenate(p) for p in zip(*parts))
+                yield int(missing.sum()), *own
+                parts, held = [], 0
+    if parts:
+        missing, *own = (np.concatenate(p) for p in zip(*parts))
+        yield int(missing.sum()), *own
 
 
 def _write(lengths: bytes, folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0, 0]
 
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            docs, raw, held = [], [], 0
-            for pdf in batches:
-                for doc, ids, width in zip(pdf["doc_id"], pdf["ids"], pdf["width"]):
-                    docs.append(NO_ID if pd.isna(doc) else int(doc))
-                    raw.append(np.frombuffer(ids, f"<u{width}"))
-                    held += len(raw[-1])
-                    if held >= BLOCK_IDS:
-                        yield np.asarray(docs), np.asarray([len(x) for x in raw]), np.concatenate(raw)
-                        seen[0], seen[1] = seen[0] + len(docs), seen[1] + held
-                        docs, raw, held = [], [], 0
-            if docs:
-                yield np.asarray(docs), np.asarray([len(x) for x in raw]), np.concatenate(raw)
-                seen[0], seen[1] = seen[0] + len(docs), seen[1] + held
-
-        source = blocks()
+        def counted() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+            for block in itertools.chain([first], source):
+                seen[0], seen[1] = seen[0] + len(block[1]), seen[1] + len(block[3])
+                yield block
+
+        source = _blocks(batches)
         first = next(source, None)
         if first is None:
             return
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.huf"
-        size = common.write_file(uri, file_chunks(np.frombuffer(lengths, np.uint8), (x for s in ([first], source) for x in s)))
-        yield pd.DataFrame({"part": [part], "uri": [uri], "docs": [seen[0]], "ids": [seen[1]], "bytes": [size]})
+        size = common.write_file(uri, file_chunks(np.frombuffer(lengths, np.uint8), counted()))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "docs": [seen[0]], "ids": [seen[1]], "bytes": [size]})
 
     return run
 
@@ -252,12 +273,12 @@ def write(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, tokeniz
     Only files that the manifest names count: a task that is run twice leaves a file that nobody reads.
     """
     n = common.partitions(spark)
-    ids = scratch.table(common.documents(docs).mapInPandas(_tokenise(tokenizer, end_id), "doc_id long, ids binary, width int"), "ids")
-    counts = ids.where(F.col("width") == COUNTS).select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
+    ids = scratch.table(common.documents(docs).mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, ids binary, width int"), "ids")
+    counts = ids.where(F.col("width") == COUNTS).select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     ordered = ids.where(F.col("width") != COUNTS).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
-    manifest = scratch.table(ordered.mapInPandas(_write(code_lengths(total).tobytes(), scratch.path("files")), "part int, uri string, docs long, ids long, bytes long"), "manifest")
+    manifest = scratch.table(ordered.mapInArrow(_write(code_lengths(total).tobytes(), scratch.path("files")), "part int, uri string, docs long, ids long, bytes long"), "manifest")
     scratch.drop("ids")
     return manifest
 
@@ -268,20 +289,21 @@ def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     starts = np.cumsum([0, *(f[2] for f in files)]).tolist()
     rows = [(uri, start) for (_, uri, _), start in zip(files, starts)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for uri, start in zip(pdf["uri"], pdf["start"]):
-                reader, start = Reader(uri), int(start)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start in zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist()):
+                reader = Reader(uri)
                 for k in range(len(reader.directory)):
-                    docs, each, ids = reader.block(k)
+                    none, docs, each, ids = reader.block(k)
                     ends = np.cumsum(each.astype(np.int64))
                     raw, cut = memoryview(ids.astype("<u4").tobytes()), (ends * 4).tolist()
                     crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *cut], cut)]
-                    yield pd.DataFrame({"doc_id": pd.array(docs, "Int64").astype(object).tolist() if NO_ID not in docs else [None if d == NO_ID else int(d) for d in docs], "start": start + ends - each, "n_tokens": each.astype(np.int64), "ids_crc32": np.asarray(crc, np.int64)})
+                    named = pa.array(docs, mask=np.arange(len(docs)) < none)
+                    yield pa.RecordBatch.from_pydict({"doc_id": named, "start": start + ends - each, "n_tokens": each.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
                     start += int(ends[-1])
 
     listed = spark.createDataFrame(rows, "uri string, start long")
-    return listed.repartition(max(1, len(rows)), "uri").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, len(rows)), "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

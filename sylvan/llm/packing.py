@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,61 +88,83 @@ class Places:
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, own_rank long"
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: Tasks that are counted together first, so that no sum over tasks is long.
+TASK_BITS = 10
 
 
 def _pieces(tokenizer: str, end_id: int, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        end = np.asarray([end_id], "<u4").tobytes()
         seen, task = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for pdf in batches:
-            rows = []
-            for doc, raw in zip(pdf["doc_id"], enc.encode(pdf["text"])):
-                raw += end
-                doc = None if pd.isna(doc) else int(doc)
-                for piece, at in enumerate(range(0, len(raw), 4 * size)):
-                    own = raw[at : at + 4 * size]
-                    n = len(own) // 4
-                    rows.append((doc, piece, at // 4, n, zlib.crc32(own), task, int(seen[n])))
-                    seen[n] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "own_rank"])
+        for batch in batches:
+            ids, ends = tokens.with_end(*enc.encode(batch.column("text")), end_id)
+            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            each = -(-(ends - begins) // size)  # pieces of each document
+            doc = np.repeat(np.arange(len(each)), each)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+            start = piece * size
+            length = np.minimum(size, (ends - begins)[doc] - start)
+            raw, at = memoryview(ids.astype("<u4").tobytes()), (begins[doc] + start) * 4
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            order = np.argsort(length, kind="stable")
+            run_of = length[order]
+            first = np.flatnonzero(np.diff(run_of, prepend=-1))
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) + seen[run_of]
+            seen += np.bincount(length, minlength=size + 1)
+            columns = [batch.column("doc_id").take(pa.array(doc)), piece.astype(np.int32), start, length, crc, np.full(len(doc), task, np.int32), rank]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64() if isinstance(c, list) else None) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "own_rank"])
         enc.rest()
 
     return run
 
 
+def _before(tallies: DataFrame) -> DataFrame:
+    """For each task and length, how many pieces of that length earlier tasks have: sums by groups of tasks, then within a group."""
+    own = tallies.withColumn("group", F.shiftright("task", TASK_BITS))
+    groups = own.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "group", (F.sum("n").over(Window.partitionBy("length").orderBy("group")) - F.col("n")).alias("far"))
+    within = own.select("task", "length", "group", (F.sum("n").over(Window.partitionBy("length", "group").orderBy("task")) - F.col("n")).alias("near"))
+    return within.join(groups.hint("merge"), ["length", "group"]).select("task", "length", (F.col("near") + F.col("far")).alias("before"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, scratch: common.Scratch, tokenizer: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = scratch.table(common.documents(docs).mapInPandas(_pieces(tokenizer, end_id, size), _PIECE), "pieces")
+    pieces = scratch.table(common.documents(docs).mapInArrow(_pieces(tokenizer, end_id, size), _PIECE), "pieces")
     tallies = scratch.table(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "tallies")
     counts = np.zeros(size + 1, np.int64)
     for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length
         counts[r["length"]] = r["n"]
     places = spark.sparkContext.broadcast(Places(patterns(counts, size), size))  # bounded by the number of lengths, not of pieces
-    before = tallies.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            ranks = (pdf["own_rank"] + pdf["before"]).to_numpy()
-            for n, at in pdf.groupby("length").indices.items():
-                sequence[at], offset[at] = places.value.of(int(n), ranks[at])
-            yield pdf.drop(columns=["own_rank", "before"]).assign(sequence_id=sequence, offset=offset)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if len(at):
+                    sequence[at], offset[at] = places.value.of(int(length[at[0]]), ranks[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "own_rank", "before")
-    return ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The tallies grow with the tasks, so they are merged, not broadcast; only the pieces' numbers move.
+    ranked = pieces.join(_before(tallies).hint("merge"), ["task", "length"])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own_rank") + F.col("before")).alias("rank")).mapInArrow(run, _PLACED)
 
 
 def sequences(packed: DataFrame, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """sequence_id, ids array: the packed ids themselves, for training.  doc_id must be unique in docs."""
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        for pdf in batches:
-            every = [[*np.frombuffer(b, "<u4").tolist(), end_id] for b in enc.encode(pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "every": every})
+        for batch in batches:
+            every, ends = tokens.with_end(*enc.encode(batch.column("text")), end_id)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(every.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "every"])
+        enc.rest()
 
-    own = common.documents(docs).mapInPandas(ids, "doc_id long, every array<int>")
+    own = common.documents(docs).mapInArrow(ids, "doc_id long, every array<int>")
     part = packed.join(own, "doc_id").select("sequence_id", "offset", F.slice("every", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("part"))
     return part.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"])).alias("ids"))
 
