@@ -13,18 +13,27 @@ U64 = "decimal(20,0)"
 def encode_node_id(n: Column) -> Column:
     """A number from 0 to 2**64 - 1, as number or text, to a node id; other text passes through."""
     text = n.cast("string")
+    small = text.try_cast("long")
+    small = F.when(small >= 0, small)
     number = F.when(text.rlike("^[0-9]{1,20}$"), text.cast(U64))
-    low = (number % F.lit(1 << 60).cast(U64)).cast("long")  # the ten lowest digits
-    high = F.floor(number / F.lit(1 << 60).cast(U64)).cast("int")  # the eleventh
+    low = F.when(small.isNotNull(), small.bitwiseAND(F.lit((1 << 60) - 1))).otherwise((number % F.lit(1 << 60).cast(U64)).cast("long"))  # the ten lowest digits
+    high = F.when(small.isNotNull(), F.shiftright(small, 60)).otherwise(F.floor(number / F.lit(1 << 60).cast(U64))).cast("int")  # the eleventh
     digits = F.concat(*[F.substr(F.lit(DIGITS), F.shiftright(low, 6 * k).bitwiseAND(F.lit(63)).cast("int") + 1, F.lit(1)) for k in range(9, -1, -1)])
     raw = F.concat(F.substr(F.lit(DIGITS), high + 1, F.lit(1)), digits)
-    return F.when(number.isNull(), text).when(number == 0, F.lit("0")).otherwise(F.regexp_replace(raw, "^0+", ""))
+    is_number = small.isNotNull() & text.rlike("^[0-9]+$") | number.isNotNull()
+    return F.when(text.isNull() | ~F.coalesce(is_number, F.lit(False)), text).when(low + high == 0, F.lit("0")).otherwise(F.ltrim(raw, F.lit("0")))
 
 
 def decode_node_id(s: Column) -> Column:
-    """A node id to its number as text; the empty id is empty, an id with other characters null."""
-    value = F.aggregate(F.split(s, ""), F.lit(0).cast(U64), lambda a, c: (a * F.lit(64) + F.when(c == "", F.lit(1)).otherwise(F.instr(F.lit(DIGITS), c)) - F.lit(1)).cast(U64))
-    return F.when(s == "", F.lit("")).when(s.rlike(r"^[0-9a-zA-Z$_]+$"), value.cast("string"))
+    """A node id to its number as text; the empty id is empty, one with other characters or beyond eleven digits null."""
+    bare = F.ltrim(s, F.lit("0"))
+    padded = F.lpad(bare, 11, "0")
+    digit = lambda k: (F.instr(F.lit(DIGITS), F.substring(padded, 11 - k, 1)) - 1).cast("long")
+    low = digit(0)
+    for k in range(1, 10):
+        low = low.bitwiseOR(F.shiftleft(digit(k), 6 * k))
+    number = F.when(F.length(bare) <= 10, low.cast("string")).otherwise((digit(10).cast(U64) * F.lit(1 << 60).cast(U64) + low.cast(U64)).cast("decimal(38,0)").cast("string"))
+    return F.when(s == "", F.lit("")).when(s.rlike(r"^[0-9a-zA-Z$_]+$") & (F.length(bare) <= 11), number)
 
 
 def model_ref(ref: Column) -> tuple[Column, Column]:

@@ -8,32 +8,44 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
+
 
 def _folder(df: DataFrame) -> str:
     spark = df.sparkSession
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sylvan-")).rstrip("/") + f"/closure-{uuid.uuid4().hex[:12]}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="sylvan-")
+    return shared.rstrip("/") + f"/closure-{uuid.uuid4().hex[:12]}"
 
 
 def closure(edges: DataFrame, low: str, high: str) -> DataFrame:
     """All (x, y) with y reachable from x by one edge or more; (x, x) only on a cycle.
 
-    Semi-naive: each round joins only what the last one found.  Rounds are written to the shared folder, which cuts lineage.
+    Paths double in each round: what was found last is joined with all that is known, so the rounds are as many as the bits of the longest
+    path.  A round is written to the shared folder, which cuts lineage, and read back as one table; the one before it is removed.
     """
     spark, folder = edges.sparkSession, _folder(edges)
-    base = edges.select(F.col(low).alias("x"), F.col(high).alias("y")).where("x is not null and y is not null").distinct()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def keep(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{folder}/{k}")
-        return spark.read.schema("x string, y string").parquet(f"{folder}/{k}")
-
-    fresh = total = keep(base.select(F.col("x").cast("string"), F.col("y").cast("string")), 0)
-    step, k = fresh.select(F.col("x").alias("y"), F.col("y").alias("z")), 0
-    while not fresh.isEmpty():
+        return spark.read.schema("x string, y string, fresh boolean").parquet(f"{folder}/{k}")
+
+    base = edges.select(F.col(low).cast("string").alias("x"), F.col(high).cast("string").alias("y")).where("x is not null and y is not null").distinct()
+    known, k = keep(base.withColumn("fresh", F.lit(True)), 0), 0
+    while not known.where("fresh").isEmpty():
+        fresh = known.where("fresh").select("x", "y")
+        onward = fresh.join(known.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
+        before = known.select("x", "y").join(fresh.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
+        found = onward.unionAll(before).withColumn("fresh", F.lit(True)).unionAll(known.select("x", "y", F.lit(False)))
+        known = keep(found.groupBy("x", "y").agg(F.min("fresh").alias("fresh")), k + 1)
+        gone = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}")
+        gone.getFileSystem(conf).delete(gone, True)
         k += 1
-        found = fresh.join(step, "y").select("x", F.col("z").alias("y")).distinct()
-        fresh = keep(found.join(total, ["x", "y"], "left_anti"), k)
-        total = total.unionAll(fresh)
-    return total
+    return known.select("x", "y")
 
 
 def downstream(reachable: DataFrame) -> DataFrame:
@@ -49,16 +61,39 @@ def cone(modified: DataFrame, reachable: DataFrame) -> DataFrame:
     return affected.withColumn("affected", F.lit(True)).unionAll(upstream.withColumn("affected", F.lit(False))).groupBy("id").agg(F.max("affected").alias("affected"))
 
 
-def cone_of_influence(modules: DataFrame, models: DataFrame, module_edges: DataFrame, model_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Affected modules and models of changed files (path, module_id, model_id; an id is null where the path has no such entity).
+def touched_files(changed: DataFrame, listed: DataFrame) -> DataFrame:
+    """path of every changed file, and of all listed files that lie directly in a directory above one (at any height, but for the top itself).
+
+    A model's directory and its module's are above each of the model's files, so a change of any file below marks both.
+    """
+    dirs = changed.select(F.explode(ids.ancestor_dirs(F.col("path"))).alias("dir")).distinct()
+    beside = listed.select("path").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).where("dir <> ''").join(dirs, "dir", "left_semi")
+    return changed.select("path").unionAll(beside.select("path")).distinct()
+
+
+def modified_entities(changed: DataFrame, listed: DataFrame, modules: DataFrame, models: DataFrame) -> DataFrame:
+    """path, kind, id: the module or model behind every touched descriptor (.msd) and model file (.mps, .model); id is null where there is none.
+
+    ``modules`` and ``models`` have an id and the path of the entity's own file.  Other files stand for nothing by themselves.
+    """
+    kind = F.when(F.col("path").rlike(r"\.msd$"), "module").when(F.col("path").rlike(r"\.(mps|model)$"), "model")
+    touched = touched_files(changed, listed).select("path", kind.alias("kind")).where("kind is not null")
+    known = modules.select("path", F.lit("module").alias("kind"), F.col("module_id").alias("id")).unionAll(models.select("path", F.lit("model"), "model_id"))
+    return touched.join(known, ["path", "kind"], "left")
+
+
+def cone_of_influence(modules: DataFrame, models: DataFrame, module_edges: DataFrame, model_edges: DataFrame, modified: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Affected modules and models (with what these need besides: affected false) of modified entities (path, kind, id).
 
-    A missing module affects all modules; a missing model means the cone of modules alone; in both cases models are None.
+    A missing module affects all modules; a missing model means the cone of the modified modules alone; in both cases models are None.
     """
-    flags = changed.agg(F.coalesce(F.bool_or(F.col("module_id").isNull()), F.lit(False)).alias("m"), F.coalesce(F.bool_or(F.col("model_id").isNull()), F.lit(False)).alias("n")).first()
+    missing = F.col("id").isNull()
+    flags = modified.agg(F.coalesce(F.bool_or(missing & (F.col("kind") == "module")), F.lit(False)).alias("m"), F.coalesce(F.bool_or(missing & (F.col("kind") == "model")), F.lit(False)).alias("n")).first()
     if flags["m"]:
-        return modules.select("module_id").distinct(), None
+        return modules.select("module_id").distinct().withColumn("affected", F.lit(True)), None
+    own = lambda kind: modified.where(F.col("kind") == kind).select("id")
     if flags["n"]:
-        hit = cone(changed.select("module_id"), closure(module_edges, "module_id", "dep_module_id"))
-        return hit.where("affected").select(F.col("id").alias("module_id")), None
-    hit = cone(changed.select("model_id"), closure(model_edges, "model_id", "imported_model_id")).where("affected").select(F.col("id").alias("model_id"))
-    return models.join(hit, "model_id", "left_semi").select("module_id").distinct(), hit
+        return cone(own("module"), closure(module_edges, "module_id", "dep_module_id")).withColumnRenamed("id", "module_id"), None
+    hit = cone(own("model"), closure(model_edges, "model_id", "imported_model_id")).withColumnRenamed("id", "model_id")
+    of = models.select("model_id", "module_id").join(hit, "model_id").groupBy("module_id").agg(F.max("affected").alias("affected"))
+    return of, hit

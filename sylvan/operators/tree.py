@@ -23,15 +23,22 @@ def ancestors(nodes: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def intervals(nodes: DataFrame, order: str = "ord") -> DataFrame:
-    """nodes with pre and last, from a path that sorts in document order: descendants of a are those with a.pre < pre <= a.last."""
-    by = Window.partitionBy("model_id").orderBy("path")
-    numbered = nodes.withColumn("pre", F.row_number().over(by).cast("long"))
-    below = numbered.select("model_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))).alias("path"))
-    return numbered.join(below.groupBy("model_id", "path").agg(F.count("*").alias("size")), ["model_id", "path"]).withColumn("last", F.col("pre") + F.col("size") - 1)
+def intervals(nodes: DataFrame, levels: int) -> DataFrame:
+    """nodes with pre and last, from a path that sorts in document order: descendants of a are those of its root with a.pre < pre <= a.last.
+
+    A root's nodes are numbered by themselves, so no task holds more than a root.  From the end of the document, a node's subtree reaches
+    back to the last node seen that is no deeper; ``levels`` bounds the depth.
+    """
+    back = Window.partitionBy("model_id", "root_id").orderBy(F.col("path").desc())
+    seen = back.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = nodes.withColumn("_k", F.row_number().over(back).cast("long"))
+    before = [F.max(F.when(F.col("depth") <= d, F.col("_k"))).over(seen) for d in range(levels + 1)]
+    after = F.coalesce(*[F.when(F.col("depth") == d, b) for d, b in enumerate(before)], F.lit(0))
+    whole = F.max("_k").over(Window.partitionBy("model_id", "root_id"))
+    return numbered.withColumn("pre", whole - F.col("_k") + 1).withColumn("last", F.col("pre") + F.col("_k") - after - 1).drop("_k")
 
 
 def descendants(numbered: DataFrame) -> DataFrame:
-    """ancestor_id, node_id by interval containment."""
-    a = numbered.select("model_id", F.col("node_id").alias("ancestor_id"), F.col("pre").alias("low"), F.col("last").alias("high"))
-    return numbered.join(a, "model_id").where("pre > low and pre <= high").select("model_id", "ancestor_id", "node_id")
+    """ancestor_id, node_id by interval containment, root by root."""
+    a = numbered.where("last > pre").select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").alias("low"), F.col("last").alias("high"))
+    return numbered.join(a, ["model_id", "root_id"]).where("pre > low and pre <= high").select("model_id", "ancestor_id", "node_id")

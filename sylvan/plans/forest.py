@@ -11,8 +11,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.questions import Questions
 
-class Forest:
+
+class Forest(Questions):
     """The canonical tables, built lazily; every one reads only the columns it needs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -23,37 +25,43 @@ class Forest:
 
     @cached_property
     def modules(self) -> DataFrame:
-        return self.table("region").select(_id("M", "r_regionkey").alias("module_id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("scan_ord"))
+        return self.table("region").select(_id("M", "r_regionkey").alias("module_id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("scan_ord"), F.lit("solution").alias("kind"), F.concat(F.lit("src/"), _id("M", "r_regionkey"), F.lit("/"), _id("M", "r_regionkey"), F.lit(".msd")).alias("path"))
 
     @cached_property
     def models(self) -> DataFrame:
-        return self.table("nation").select(_id("N", "n_nationkey").alias("model_id"), F.col("n_name").alias("name"), _id("M", "n_regionkey").alias("module_id"), F.col("n_nationkey").cast("long").alias("scan_ord"))
+        return self.table("nation").select(_id("N", "n_nationkey").alias("model_id"), F.col("n_name").alias("name"), _id("M", "n_regionkey").alias("module_id"), F.col("n_nationkey").cast("long").alias("scan_ord"), F.concat(F.lit("src/"), _id("M", "n_regionkey"), F.lit("/models/"), _id("N", "n_nationkey"), F.lit(".mps")).alias("path"))
 
     @cached_property
     def lines(self) -> DataFrame:
         """One row a line: several rows of one (order, number) are one node."""
-        return self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"), F.min("l_linestatus").alias("status"))
+        rows = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+        rows = rows.repartition("l_orderkey")  # serves the grouping and the join with orders
+        return rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"), F.min("l_linestatus").alias("status"))
 
-    def _roots(self, table: str, letter: str, key: str, model: F.Column, concept: str, name: str) -> DataFrame:
+    def _roots(self, table: str, letter: str, key: str, model: F.Column, concept: str, name: str, **props: str) -> DataFrame:
         own = _id(letter, key)
-        return self.table(table).select(model.alias("model_id"), own.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), own.alias("root_id"), F.lit(concept).alias("concept"), F.lit(None).cast("string").alias("role"), F.lit(0).alias("depth"), F.col(name).alias("name"))
+        return self.table(table).select(model.alias("model_id"), own.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), own.alias("root_id"), F.lit(concept).alias("concept"), F.lit(None).cast("string").alias("role"), F.lit(0).alias("depth"), F.col(name).alias("name"), F.col(key).cast("long").alias("ord"), _props(name=name, **props))
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._roots("customer", "C", "c_custkey", _id("N", "c_nationkey"), "Customer", "c_name", segment="c_mktsegment")
 
     @cached_property
     def roots(self) -> DataFrame:
         return (
-            self._roots("customer", "C", "c_custkey", _id("N", "c_nationkey"), "Customer", "c_name")
+            self.customers
             .unionAll(self._roots("supplier", "S", "s_suppkey", _id("N", "s_nationkey"), "Supplier", "s_name"))
-            .unionAll(self._roots("part", "P", "p_partkey", F.concat(F.lit("N"), (F.col("p_partkey") % 25).cast("string")), "Part", "p_name"))
+            .unionAll(self._roots("part", "P", "p_partkey", F.concat(F.lit("N"), (F.col("p_partkey") % 25).cast("string")), "Part", "p_name", brand="p_brand", type="p_type"))
         )
 
     @cached_property
     def _order_rows(self) -> DataFrame:
         customers = self.table("customer").select("c_custkey", "c_nationkey")
-        return self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        return self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._order_rows.select(_id("N", "c_nationkey").alias("model_id"), _id("O", "o_orderkey").alias("node_id"), _id("C", "o_custkey").alias("parent_id"), _id("C", "o_custkey").alias("root_id"), F.lit("Order").alias("concept"), F.lit("orders").alias("role"), F.lit(1).alias("depth"), F.col("o_orderstatus").alias("name"))
+        return self._order_rows.select(_id("N", "c_nationkey").alias("model_id"), _id("O", "o_orderkey").alias("node_id"), _id("C", "o_custkey").alias("parent_id"), _id("C", "o_custkey").alias("root_id"), F.lit("Order").alias("concept"), F.lit("orders").alias("role"), F.lit(1).alias("depth"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").cast("long").alias("ord"), _props(name="o_orderstatus", priority="o_orderpriority"))
 
     @cached_property
     def _line_rows(self) -> DataFrame:
@@ -61,7 +69,7 @@ class Forest:
 
     @cached_property
     def line_nodes(self) -> DataFrame:
-        return self._line_rows.select(_id("N", "c_nationkey").alias("model_id"), "node_id", _id("O", "l_orderkey").alias("parent_id"), _id("C", "o_custkey").alias("root_id"), F.lit("Line").alias("concept"), F.lit("lines").alias("role"), F.lit(2).alias("depth"), F.col("status").alias("name"))
+        return self._line_rows.select(_id("N", "c_nationkey").alias("model_id"), "node_id", _id("O", "l_orderkey").alias("parent_id"), _id("C", "o_custkey").alias("root_id"), F.lit("Line").alias("concept"), F.lit("lines").alias("role"), F.lit(2).alias("depth"), F.col("status").alias("name"), F.col("l_linenumber").cast("long").alias("ord"), _props(name="status"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -73,19 +81,45 @@ class Forest:
         rows = self._line_rows.select(_id("N", "c_nationkey").alias("model_id"), "node_id", F.explode(F.create_map(F.lit("part"), _id("P", "part"), F.lit("supplier"), _id("S", "supplier"))).alias("role", "target_node_id"))
         return rows
 
+    @cached_property
+    def node_refs(self) -> DataFrame:
+        """References with the model of their target, null for an unknown one."""
+        target = self.roots.select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("target_model_id"))
+        return self.refs.join(target, "target_node_id", "left").withColumn("ord", F.lit(0))
+
     @cached_property
     def imports(self) -> DataFrame:
-        """Model to imported model, from the references of every 997th order, without self-imports; cyclic."""
-        rows = self._line_rows.where("l_orderkey % 997 = 0").select(_id("N", "c_nationkey").alias("model_id"), _id("P", "part").alias("target_node_id"))
-        targets = self.roots.where("concept = 'Part'").select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("imported_model_id"))
-        return rows.join(targets, "target_node_id").where("model_id <> imported_model_id").select("model_id", "imported_model_id").distinct()
+        """Model to imported model, from the references of all lines, without self-imports; cyclic."""
+        used = self.refs.select("model_id", "target_node_id").distinct()
+        targets = self.roots.select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("imported_model_id"))
+        return used.join(targets, "target_node_id").where("model_id <> imported_model_id").select("model_id", "imported_model_id").distinct()
+
+    @cached_property
+    def model_imports(self) -> DataFrame:
+        return self.imports
+
+    @cached_property
+    def module_deps(self) -> DataFrame:
+        of = self.models.select("model_id", "module_id")
+        to = of.select(F.col("model_id").alias("imported_model_id"), F.col("module_id").alias("dep_module_id"))
+        return self.imports.join(of, "model_id").join(to, "imported_model_id").where("module_id <> dep_module_id").select("module_id", "dep_module_id").distinct()
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """path of every file that the modules and models would have."""
+        return self.modules.select("path").unionAll(self.models.select("path"))
 
 
 def _id(letter: str, key: str) -> F.Column:
     return F.concat(F.lit(letter), F.col(key).cast("string"))
 
 
-#: The same tables as DuckDB SQL.
+def _props(**columns: str) -> F.Column:
+    pairs = F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    return F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("props")
+
+
+#: The same tables as DuckDB SQL; order and properties of nodes are taken from the tables where a query needs them.
 SQL = """
 lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supplier, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2),
 modules AS (SELECT 'M' || r_regionkey AS module_id, r_name AS name, CAST(r_regionkey AS BIGINT) AS scan_ord FROM region),
@@ -98,5 +132,6 @@ nodes AS (
   UNION ALL SELECT 'N' || c_nationkey, 'L' || l_orderkey || '_' || l_linenumber, 'O' || l_orderkey, 'C' || o_custkey, 'Line', 'lines', 2, status FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 refs AS (SELECT 'N' || c_nationkey AS model_id, 'L' || l_orderkey || '_' || l_linenumber AS node_id, role, CASE role WHEN 'part' THEN 'P' || part ELSE 'S' || supplier END AS target_node_id
   FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey, (VALUES ('part'), ('supplier')) r(role)),
-imports AS (SELECT DISTINCT 'N' || c_nationkey AS model_id, 'N' || (part % 25) AS imported_model_id FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_orderkey % 997 = 0 AND 'N' || c_nationkey <> 'N' || (part % 25))
+targets AS (SELECT 'P' || p_partkey AS node_id, 'N' || (p_partkey % 25) AS model_id FROM part UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
+imports AS (SELECT DISTINCT r.model_id, t.model_id AS imported_model_id FROM refs r JOIN targets t ON r.target_node_id = t.node_id WHERE r.model_id <> t.model_id)
 """

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids
-from .operators import graph, tree
+from .operators import edits, graph, tree
+from .operators.questions import Questions
 from .plans.forest import SQL, Forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables(Questions):
+    """Questions over tables that are given."""
+
+    def __init__(self, **tables: DataFrame):
+        vars(self).update(tables)
+
+
 def query(sql: str):
     """Registers a query of a Forest under its function's name; the SQL may use the forest's tables."""
 
@@ -31,48 +39,89 @@ def query(sql: str):
 
 @query("SELECT node_id, model_id, name FROM nodes WHERE concept = 'Part'")
 def nodes_of_concept(f):
-    return f.nodes.where("concept = 'Part'").select("node_id", "model_id", "name")
+    return f.nodes_of_concept("Part").select("node_id", "model_id", "name")
 
 
-@query("SELECT concept, count(*) AS n FROM nodes WHERE concept LIKE '%er' GROUP BY concept")
+@query("SELECT concept, count(*) AS n FROM nodes WHERE concept = 'Order' GROUP BY concept")
 def nodes_of_short_concept(f):
-    return f.nodes.where(F.col("concept").endswith("er")).groupBy("concept").agg(F.count("*").alias("n"))
+    full = Tables(nodes=f.nodes.withColumn("concept", F.concat(F.lit("trade.structure."), "concept")))
+    return full.nodes_of_short_concept("Order").groupBy(ids.short_name(F.col("concept")).alias("concept")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT node_id, concept FROM nodes WHERE name IS NOT NULL AND depth = 0")
+@query("SELECT 'P' || p_partkey AS node_id, 'Part' AS concept FROM part WHERE p_brand IS NOT NULL")
 def nodes_with_property(f):
-    return f.nodes.where("name is not null and depth = 0").select("node_id", "concept")
+    return f.nodes_with_property("brand").select("node_id", "concept")
 
 
-@query("SELECT node_id FROM nodes WHERE concept = 'Order' AND name = 'F'")
+@query("SELECT 'O' || o_orderkey AS node_id, o_orderpriority AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
 def nodes_with_property_value(f):
-    return f.nodes.where("concept = 'Order' and name = 'F'").select("node_id")
+    return f.nodes_with_property("priority", "1-URGENT").select("node_id", F.col("props")["priority"].alias("value"))
+
+
+@query("SELECT concept, CASE WHEN concept = 'Customer' THEN c_mktsegment END AS value, count(*) AS n FROM nodes LEFT JOIN customer ON concept = 'Customer' AND node_id = 'C' || c_custkey GROUP BY 1, 2")
+def property_of_node(f):
+    return f.property_of(f.nodes, "segment").join(f.nodes.select("model_id", "node_id", "concept"), ["model_id", "node_id"]).groupBy("concept", "value").agg(F.count("*").alias("n"))
 
 
 @query("SELECT model_id, node_id FROM nodes WHERE parent_id IS NULL AND name = 'Customer#000000007'")
 def roots_by_name(f):
-    return f.nodes.where("parent_id is null and name = 'Customer#000000007'").select("model_id", "node_id")
+    return f.roots_of(name="Customer#000000007").select("model_id", "node_id")
+
+
+@query("SELECT model_id, node_id FROM (SELECT 'N' || (p_partkey % 25) AS model_id, 'P' || p_partkey AS node_id FROM part ORDER BY 'N' || (p_partkey % 25), p_partkey, 2 LIMIT 10)")
+def roots_of_concept_sample(f):
+    return f.roots_of(concept="Part", most=10).select("model_id", "node_id")
 
 
 @query("SELECT * FROM models WHERE model_id = 'N7'")
 def model_by_id(f):
-    return f.models.where("model_id = 'N7'")
+    return f.model_by_id("N7").select("model_id", "name", "module_id", "scan_ord")
 
 
-@query("SELECT model_id, module_id FROM models WHERE name = (SELECT min(name) FROM models)")
+@query("SELECT model_id, module_id FROM models WHERE name = (SELECT n_name FROM nation WHERE n_nationkey = 11)")
 def models_by_name(f):
-    least = f.models.agg(F.min("name").alias("name"))
-    return f.models.join(F.broadcast(least), "name").select("model_id", "module_id")
+    name = f.model_by_id("N11").select("name")
+    return f.models.join(F.broadcast(name), "name", "left_semi").select("model_id", "module_id")  # one name
+
 
+@query("SELECT model_id, name FROM models WHERE module_id = 'M2'")
+def models_of_module(f):
+    return f.models_of(f.module_by_id("M2")).select("model_id", "name")
 
-@query("SELECT module_id, name, scan_ord FROM modules ORDER BY scan_ord LIMIT 1")
+
+@query("SELECT module_id, name, scan_ord FROM modules WHERE name = 'ASIA'")
 def module_first_match(f):
-    return f.modules.orderBy("scan_ord").limit(1).select("module_id", "name", "scan_ord")
+    return f.module_by_name("ASIA", "solution").select("module_id", "name", "scan_ord")
+
+
+@query("SELECT model_id, name FROM models WHERE model_id = 'N3'")
+def model_by_path(f):
+    path = f.model_by_id("N3").select("path")
+    return f.models.join(F.broadcast(path), "path", "left_semi").select("model_id", "name")  # one path
 
 
 @query("SELECT node_id, name FROM nodes WHERE model_id = 'N3' AND node_id = 'P3'")
 def node_by_id_in_model(f):
-    return f.nodes.where("model_id = 'N3' and node_id = 'P3'").select("node_id", "name")
+    return f.node_by_id("N3", "P3").select("node_id", "name")
+
+
+@query("SELECT r.node_id, r.target_node_id, t.model_id AS target_model_id FROM refs r LEFT JOIN targets t ON r.target_node_id = t.node_id WHERE r.role = 'supplier' AND r.model_id = 'N5'")
+def reference_of_node(f):
+    own = f.nodes.where("model_id = 'N5' and concept = 'Line'")
+    return f.references_of(own, "supplier").select("node_id", "target_node_id", "target_model_id")
+
+
+@query("SELECT parent_id, node_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY CAST(split_part(node_id, '_', 2) AS BIGINT)) - 1 AS INTEGER) AS place FROM nodes WHERE concept = 'Line'")
+def children_in_order(f):
+    return f.children_of(f.nodes_of_concept("Order"), "lines").select("parent_id", "node_id", "place")
+
+
+@query("""SELECT node_id, 'children' AS kind, NULL AS value, count(*) AS n FROM (SELECT parent_id AS node_id FROM nodes WHERE role = 'lines') GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT node_id, 'child', NULL, count(*) FROM (SELECT parent_id AS node_id FROM nodes WHERE role = 'lines') GROUP BY 1 HAVING count(*) = 1
+UNION ALL SELECT node_id, NULL, NULL, 0 FROM nodes WHERE concept = 'Order' AND node_id NOT IN (SELECT parent_id FROM nodes WHERE role = 'lines')""")
+def member_of_node(f):
+    found = f.member(f.nodes_of_concept("Order"), "lines")
+    return found.select("node_id", "kind", "value", F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n"))
 
 
 @query("SELECT m.model_id, m.name, count(n.node_id) AS roots FROM models m LEFT JOIN nodes n ON m.model_id = n.model_id AND n.depth = 0 GROUP BY 1, 2")
@@ -114,11 +163,16 @@ def cross_model_ref_matrix(f):
     return f.refs.join(target, "target_node_id").where("model_id <> target_model_id").groupBy("model_id", "target_model_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT 'lines' AS role, 'Order' AS owner, concept FROM nodes WHERE role = 'lines' AND concept <> 'Order' UNION SELECT DISTINCT 'orders', 'Customer', concept FROM nodes WHERE role = 'orders' AND concept <> 'Customer'")
+@query("""SELECT DISTINCT n.concept, p.concept AS owner, n.role FROM nodes n JOIN nodes p ON n.parent_id = p.node_id WHERE n.concept <> p.concept""")
 def super_concepts_theta(f):
-    owners = f.spark.createDataFrame([("lines", "Order"), ("orders", "Customer")], "role string, owner string")
-    used = f.nodes.where("role is not null").select("role", "concept").distinct()
-    return used.join(F.broadcast(owners), "role").where("owner <> concept").select("role", "owner", "concept")
+    kids = f.nodes.where("parent_id is not null").select("parent_id", "role", "concept")
+    owners = f.nodes.where("depth < 2").select(F.col("node_id").alias("parent_id"), F.col("concept").alias("owner"))
+    return kids.join(owners, "parent_id").where("owner <> concept").select("concept", "owner", "role").distinct()
+
+
+@query("SELECT m.model_id, d.dep_module_id, t.name AS target FROM models m JOIN (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM imports i JOIN models a ON i.model_id = a.model_id JOIN models b ON i.imported_model_id = b.model_id WHERE a.module_id <> b.module_id) d USING (module_id) JOIN modules t ON t.module_id = d.dep_module_id")
+def module_refs_resolved(f):
+    return f.models.select("model_id", "module_id").join(f.dependency_modules(), "module_id").select("model_id", "dep_module_id", F.col("target.name").alias("target"))
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------------------
@@ -143,16 +197,13 @@ def ancestors(f):
 
 def _numbered(f):
     path = F.concat_ws("/", F.when(F.col("concept") != "Customer", F.col("root_id")), F.when(F.col("concept") == "Line", F.col("parent_id")), F.col("node_id"))
-    nodes = f._roots("customer", "C", "c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), "Customer", "c_name").unionAll(f.orders).unionAll(f.line_nodes)
-    return tree.intervals(nodes.withColumn("path", path))
+    nodes = f.customers.unionAll(f.orders).unionAll(f.line_nodes).select("model_id", "root_id", "parent_id", "node_id", "concept", "depth")
+    return tree.intervals(nodes.withColumn("path", path), 2)
 
 
-@query("SELECT root_id, count(*) AS n FROM nodes WHERE concept IN ('Order', 'Line') GROUP BY 1")
+@query("SELECT parent_id AS ancestor_id, count(*) AS n FROM nodes WHERE concept = 'Line' GROUP BY 1 UNION ALL SELECT root_id, count(*) FROM nodes WHERE concept IN ('Order', 'Line') GROUP BY 1")
 def descendants_interval(f):
-    numbered = _numbered(f)
-    roots = numbered.where("parent_id is null").select("model_id", "root_id", F.col("pre").alias("low"), F.col("last").alias("high"))
-    # root_id is an equality that holds for every containment: the range is checked within one root's rows.
-    return numbered.join(roots, ["model_id", "root_id"]).where("pre > low and pre <= high").groupBy("root_id").agg(F.count("*").alias("n"))
+    return tree.descendants(_numbered(f)).groupBy("ancestor_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT root_id, count(*) AS size FROM nodes WHERE concept IN ('Customer', 'Order', 'Line') GROUP BY 1")
@@ -165,10 +216,29 @@ def tree_depth_stats(f):
     return f.nodes.groupBy("concept", "depth").agg(F.count("*").alias("n"))
 
 
-@query("SELECT model_id, node_id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY node_id) AS k FROM nodes WHERE concept = 'Customer') WHERE k <= 3")
+@query("""SELECT n.model_id, n.node_id, n.depth, CAST(r.k AS INTEGER) AS k FROM nodes n JOIN (SELECT model_id, root_id, row_number() OVER (PARTITION BY model_id ORDER BY root_id) AS k FROM nodes WHERE depth = 0) r
+ON n.model_id = r.model_id AND n.root_id = r.root_id WHERE r.k <= 3 AND n.depth <= 3""")
 def bounded_tree_dump(f):
-    first = Window.partitionBy("model_id").orderBy("node_id")
-    return f.roots.where("concept = 'Customer'").withColumn("k", F.row_number().over(first)).where("k <= 3").select("model_id", "node_id", "k")
+    first = Window.partitionBy("model_id").orderBy("root_id")
+    roots = f.roots.select("model_id", "root_id").withColumn("k", F.row_number().over(first)).where("k <= 3")
+    return f.nodes.where("depth <= 3").join(F.broadcast(roots), ["model_id", "root_id"]).select("model_id", "node_id", "depth", "k")  # three rows a model
+
+
+@query("""SELECT node_id, 'Line' AS concept, CAST(n + k AS BIGINT) AS place FROM (SELECT 'X' || substr(o.node_id, 2) || '_' || k AS node_id, o.node_id AS parent_id, k FROM (SELECT node_id FROM nodes WHERE concept = 'Order') o, (VALUES (1), (2)) v(k)) x
+LEFT JOIN (SELECT 'O' || l_orderkey AS parent_id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) l USING (parent_id) WHERE n IS NOT NULL
+UNION ALL SELECT node_id, concept, CAST(split_part(node_id, '_', 2) AS BIGINT) FROM nodes WHERE concept = 'Line'""")
+def children_added(f):
+    orders = f.nodes_of_concept("Order").join(f.line_nodes.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_semi")
+    more = orders.select("model_id", F.col("node_id").alias("parent_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    more = more.select("model_id", "parent_id", F.concat(F.lit("X"), F.substring("parent_id", 2, 99), F.lit("_"), F.col("k").cast("string")).alias("node_id"), F.lit("Line").alias("concept"), F.lit("lines").alias("role"), F.create_map().cast("map<string,string>").alias("props"))
+    return edits.add_children(f.nodes, more).where("concept = 'Line'").select("node_id", "concept", F.col("ord").alias("place"))
+
+
+@query("SELECT 'P' || p_partkey AS node_id, p_name AS name, CASE WHEN p_size > 25 THEN 'large' ELSE p_brand END AS brand, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS size FROM part")
+def properties_added(f):
+    large = f.table("part").where("p_size > 25").select(F.concat(F.lit("N"), (F.col("p_partkey") % 25).cast("string")).alias("model_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node_id"), F.explode(F.create_map(F.lit("brand"), F.lit("large"), F.lit("size"), F.col("p_size").cast("string"))).alias("key", "value"))
+    props = edits.add_properties(f.roots.where("concept = 'Part'"), large)
+    return props.select("node_id", F.col("props")["name"].alias("name"), F.col("props")["brand"].alias("brand"), F.try_element_at("props", F.lit("size")).alias("size"))
 
 
 @query("SELECT node_id, 'child' AS link, parent_id AS source FROM nodes WHERE role = 'lines' UNION ALL SELECT target_node_id, 'ref', node_id FROM refs WHERE role = 'part'")
@@ -182,7 +252,7 @@ SELECT x, CAST(y AS BIGINT) AS y FROM up""")
 def part_tree_closure(f):
     f.table("part").select("p_partkey").createOrReplaceTempView("sylvan_part")
     return f.spark.sql("""WITH RECURSIVE up(x, y) MAX RECURSION LEVEL 40 AS (SELECT p_partkey, p_partkey div 4 FROM sylvan_part WHERE p_partkey >= 4
-      UNION ALL SELECT x, y div 4 FROM up WHERE y >= 4) SELECT x, y FROM up""")
+      UNION ALL SELECT up.x, p_partkey div 4 FROM up JOIN sylvan_part ON up.y = p_partkey WHERE p_partkey >= 4) SELECT x, y FROM up""")
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN turn > 0 THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent_turn FROM conversations")
@@ -249,15 +319,31 @@ def last_wins_map(f):
 
 _CLOSURE = """, reach(x, y) AS (SELECT model_id, imported_model_id FROM imports UNION SELECT r.x, i.imported_model_id FROM reach r JOIN imports i ON r.y = i.model_id)
 """
-_MODULE_EDGES = """, deps AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM imports i JOIN models a ON i.model_id = a.model_id JOIN models b ON i.imported_model_id = b.model_id WHERE a.module_id < b.module_id),
+_MODULE_EDGES = """, deps AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM imports i JOIN models a ON i.model_id = a.model_id JOIN models b ON i.imported_model_id = b.model_id WHERE a.module_id <> b.module_id),
 reach(x, y) AS (SELECT module_id, dep_module_id FROM deps UNION SELECT r.x, d.dep_module_id FROM reach r JOIN deps d ON r.y = d.module_id)
 """
+#: Edges without cycles, so that cones differ: of the imports, those of the model four places further on.
+_CHAIN = """, chain AS (SELECT DISTINCT model_id, imported_model_id FROM imports WHERE CAST(substr(imported_model_id, 2) AS INTEGER) = CAST(substr(model_id, 2) AS INTEGER) + 4),
+reach(x, y) AS (SELECT model_id, imported_model_id FROM chain UNION SELECT r.x, c.imported_model_id FROM reach r JOIN chain c ON r.y = c.model_id),
+edges AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM chain JOIN models a USING (model_id) JOIN models b ON imported_model_id = b.model_id WHERE a.module_id <> b.module_id),
+mreach(x, y) AS (SELECT module_id, dep_module_id FROM edges UNION SELECT r.x, e.dep_module_id FROM mreach r JOIN edges e ON r.y = e.module_id)
+"""
 
 
-def _module_edges(f):
+def _chain(f):
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    return f.imports.where(number("imported_model_id") == number("model_id") + 4)
+
+
+def _chain_modules(f):
     of = f.models.select("model_id", "module_id")
     to = of.select(F.col("model_id").alias("imported_model_id"), F.col("module_id").alias("dep_module_id"))
-    return f.imports.join(of, "model_id").join(to, "imported_model_id").where("module_id < dep_module_id").select("module_id", "dep_module_id").distinct()
+    return _chain(f).join(of, "model_id").join(to, "imported_model_id").where("module_id <> dep_module_id").select("module_id", "dep_module_id").distinct()
+
+
+def _cone(f, changed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The cone of changed paths, over the files that the forest would have."""
+    return graph.cone_of_influence(f.modules, f.models, _chain_modules(f), _chain(f), graph.modified_entities(changed, f.files, f.modules, f.models))
 
 
 def _reach(f):
@@ -271,7 +357,7 @@ def model_imports_closure(f):
 
 @query(_MODULE_EDGES + "SELECT x, y FROM reach")
 def module_deps_closure(f):
-    return graph.closure(_module_edges(f), "module_id", "dep_module_id")
+    return graph.closure(f.module_deps, "module_id", "dep_module_id")
 
 
 @query(_CLOSURE + "SELECT y AS x, x AS y FROM reach")
@@ -285,16 +371,30 @@ def cone_of_influence_models(f):
     return graph.cone(f.models.where("model_id = 'N3'").select("model_id"), _reach(f))
 
 
-@query(_MODULE_EDGES + "SELECT 'M3' AS module_id UNION SELECT x FROM reach WHERE y = 'M3'")
+@query("SELECT 'src/' || module_id || '/' || module_id || '.msd' AS path, 'module' AS kind, module_id AS id FROM modules WHERE module_id IN ('M1', 'M3') UNION ALL SELECT 'src/' || module_id || '/models/' || model_id || '.mps', 'model', model_id FROM models WHERE module_id = 'M1' UNION ALL SELECT 'src/M3/gone.mps', 'model', NULL")
+def modified_entities_of_paths(f):
+    changed = f.model_by_id("N1").select("path").unionAll(f.spark.createDataFrame([("src/M3/gone.mps",), ("src/M3/notes.txt",)], "path string"))
+    return graph.modified_entities(changed, f.files, f.modules, f.models)
+
+
+@query(_CHAIN + """, hit AS (SELECT model_id AS id FROM models WHERE module_id = 'M1' UNION SELECT x FROM reach JOIN models ON y = model_id AND module_id = 'M1'),
+every AS (SELECT id, true AS affected FROM hit UNION SELECT y, false FROM reach WHERE x IN (SELECT id FROM hit))
+SELECT id AS model_id, bool_or(affected) AS affected FROM every GROUP BY 1""")
+def cone_of_influence_by_models(f):
+    return _cone(f, f.models.where("module_id = 'M1'").select("path"))[1]
+
+
+@query(_CHAIN + """, hit AS (SELECT 'M1' AS id UNION SELECT x FROM mreach WHERE y = 'M1'), every AS (SELECT id, true AS affected FROM hit UNION SELECT y, false FROM mreach WHERE x IN (SELECT id FROM hit))
+SELECT id AS module_id, bool_or(affected) AS affected FROM every GROUP BY 1""")
 def cone_of_influence_modules_fallback(f):
-    changed = f.spark.createDataFrame([("a/gone.mps", "M3", None)], "path string, module_id string, model_id string")
-    return graph.cone_of_influence(f.modules, f.models, _module_edges(f), f.imports, changed)[0]
+    missing = f.modules.where("module_id = 'M1'").select(F.regexp_replace("path", "[^/]*$", "models/gone.mps").alias("path"))
+    return _cone(f, missing)[0]
 
 
-@query("SELECT module_id FROM modules")
+@query("SELECT module_id, true AS affected FROM modules")
 def cone_missing_all(f):
-    changed = f.spark.createDataFrame([("new/x.msd", None, None)], "path string, module_id string, model_id string")
-    return graph.cone_of_influence(f.modules, f.models, _module_edges(f), f.imports, changed)[0]
+    missing = f.modules.where("module_id = 'M1'").select(F.regexp_replace("path", "[^/]*$", "gone.msd").alias("path"))
+    return _cone(f, missing)[0]
 
 
 @query("SELECT url, count(*) AS n_dirs, min(dir) AS first_dir FROM (SELECT url, unnest(list_transform(range(1, len(string_split(url, '/'))), lambda i: array_to_string(string_split(url, '/')[1:i], '/'))) AS dir FROM pages) GROUP BY url")
@@ -332,10 +432,10 @@ def model_ref_split(f):
     return f.table("nation").select(id_.alias("id"), name.alias("name"))
 
 
-@query("SELECT c_custkey, lpad(lower(hex(c_custkey)), 8, '0') AS tail FROM customer")
+@query("SELECT c_custkey, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || l[1:4] || '-' || l[5:16] AS uuid FROM (SELECT c_custkey, lpad(lower(hex(c_custkey * 1234567891)), 16, '0') AS h, lower(hex(CAST(-1 - c_custkey AS BIGINT))) AS l FROM customer)")
 def uuid_format(f):
-    made = ids.uuid_of(F.lit(-1).cast("long"), F.col("c_custkey").cast("long"))
-    return f.table("customer").select("c_custkey", F.when(made.startswith("ffffffff-ffff-ffff-0000-"), F.right(made, F.lit(8))).alias("tail"))
+    key = F.col("c_custkey").cast("long")
+    return f.table("customer").select("c_custkey", ids.uuid_of(key * 1234567891, -1 - key).alias("uuid"))
 
 
 @query("SELECT DISTINCT p_type, split_part('4Yb5JA31wzt/' || p_type, '/', 2) AS name FROM part")
