@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators import graph
+from ..operators.questions import Questions
 from . import binary_models, xml_models
 from .rows import MODULE_TABLES, SCHEMA, TABLES
 
@@ -226,7 +228,7 @@ def _fingerprints(snapshot: str) -> dict[str, str]:
     return {x["path"]: x["fingerprint"] for x in rows.to_pylist()}
 
 
-class Repository:
+class Repository(Questions):
     """The canonical tables of one or many directories, or of a snapshot of them.
 
     Each table scans for itself and reads no more than it needs; for repeated use take a ``snapshot``.  Of modules with one name and of
@@ -339,10 +341,44 @@ class Repository:
 
     # --- questions ---
 
-    def nodes_of_concept(self, concept: str) -> DataFrame:
-        """By full name, or by the last part of it."""
-        by = F.col("concept") if "." in concept else F.substring_index("concept", ".", -1)
-        return self.nodes.where(by == concept)
+    def model_edges(self) -> DataFrame:
+        """Imports between models that were found."""
+        known = self.models.select("model_id")
+        edges = self.model_imports.select("model_id", "imported_model_id").distinct()
+        return edges.join(known, "model_id", "left_semi").join(known.withColumnRenamed("model_id", "imported_model_id"), "imported_model_id", "left_semi").select("model_id", "imported_model_id")
+
+    def module_edges(self) -> DataFrame:
+        known = self.modules.select("module_id")
+        edges = self.module_deps.select("module_id", "dep_module_id").distinct()
+        return edges.join(known, "module_id", "left_semi").join(known.withColumnRenamed("module_id", "dep_module_id"), "dep_module_id", "left_semi").select("module_id", "dep_module_id")
+
+    def module_reach(self) -> DataFrame:
+        """All (x, y): module x needs module y, directly or not."""
+        return graph.closure(self.module_edges(), "module_id", "dep_module_id")
+
+    def model_reach(self) -> DataFrame:
+        return graph.closure(self.model_edges(), "model_id", "imported_model_id")
+
+    def loaded_imports(self) -> DataFrame:
+        """Each import with the model it means; a model that was never found is a row with loaded false."""
+        target = self.models.select(F.col("model_id").alias("imported_model_id"), F.col("name").alias("found"))
+        out = self.model_imports.join(target, "imported_model_id", "left")
+        return out.select("model_id", "imported_model_id", F.coalesce("found", "imported_name").alias("imported_name"), F.col("found").isNotNull().alias("loaded"))
+
+    def listed(self) -> DataFrame:
+        """path of every descriptor and model file below the repository's directories, whether it is read or not; the driver lists, as for a scan."""
+        found = [(f.path,) for path in self.paths for f in _listing(path)[1] if f.path.endswith((SOLUTION, SINGLE, HEADER))]
+        return self.spark.createDataFrame(found, "path string")
+
+    def modified(self, changed: DataFrame, top: str) -> DataFrame:
+        """path, kind, id of the modules and models that changed paths (relative to the directory ``top``) touch; id is null for a missing one."""
+        top = (top if "://" in top else os.path.abspath(top)).rstrip("/")
+        inner = lambda df: df.where(F.col("path").startswith(top + "/")).withColumn("path", F.substring("path", len(top) + 2, 1 << 20))
+        return graph.modified_entities(changed, inner(self.listed()), inner(self.modules.select("module_id", "path")), inner(self.models.select("model_id", "path")))
+
+    def cone_of_influence(self, changed: DataFrame, top: str) -> tuple[DataFrame, DataFrame | None]:
+        """Affected modules and models of changed paths; see graph.cone_of_influence."""
+        return graph.cone_of_influence(self.modules, self.models, self.module_edges(), self.model_edges(), self.modified(changed, top))
 
     def resolved(self) -> DataFrame:
         """References with their targets; target is null for an unknown model or node.  A reference keeps one row."""

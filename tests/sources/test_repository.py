@@ -45,7 +45,7 @@ def test_nodes_and_intervals(repo):
     assert rows(top, "node_id", F.coalesce("parent_id", F.lit("")), "root_id", F.coalesce("role", F.lit("")), "depth", "pre", "last") == [("1a", "", "1a", "", 0, 1, 4), ("1b", "1a", "1a", "plants", 1, 2, 2), ("1c", "1a", "1a", "plants", 1, 3, 3), ("1d", "1a", "1a", "plants", 1, 4, 4)]
     assert rows(top.where("node_id = '1b'"), "concept", F.col("props")["name"], F.col("props")["height"]) == [("garden.structure.Plant", "Fern", "40")]
     assert rows(repo.descendants(top.where("node_id = '1a'")), "node_id") == [("1b",), ("1c",), ("1d",)]
-    assert repo.nodes_of_concept("Plant").count() == 5 and repo.nodes_of_concept("garden.structure.Bed").count() == 1
+    assert repo.nodes_of_short_concept("Plant").count() == 5 and repo.nodes_of_concept("garden.structure.Bed").count() == 1
 
 
 def test_references_resolve_in_their_own_model(repo):
