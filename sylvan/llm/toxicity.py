@@ -1,13 +1,12 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (and of itself), hashed into ``BUCKETS`` embeddings; a segment of ``SEGMENT`` words is the mean
-of its words' means (the last segment of a text is filled up with words of no weight); a linear softmax over that mean gives the segment's classes.  A text is as toxic as its most toxic segment:
-a short insult in a very long text counts as much as in a short one.  Misspellings share most n-grams with what was learned.  Text without
-white space (Chinese, joined words, long addresses) counts as overlapping pieces, all of which are scored.
+A word is the bag of its character n-grams (and of itself), hashed into ``BUCKETS`` embeddings: its vector is their mean.  A text is the
+weighted mean of its words' vectors, and a linear softmax over that mean gives its classes.  A word's weight is exp of the mean of its n-grams'
+gates, learned from the same loss, so that a short insult isn't lost in the mean of a very long text.  Misspellings share most n-grams with
+what was learned.  Text without white space (Chinese, joined words, long addresses) counts as overlapping pieces, all of which are read.
 
-Training is joint: the softmax and the embeddings get gradients from the same loss.  As the softmax is linear in the mean, the loss
+Training is joint: softmax, embeddings and gates get gradients from the same loss.  As the softmax is linear in the mean, the loss
 gradient of an n-gram's embedding is one number times the softmax direction, so a step needs the sums of these numbers alone.
-The first quarter of the passes spreads a text's error over all of its segments, the others give it to its most toxic one.
 
 The learning sample is bounded: ``SAMPLE`` labelled rows at most (lowest hash of doc_id first, toxic rows up to half), each with its whole
 text, so the driver's memory grows with the texts of these rows.  Scoring reads every whole text.
@@ -20,9 +19,10 @@ repeated rows score alike; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +30,15 @@ from . import common
 
 BUCKETS = 1 << 18
 DIMENSIONS = 12
-SEGMENT = 3
+#: Gates of a word are cut to these: no word counts more than exp(12) times as much as a neutral one.
+GATES = (-8.0, 12.0)
 GRAMS = (3, 4, 5)
 SAMPLE = 6_000
-#: Rows of a step; passes over the sample, and steps at least where it is small; step size of the embeddings.
+#: Rows of a step; passes over the sample, and steps at least where it is small; step sizes of embeddings and gates.
 BATCH = 400
 EPOCHS = 24
 LEAST_STEPS = 120
-RATE = 0.5
+RATE, GATE_RATE = 0.5, 1.0
 CACHED_WORDS = 200_000
 #: Bytes up to which a chunk between white space is one word; characters of the pieces of longer ones, of which each begins half a piece after the last.
 LONG = 64
@@ -95,78 +96,88 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], np.bincount(owner, minlength=len(raw))
 
 
+class Model(NamedTuple):
+    """What an n-gram of each bucket adds to the toxic logit of a word that is it alone, the gates, and the bias."""
+
+    gram: np.ndarray
+    gate: np.ndarray
+    bias: float
+
+
 class _Batch:
-    """A fixed part of the sample: its words by segment, and their n-grams."""
+    """A fixed part of the sample: its words by text, and their n-grams."""
 
     def __init__(self, texts: list[list[str]], labels: np.ndarray, weight: np.ndarray):
         vocabulary: dict[str, int] = {}
-        flat = [vocabulary.setdefault(w, len(vocabulary)) for own in texts for w in own]
-        self.words = np.asarray(flat, np.int32)
-        size = np.asarray([len(own) for own in texts], np.int64)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        begins = place % SEGMENT == 0
-        self.segment = (np.cumsum(begins) - 1).astype(np.int32)
-        self.seg_text = np.repeat(np.arange(len(texts), dtype=np.int32), size)[begins]
-        self.n_seg = np.bincount(self.seg_text, minlength=len(texts))
-        self.first = np.cumsum(self.n_seg) - self.n_seg
+        self.words = np.asarray([vocabulary.setdefault(w, len(vocabulary)) for own in texts for w in own], np.int32)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(own) for own in texts])
         buckets, self.each = grams(list(vocabulary))
         self.buckets = buckets.astype(np.int32)
         self.starts = np.cumsum(self.each) - self.each
         self.labels, self.weight = labels, weight
 
+    def mean(self, of_bucket: np.ndarray) -> np.ndarray:
+        """Of each word's n-grams."""
+        return np.add.reduceat(of_bucket[self.buckets], self.starts) / self.each
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """What an n-gram of each bucket adds to the toxic logit of a word that is it alone, and the bias."""
+    def back(self, by_place: np.ndarray) -> np.ndarray:
+        """Sums by bucket of what the words' places in the texts get."""
+        by_word = np.bincount(self.words, weights=by_place, minlength=len(self.each)) / self.each
+        return np.bincount(self.buckets, weights=np.repeat(by_word, self.each), minlength=BUCKETS)
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     labels = np.asarray(labels, float)
     share = float(labels.mean()) if len(labels) else 0.0
+    none = np.zeros(BUCKETS, np.float32)
     if share in (0.0, 1.0):
-        return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
+        return Model(none, none, 30.0 if share else -30.0)
     r = np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     usable = np.asarray([k for k, text in enumerate(texts) if text.strip()], np.int64)
     if not len(usable):
-        return np.zeros(BUCKETS, np.float32), -30.0
+        return Model(none, none, -30.0)
     usable = usable[r.permutation(len(usable))]
     batches = [_Batch([split(texts[i]) for i in part], labels[part], weight[part] / len(part)) for part in np.array_split(usable, max(1, len(usable) // BATCH))]
 
     e = r.standard_normal((BUCKETS, DIMENSIONS)) * 0.02
     u = r.standard_normal((2, DIMENSIONS)) * 0.3
-    b = np.zeros(2)
-    sums = [np.full(BUCKETS, 1e-12), np.full(u.shape, 1e-6), np.full(2, 1e-6)]
-    epochs = max(EPOCHS, -(-LEAST_STEPS // len(batches)))
-    for epoch in range(epochs):
+    b, gate = np.zeros(2), np.zeros(BUCKETS)
+    sums = [np.full(BUCKETS, 1e-12), np.full(u.shape, 1e-6), np.full(2, 1e-6), np.full(BUCKETS, 1e-12)]
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // len(batches)))):
         for k in r.permutation(len(batches)):
             x = batches[k]
             direction = u[1] - u[0]
-            gram = np.einsum("ij,j->i", e, direction)  # without threads of a BLAS
-            score = np.add.reduceat(gram[x.buckets], x.starts) / x.each
-            logits = np.bincount(x.segment, weights=score[x.words]) / SEGMENT + (b[1] - b[0])
-            part = np.zeros(len(logits))
-            if epoch < epochs // 4:
-                p = 1 / (1 + np.exp(-np.add.reduceat(logits, x.first) / x.n_seg))
-                part += ((p - x.labels) * x.weight / x.n_seg)[x.seg_text]
-            else:
-                top = np.lexsort((-logits, x.seg_text))[x.first]
-                p = 1 / (1 + np.exp(-logits[top]))
-                part[top] += (p - x.labels) * x.weight
-            by_word = np.bincount(x.words, weights=(part / SEGMENT)[x.segment], minlength=len(x.each)) / x.each
-            by_gram = np.bincount(x.buckets, weights=np.repeat(by_word, x.each), minlength=BUCKETS)
+            score = x.mean(np.einsum("ij,j->i", e, direction))[x.words]  # without threads of a BLAS
+            own = np.exp(np.clip(x.mean(gate), *GATES))[x.words]
+            own /= np.bincount(x.text, weights=own, minlength=len(x.labels))[x.text]
+            logit = np.bincount(x.text, weights=own * score, minlength=len(x.labels))
+            wrong = (1 / (1 + np.exp(-np.clip(logit + b[1] - b[0], -40, 40))) - x.labels) * x.weight
+            by_gram = x.back(own * wrong[x.text])
+            by_gate = x.back(own * wrong[x.text] * (score - logit[x.text]))
             toward = np.einsum("i,ij->j", by_gram, e)
             norm = np.sqrt(direction @ direction)
             at = np.flatnonzero(by_gram)
             sums[0][at] += by_gram[at] ** 2
             e[at] -= RATE * (by_gram[at] / np.sqrt(sums[0][at]))[:, None] * (direction / norm)[None, :]
-            for v, g, total, rate in ((u, np.stack([-toward, toward]), sums[1], 0.05), (b, np.array([-part.sum(), part.sum()]), sums[2], 0.1)):
+            sums[3][at] += by_gate[at] ** 2
+            gate[at] -= GATE_RATE * by_gate[at] / np.sqrt(sums[3][at])
+            for v, g, total, rate in ((u, np.stack([-toward, toward]), sums[1], 0.05), (b, np.array([-wrong.sum(), wrong.sum()]), sums[2], 0.1)):
                 total += g * g
                 v -= rate * g / np.sqrt(total)
-    return (e @ (u[1] - u[0])).astype(np.float32), float(b[1] - b[0])
+    return Model((e @ (u[1] - u[0])).astype(np.float32), gate.astype(np.float32), float(b[1] - b[0]))
 
 
 class Scorer:
-    """Scores whole texts; word scores are kept in a bounded cache."""
+    """Scores whole texts; what words add is kept in a bounded cache."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
 
-    def __init__(self, gram: np.ndarray, bias: float):
-        self.gram, self.bias, self.cache = gram, bias, {}
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.values = np.zeros((1024, 2))
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -179,25 +190,33 @@ class Scorer:
                 group, held = [], 0
         return out
 
-    def _score(self, group: list[tuple[int, list[str]]], out: np.ndarray) -> None:
-        seen = set().union(*(own for _, own in group))
-        if len(self.cache) + len(seen) > CACHED_WORDS:
-            self.cache.clear()
-        new = [w for w in seen if w not in self.cache]
+    def _learn(self, new: list[str]) -> None:
+        size = len(self.place) + len(new)
+        if size > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros((size, 2))])
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             buckets, each = grams(part)
-            self.cache.update(zip(part, (np.add.reduceat(self.gram[buckets], np.cumsum(each) - each) / each).tolist()))
-        get = self.cache.__getitem__
+            starts, first = np.cumsum(each) - each, len(self.place)
+            weight = np.exp(np.clip(np.add.reduceat(self.model.gate[buckets].astype(float), starts) / each, *GATES))
+            self.values[first : first + len(part), 0] = weight
+            self.values[first : first + len(part), 1] = weight * np.add.reduceat(self.model.gram[buckets], starts) / each
+            self.place.update(zip(part, range(first, first + len(part))))
+
+    def _score(self, group: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        seen = set().union(*(own for _, own in group))
+        if len(self.place) + len(seen) > CACHED_WORDS:
+            self.clear()
+        self._learn([w for w in seen if w not in self.place])
+        get = self.place.__getitem__
         for k, own in group:
-            logit = self.bias
+            logit = self.model.bias
             if own:
-                scores = np.fromiter(map(get, own), np.float64, len(own))
-                starts = np.arange(0, len(own), SEGMENT)
-                logit += np.add.reduceat(scores, starts).max() / SEGMENT
+                weight, total = self.values[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0)
+                logit += total / weight
             out[k] = 1 / (1 + np.exp(-min(max(logit, -40), 40)))
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        if len(self.place) > CACHED_WORDS:
+            self.clear()
 
 
 def held_out() -> F.Column:
@@ -205,7 +224,7 @@ def held_out() -> F.Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled rows that aren't held out, ``sample`` at most."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     order = F.xxhash64("doc_id")
@@ -222,32 +241,32 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return train([r["text"] for r in rows], np.asarray([r["toxic"] for r in rows]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # twice BUCKETS numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scorer.score(pdf["text"].tolist())})
-        scorer.cache.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": scorer.score(batch.column("text").to_pylist())})
+        scorer.clear()
         common.give_back()
 
-    return common.documents(docs).mapInPandas(run, "doc_id long, score double")
+    return common.documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def clean(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows, with all of their columns, that score below the limit."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value)
-        for pdf in batches:
-            yield pdf[scorer.score([t or "" for t in pdf["text"]]) < limit]
-        scorer.cache.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score([t or "" for t in batch.column("text").to_pylist()]) < limit))
+        scorer.clear()
         common.give_back()
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

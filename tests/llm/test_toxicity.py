@@ -20,7 +20,7 @@ def corpus(n, seed):
 
 
 def test_held_out_accuracy_and_misspellings():
-    scorer = toxicity.Scorer(*toxicity.train(*corpus(1200, 1)))
+    scorer = toxicity.Scorer(toxicity.train(*corpus(1200, 1)))
     texts, labels = corpus(400, 2)
     assert ((scorer.score(texts) >= 0.5) == labels).mean() > 0.97
     clean = texts[1]
@@ -30,7 +30,7 @@ def test_held_out_accuracy_and_misspellings():
 
 def test_all_of_a_text_without_spaces_counts():
     texts, labels = corpus(1200, 1)
-    scorer = toxicity.Scorer(*toxicity.train([t.replace(" ", "_") if k % 8 < 4 else t for k, t in enumerate(texts)], labels))
+    scorer = toxicity.Scorer(toxicity.train([t.replace(" ", "_") if k % 8 < 4 else t for k, t in enumerate(texts)], labels))
     clean = corpus(2, 2)[0][1].replace(" ", "_")[:300]
     early, late, plain = scorer.score([f"blockhead_{clean}", f"{clean}_blockhead_{clean}", f"{clean}_{clean}"])
     assert early > 0.5 and late > 0.5 > plain
@@ -43,13 +43,24 @@ def test_all_of_a_text_without_spaces_counts():
 def test_learns_from_the_end_of_long_texts(spark):
     texts = [" ".join(corpus(2, k)[0][1].split()[:9]) + " " * 4100 + ("blockhead" if k % 2 else "seldom") for k in range(60)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
-    bad, good = toxicity.Scorer(*toxicity.learn(odd.docs(spark, texts), labels)).score(["blockhead", "seldom"])
+    bad, good = toxicity.Scorer(toxicity.learn(odd.docs(spark, texts), labels)).score(["blockhead", "seldom"])
     assert bad > 0.5 > good
     filler = " ".join(["seldom"] * 4100)
-    bad, good = toxicity.Scorer(*toxicity.train([filler + " blockhead", filler] * 6, np.asarray([1, 0] * 6))).score(["blockhead", "seldom"])
+    bad, good = toxicity.Scorer(toxicity.train([filler + " blockhead", filler] * 6, np.asarray([1, 0] * 6))).score(["blockhead", "seldom"])
     assert bad > 0.5 > good
 
 
+def test_score_is_the_softmax_of_the_weighted_mean():
+    model = toxicity.train(*corpus(400, 3))
+    for text in corpus(8, 4)[0] + ["one", "blockhead x" * 40]:
+        top = bottom = 0.0
+        for w in toxicity.split(text):
+            buckets, _ = toxicity.grams([w])
+            weight = np.exp(np.clip(model.gate[buckets].astype(float).mean(), *toxicity.GATES))
+            top, bottom = top + weight * model.gram[buckets].astype(float).mean(), bottom + weight
+        assert abs(toxicity.Scorer(model).score([text])[0] - 1 / (1 + np.exp(-np.clip(top / bottom + model.bias, -40, 40)))) < 1e-5
+
+
 def test_odd_tables(spark):
     docs = odd.docs(spark)
     labels = spark.createDataFrame([(7, 0, 0), (8, 0, 1), (8, 1, 0), (3, 1, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
