@@ -3,9 +3,10 @@
 The base patterns (e-mail, IP, card, phone) give each kind's leftmost matches, found in linear time.  The field adds spans apart from
 them: telephone numbers without a plus, cards with other separators, spelled-out e-mail addresses, IPv6 addresses.  It scores whole
 candidate segments of up to ``LONGEST`` tokens (and whole spelled-out addresses of any length) by features of the whole span (shape, digits, checksum, separators, neighbours), and dynamic
-programming over a window's positions chooses boundaries and kinds together.  Segments without a digit, an at sign or a spelled-out
-one can't be entities, so only windows around those are decoded, which is the same as decoding all of the text.  Weights are trained
-in numpy by conditional likelihood (forward sums over segmentations) on sentences made from ``_FORMS`` with a fixed seed.
+programming over the tokens chooses boundaries and kinds together.  Segments without a digit, an at sign or a spelled-out one can't be
+entities, so only windows of tokens around those are decoded: wide enough for any segment that holds one and for all that its features
+look at, which gives what decoding all of the text would.  The base spans stand; the stretches between them are decoded, each as a text of
+its own.  Weights are trained in numpy by conditional likelihood (forward sums over segmentations) on made-up sentences with a fixed seed.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; n_* count base spans; repeated rows each have
 a result; an empty table gives an empty result; other columns are ignored.
@@ -13,15 +14,17 @@ a result; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most, but for spelled addresses, which may be of any length: eight groups of an IPv6 address have 39 at most
 #: (four characters that are tokens each, seven colons), and nineteen digits of a card each set apart have 37.
 LONGEST = 40
-#: Characters kept around a trigger: a segment of one-character tokens, and a few words besides.
-MARGIN = LONGEST + 24
-#: The score above "no entity" that an added span needs.
+#: Digits of a telephone number or a card.
+DIGITS = (7, 19)
+#: Tokens before and after a segment that its features look at.
+BEFORE, AFTER = 4, 8
+#: What each entity costs on the best path: spans are added where they are likely, not just likelier than none.
 LEAST = 1.0
 
 # --- base patterns ------------------------------------------------------------------------------------------------------------------
@@ -86,6 +91,9 @@ _AT = re.compile(r"[\[({<]\s?at\s?[\])}>]", re.I)
 _SPELLED = re.compile(r"[\w.+-]+ ?[\[({<] ?at ?[\])}>] ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w+)+", re.I)
 _SPELLED_END = re.compile(r" ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w+)+", re.I)
 _MORE = re.compile(r"(?: ?[\[({<] ?dot ?[\])}>] ?|\.)\w", re.I)
+_SIGN = re.compile(r"@|" + _AT.pattern, re.I)
+_NAMES = re.compile(r" ?[\w-]+(?:(?: ?[\[({<] ?dot ?[\])}>] ?|\.)[\w-]+)*", re.I)
+_HEX = re.compile("[A-Fa-f]+")
 _HINTS = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "mail": "email", "email": "email", "contact": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "server": "ip"}
 
 
@@ -109,11 +117,11 @@ def features(tokens: list[str], i: int, j: int, text: str) -> list[str]:
     if re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})", text) or re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f:]*", text):
         out.append("sixteenths")
     if _AT.search(text) and _SPELLED.fullmatch(text):
-        if i and tokens[i - 1] in "._+-" or _MORE.match("".join(tokens[j : j + 8])):
+        if i and tokens[i - 1] in "._+-" or _MORE.match("".join(tokens[j : j + AFTER])):
             out.append("part")  # of a longer address
         else:
             out.append("spelled")
-    before = next((t for t in reversed(tokens[max(0, i - 4) : i]) if t.isalpha()), "").lower()
+    before = next((t for t in reversed(tokens[max(0, i - BEFORE) : i]) if t.isalpha()), "").lower()
     if before in _HINTS:
         out.append(f"hint={_HINTS[before]}")
     if i and (tokens[i - 1].isalnum() or tokens[i - 1] in "-.@:/+$€#") or j < len(tokens) and (tokens[j].isalnum() or tokens[j] in "@:/%"):
@@ -134,25 +142,67 @@ def spelled(text: str) -> Iterator[tuple[int, int]]:
             yield start, end.end()
 
 
-def segments(tokens: list[str]) -> list[tuple[int, int, list[str]]]:
-    """Candidate segments (i, j, features) of a window."""
-    out = []
-    for i in range(len(tokens)):
-        text = ""
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            text += tokens[j - 1]
-            if "\n" in text:
+def _numeric(i: int, tokens: list[str], kinds: str) -> Iterator[int]:
+    """Ends of segments from i of digits, spaces and marks, with as many digits as a telephone number or a card has."""
+    digits = 0
+    for j in range(i, min(len(tokens), i + LONGEST)):
+        if kinds[j] == "d":
+            digits += len(tokens[j])
+        elif kinds[j] not in "sm":
+            return
+        if digits > DIGITS[1]:
+            return
+        if digits >= DIGITS[0] and kinds[j] != "s":
+            yield j + 1
+
+
+def _sixteenths(i: int, tokens: list[str], kinds: str) -> Iterator[int]:
+    """Ends of segments from i of hexadecimal groups and two colons at least."""
+    colons = 0
+    for j in range(i, min(len(tokens), i + LONGEST)):
+        if kinds[j] not in "dhc":
+            return
+        colons += kinds[j] == "c"
+        if colons > 1 and kinds[j] != "c":
+            yield j + 1
+
+
+def _addresses(tokens: list[str], text: str, place: list[int]) -> Iterator[tuple[int, int]]:
+    """Segments around an at sign or a spelled-out one: words and marks before it, names after it."""
+    where = {p: k for k, p in enumerate(place)}
+    for m in _SIGN.finditer(text):
+        first = bisect.bisect_right(place, m.start()) - 1
+        first -= bool(first and tokens[first - 1] == " ")
+        starts = []
+        for i in range(first - 1, max(0, first - LONGEST) - 1, -1):
+            if not (tokens[i].isalnum() or tokens[i] in ".+-_"):
                 break
-            if found := features(tokens, i, j, text):
-                out.append((i, j, found))
+            starts.append(i)
+        if end := _NAMES.match(text, m.end()):
+            last = bisect.bisect_left(place, end.end())
+            for j in range(bisect.bisect_left(place, m.end()) + 1, min(last, first + LONGEST) + 1):
+                if tokens[j - 1].isalnum():
+                    yield from ((i, j) for i in starts if j - i <= LONGEST)
+    for a, b in spelled(text) if _AT.search(text) else ():
+        i, j = where.get(a), where.get(b)
+        if i is not None and j is not None and j - i > LONGEST:
+            yield i, j
+
+
+def segments(tokens: list[str]) -> list[tuple[int, int, list[str]]]:
+    """Candidate segments (i, j, features) of a window: the bounded ones that can be entities at all."""
     text = "".join(tokens)
-    if _AT.search(text):
-        at = {int(p): k for k, p in enumerate(np.cumsum([0, *map(len, tokens)]))}
-        for a, b in spelled(text):
-            i, j = at.get(a), at.get(b)
-            if i is not None and j is not None and j - i > LONGEST and (found := features(tokens, i, j, text[a:b])):
-                out.append((i, j, found))
-    return out
+    if not _TRIGGER.search(text):
+        return []
+    place = [0, *accumulate(map(len, tokens))]
+    kinds = "".join("d" if t.isdecimal() and t.isascii() else "h" if len(t) <= 4 and _HEX.fullmatch(t) else "c" if t == ":" else "m" if t in "().+-/" else "s" if t.isspace() and "\n" not in t else "o" for t in tokens)
+    found = set(_addresses(tokens, text, place)) if _SIGN.search(text) else set()
+    for i, kind in enumerate(kinds):
+        if kind in "dm":
+            found.update((i, j) for j in _numeric(i, tokens, kinds))
+        if kind in "dhc" and ":" in tokens[i : i + 5]:
+            found.update((i, j) for j in _sixteenths(i, tokens, kinds))
+    return [(i, j, own) for i, j in sorted(found) if (own := features(tokens, i, j, text[place[i] : place[j]]))]
 
 
 def _scored(found: list[tuple[int, int, list[str]]], w: dict[str, np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
@@ -161,15 +211,15 @@ def _scored(found: list[tuple[int, int, list[str]]], w: dict[str, np.ndarray]) -
 
 
 def decode(n: int, scored: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int, float]]:
-    """The best segmentation of n tokens: (i, j, kind, score) of its entities."""
+    """The best segmentation of n tokens: (i, j, kind, score less LEAST) of its entities."""
     best, back, by_end = [0.0] * (n + 1), [None] * (n + 1), defaultdict(list)
     for i, j, s in scored:
         k = int(s.argmax())
-        by_end[j].append((i, k, float(s[k])))
+        by_end[j].append((i, k, float(s[k]) - LEAST))
     for j in range(1, n + 1):
         best[j] = best[j - 1]
         for i, k, s in by_end[j]:
-            if s > LEAST and best[i] + s > best[j]:
+            if best[i] + s > best[j]:
                 best[j], back[j] = best[i] + s, (i, j, k, s)
     out, j = [], n
     while j:
@@ -259,54 +309,50 @@ def train(seed: int = 5, sentences: int = 500, epochs: int = 6) -> dict[str, np.
 # --- texts --------------------------------------------------------------------------------------------------------------------------
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text that hold all tokens of any segment with a trigger, and some around it."""
-    found = [(m.start(), m.end()) for m in _TRIGGER.finditer(text)]
+def windows(tokens: list[str], text: str) -> list[tuple[int, int]]:
+    """Ranges of tokens that hold every segment with a trigger and all that its features look at."""
+    starts = np.cumsum([0, *map(len, tokens)])
+    found = [m.span() for m in _TRIGGER.finditer(text)]
+    reach = [(LONGEST + BEFORE, LONGEST + AFTER)] * len(found)
     if _AT.search(text):
-        found = sorted([*found, *spelled(text)])
-    last = None
-    for start, end in found:
-        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
-        while a and text[a - 1].isalnum() and start - a < MARGIN + 32:
-            a -= 1
-        while b < len(text) and text[b].isalnum() and b - end < MARGIN + 32:
-            b += 1
-        if last and a <= last[1]:
-            last = (min(a, last[0]), max(b, last[1]))
+        long = list(spelled(text))
+        found, reach = found + long, reach + [(BEFORE, AFTER)] * len(long)
+    if not found:
+        return []
+    heads = np.searchsorted(starts, [a for a, _ in found], "right") - 1
+    tails = np.searchsorted(starts, [b for _, b in found], "left")
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((max(0, int(h) - r), min(len(tokens), int(t) + f)) for h, t, (r, f) in zip(heads, tails, reach)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            if last:
-                yield last
-            last = (a, b)
-    if last:
-        yield last
+            out.append((a, b))
+    return out
 
 
 class Finder:
     def __init__(self, w: dict[str, np.ndarray]):
         self.w = w
 
+    def stretch(self, text: str) -> list[tuple[str, int, int]]:
+        """The field's spans of a text without base spans."""
+        out, tokens = [], _TOKEN.findall(text)
+        starts = np.cumsum([0, *map(len, tokens)])
+        for a, b in windows(tokens, text):
+            for i, j, k, _ in decode(b - a, _scored(segments(tokens[a:b]), self.w)):
+                out.append((KINDS[k], int(starts[a + i]), int(starts[a + j])))
+        return out
+
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """The field's spans apart from the base spans."""
-        out, taken = [], sorted((a, b) for _, a, b in base)
-        for a, b in windows(text):
-            cuts = [(x, y) for x, y in taken if x < b and y > a]
-            free, at = [], a
-            for x, y in cuts:  # what the base patterns have found stands; the field decodes what lies between
-                if x > at:
-                    free.append((at, x))
-                at = max(at, y)
-            if at < b:
-                free.append((at, b))
-            for x, y in free:
-                if not _TRIGGER.search(text, x, y):
-                    continue
-                tokens = [t for t in _TOKEN.findall(text[x:y])]
-                scored = _scored(segments(tokens), self.w)
-                starts = np.cumsum([0, *map(len, tokens)])
-                for i, j, k, _ in decode(len(tokens), scored):
-                    s, e = x + int(starts[i]), x + int(starts[j])
-                    if not (s and text[s - 1].isalnum() or e < len(text) and text[e].isalnum()):
-                        out.append((KINDS[k], s, e))
+        """The field's spans apart from the base spans; none that cuts a word that goes on in a base span."""
+        out, at = [], 0
+        for x, y in sorted((a, b) for _, a, b in base) + [(len(text), len(text))]:
+            if x > at and _TRIGGER.search(text, at, x):
+                for kind, a, b in self.stretch(text[at:x]):
+                    s, e = at + a, at + b
+                    if not (s and text[s].isalnum() and text[s - 1].isalnum() or e < len(text) and text[e - 1].isalnum() and text[e].isalnum()):
+                        out.append((kind, s, e))
+            at = max(at, y)
         return out
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -324,17 +370,17 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(train())  # a few hundred features
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                base, every = finder.spans(text)
-                n = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((doc, *n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        for batch in batches:
+            found = [finder.spans(t) for t in batch.column("text").to_pylist()]
+            out = {"doc_id": batch.column("doc_id")}
+            out |= {f"n_{k}": pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS}
+            out["base_sha256"] = pa.array([hashlib.sha256(_said(base).encode()).hexdigest() for base, _ in found], pa.string())
+            out["spans"] = pa.array([_said(every) for _, every in found], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return common.documents(docs).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.documents(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -351,15 +397,16 @@ def mask(docs: DataFrame) -> DataFrame:
     """The same rows and columns with spans masked and n_chars, if there, brought up to date."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for pdf in batches:
-            pdf["text"] = [t if t is None else masked(t, finder.spans(t)[1]) for t in pdf["text"]]
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [0 if t is None else len(t) for t in pdf["text"]]
-            yield pdf
-
-    return docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            texts = [t if t is None else masked(t, finder.spans(t)[1]) for t in batch.column("text").to_pylist()]
+            out = {"text": texts}
+            if "n_chars" in batch.schema.names:
+                out["n_chars"] = [0 if t is None else len(t) for t in texts]
+            yield common.replaced(batch, **out)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
