@@ -45,13 +45,14 @@ _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "doubtful")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "doubtful", "inside")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.doubtful = False
+        self.inside = parent is not None and (parent.inside or parent.tag == "article")
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -125,9 +126,7 @@ def parse(page: str) -> Node:
             if not node.dropped:
                 node.children.append(" ")
             continue
-        up, inside = node, False
-        while up is not None and not inside:
-            inside, up = up.tag == "article", up.parent
+        inside = node.inside or node.tag == "article"
         own = Node(tag, node, node.dropped or _boilerplate(tag, m["attrs"], inside))
         if not own.dropped:
             own.doubtful = _doubtful(tag, m["attrs"], inside)
@@ -271,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return common.map_frames(own, run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
