@@ -104,7 +104,7 @@ def _archive(folder: str):
 
         common.write_file(uri, chunks())
         for k in range(0, len(rows), 10_000):
-            yield pd.DataFrame(rows[k : k + 10_000], columns=["key", "page_id", "kind", "uri", "offset", "length"])
+            yield pd.DataFrame(rows[k : k + 10_000], columns=["key", "page_id", "kind", "uri", "offset", "length"], dtype=object)
 
     return run
 
@@ -117,9 +117,9 @@ def write(spark: SparkSession, pages: DataFrame, scratch: common.Scratch) -> Dat
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisit = slim.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     rows = pages.withColumn("digest", F.sha2(raw, 256)).join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    captures = scratch.table(rows.mapInPandas(_archive(scratch.path("warc")), _CAPTURE), "captures")
+    captures = scratch.table(common.map_frames(rows, _archive(scratch.path("warc")), _CAPTURE), "captures")
     ordered = captures.repartitionByRange(common.partitions(spark), "key").sortWithinPartitions("key")
-    manifest = scratch.table(ordered.mapInPandas(_index(scratch.path("index")), "part int, uri string, first string, captures long"), "manifest")
+    manifest = scratch.table(common.map_frames(ordered, _index(scratch.path("index")), "part int, uri string, first string, captures long"), "manifest")
     scratch.drop("captures")
     return manifest
 
@@ -224,16 +224,17 @@ def look_up(spark: SparkSession, wanted: DataFrame, manifest: DataFrame) -> Data
                 if file != at:
                     at, index = file, Index(uris[file])
                 rows += [(None if p == "-" else int(p), kind, uri, int(o), int(n)) for _, p, kind, uri, o, n in index.find(key)]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "uri", "offset", "length"]).astype({"page_id": object})
+            yield pd.DataFrame(rows, columns=["page_id", "kind", "uri", "offset", "length"], dtype=object)
 
     if not files:
         return spark.createDataFrame([], "page_id long, kind string, uri string, offset long, length long")
-    asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInPandas(route, "key string, file int").distinct()
-    return asked.repartition(max(1, min(len(files), common.partitions(spark))), "file").sortWithinPartitions("file", "key").mapInPandas(find, "page_id long, kind string, uri string, offset long, length long")
+    asked = common.map_frames(wanted.select("url", F.col("page_id").cast("long").alias("page_id")), route, "key string, file int").distinct()
+    return common.map_frames(asked.repartition(max(1, min(len(files), common.partitions(spark))), "file").sortWithinPartitions("file", "key"), find, "page_id long, kind string, uri string, offset long, length long")
 
 
-def read_records(spark: SparkSession, captures: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, html of captures, by range reads in file order."""
+def read_records(spark: SparkSession, captures: DataFrame, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, with ``payloads``, html of captures, by range reads in file order."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["html"] * payloads]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uri, reader = None, None
@@ -254,21 +255,21 @@ def read_records(spark: SparkSession, captures: DataFrame) -> DataFrame:
                     head, payload = parse(raw[int(o) - start : int(o) - start + int(n)])
                     page = int(head["X-Page"]) if "X-Page" in head else None
                     if head["WARC-Type"] == "response":
-                        rows.append((page, head["WARC-Target-URI"], len(payload), hashlib.sha256(payload).hexdigest(), "response", None, payload.decode("utf-8", "surrogatepass")))
+                        rows.append((page, head["WARC-Target-URI"], len(payload), hashlib.sha256(payload).hexdigest(), "response", None, *[payload.decode("utf-8", "surrogatepass")] * payloads))
                     else:
-                        rows.append((page, head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", int(head["X-Refers-To-Page"]), None))
+                        rows.append((page, head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", int(head["X-Refers-To-Page"]), *[None] * payloads))
                 k = end + 1
-            yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]).astype({"page_id": object, "refers_to": object})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     ordered = captures.select("uri", "offset", "length").repartition(common.partitions(spark), "uri").sortWithinPartitions("uri", "offset")
-    return ordered.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return common.map_frames(ordered, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", html string" * payloads)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` to archives, and every one looked up and read back."""
     pages = common.read(spark, sf_dir, "pages")
     manifest = write(spark, pages, common.Scratch(spark, "op3"))
-    return read_records(spark, look_up(spark, pages, manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(spark, look_up(spark, pages, manifest), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
