@@ -18,7 +18,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,12 +110,15 @@ def _machines(spark: SparkSession, benchmark: DataFrame, width: int) -> list:
 _built: dict[int, object] = {}
 
 
-def _machine(found):
-    """Built once a worker from the broadcast windows."""
-    if found.id not in _built:
-        _built.clear()
-        _built[found.id] = automaton(found.value)
-    return _built[found.id]
+def _kept(machines: list[_Id]) -> list:
+    """The automata of this benchmark, each built once a worker from its broadcast windows; those of another benchmark go."""
+    for gone in _built.keys() - {m.id for m in machines}:
+        del _built[gone]
+    for m in machines:
+        if m.id not in _built:
+            _built[m.id] = automaton(m.value)
+            m.unload()
+    return [_built[m.id] for m in machines]
 
 
 class _Id:
@@ -131,52 +134,57 @@ class _Id:
     def value(self):
         return self.broadcast.value
 
+    def unload(self) -> None:
+        """The windows go from the worker's memory once the automaton is built; another task can load them again."""
+        if self.broadcast._jbroadcast is None:
+            self.broadcast.__dict__.pop("_value", None)
+
+
+def _scanned(machines: list, text: str | None) -> tuple[int, np.ndarray, set[str]]:
+    """Number of words, the hit words as a mask, and the items, over all automata."""
+    first, *others = (Scan(m, text or "") for m in machines)
+    for got in others:
+        first.hit |= got.hit
+        first.items |= got.items
+    return first.n_words, first.hit, first.items
+
 
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cut: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 of every row; with ``cut`` also the text without the hit passages."""
     machines = [_Id(m) for m in _machines(spark, benchmark, width)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hits = [[0, None, set()] for _ in range(len(pdf))]
-            for m in machines:
-                machine = _machine(m)
-                for own, text in zip(hits, pdf["text"]):
-                    got = Scan(machine, text)
-                    own[0] = got.n_words
-                    own[1] = got.hit if own[1] is None else own[1] | got.hit
-                    own[2] |= got.items
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [h[0] for h in hits], "n_hit": [int(h[1].sum()) for h in hits], "n_items": [len(h[2]) for h in hits]})
-            out["items_sha256"] = [hashlib.sha256(",".join(sorted(h[2])).encode()).hexdigest() for h in hits]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = _kept(machines)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [_scanned(built, t) for t in texts]
+            out = {"doc_id": batch.column("doc_id")}
+            for name, values in (("n_words", [n for n, _, _ in found]), ("n_hit", [int(hit.sum()) for _, hit, _ in found]), ("n_items", [len(items) for *_, items in found])):
+                out[name] = pa.array(values, pa.int64())
+            out["items_sha256"] = pa.array([hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for *_, items in found], pa.string())
             if cut:
-                out["text"] = [_without(t, spans(t, h[1])) if h[2] else t for t, h in zip(pdf["text"], hits)]
-            yield out
+                out["text"] = pa.array([_without(t, spans(t, hit)) if items else t for t, (_, hit, items) in zip(texts, found)], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
-    return common.documents(docs).mapInPandas(run, schema + ", text string" * cut)
+    return common.documents(docs).mapInArrow(run, schema + ", text string" * cut)
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = 2) -> DataFrame:
     """Rows, with all of their columns, without those that hit ``most`` items or more; of the others the hit passages are cut out."""
     machines = [_Id(m) for m in _machines(spark, benchmark, width)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit: list = [None] * len(pdf)
-            items: list[set[str]] = [set() for _ in range(len(pdf))]
-            for m in machines:
-                machine = _machine(m)
-                for k, text in enumerate(pdf["text"]):
-                    if text:
-                        got = Scan(machine, text)
-                        hit[k] = got.hit if hit[k] is None else hit[k] | got.hit
-                        items[k] |= got.items
-            pdf["text"] = [_without(t, spans(t, h)) if i else t for t, h, i in zip(pdf["text"], hit, items)]
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [len(t) if i else n for t, n, i in zip(pdf["text"], pdf["n_chars"], items)]
-            yield pdf[[len(i) < most for i in items]]
-
-    return docs.mapInPandas(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = _kept(machines)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [_scanned(built, t) for t in texts]
+            out = {"text": [_without(t, spans(t, hit)) if items else t for t, (_, hit, items) in zip(texts, found)]}
+            if "n_chars" in batch.schema.names:
+                out["n_chars"] = [len(t) if items else n for t, n, (*_, items) in zip(out["text"], batch.column("n_chars").to_pylist(), found)]
+            yield common.replaced(batch, **out).filter(pa.array([len(items) < most for *_, items in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _without(text: str, cut: list[tuple[int, int]]) -> str:
