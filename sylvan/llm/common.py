@@ -80,6 +80,15 @@ def replaced(batch: pa.RecordBatch, **columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(own, schema=batch.schema)
 
 
+#: Rows of one long up to which a side of a join is broadcast, some 50 MB; beyond, both sides are shuffled and merged.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: F.Column, how: str) -> DataFrame:
+    """df joined (left_semi or left_anti) with a written table of ids.  Few ids are broadcast, so that no text is shuffled for them."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), on, how)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

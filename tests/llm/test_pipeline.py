@@ -24,7 +24,7 @@ def test_stages_follow_each_other(spark, tmp_path):
         assert [f.name for f in step.schema] == docs.columns
         got = {r.doc_id: r.text for r in step.collect()}
         if name == "toxicity":
-            scorer = toxicity.Scorer(*toxicity.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+            scorer = toxicity.Scorer(toxicity.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
             want = {i: t for i, t in kept.items() if scorer.score([t or ""])[0] < 0.5}
             assert not any("scoundrel" in (t or "") for t in got.values())
         elif name == "near_duplicates":
@@ -44,3 +44,15 @@ def test_stages_follow_each_other(spark, tmp_path):
         kept = got
     check_packed(corpus_pipeline.STAGES[4][1](spark, step, str(tmp_path)).collect(), sorted(kept.items()), 2048)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept)
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for k, docs in enumerate((odd.docs(spark), odd.empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name, table in zip(("labels", "benchmark"), none):
+            table.write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        # All stay without labels and benchmark, but for copies: doc 5 of doc 4.  The row without an id and the repeated row are no copies.
+        want = [] if k else [i for i in range(len(odd.TEXTS)) if i != 5] + [4, None]
+        assert sorted((r.doc_id for r in got if r.piece == 0), key=str) == sorted(want, key=str)
