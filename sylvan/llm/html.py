@@ -2,7 +2,8 @@
 
 The page is parsed to a tree, without the elements that are no main text by their kind (scripts, styles, forms, navigation, footers, asides,
 hidden ones) or by a whole class, id or role (adverts, menus, sidebars, notices, comments); an element of such a name stays if it has more
-text than all of the page outside such elements and no article lies there, and so do headings and paragraphs of an article.  Every node left gets its link-adjusted
+text than all of the page outside such elements and no article lies there, and so do headings and paragraphs of an article; of an article's own
+header the headings stay.  Every node left gets its link-adjusted
 characters per tag; a node's density sum adds up its children's.  The subtree with the largest sum is the content; the least density on
 its path to the body is the threshold, and where the subtree lies in an article element, that whole article is taken.  Of the
 taken node, if it is in no article, children that fall below the threshold and are mostly links go.
@@ -41,7 +42,8 @@ _DROPPED = frozenset("head nav footer aside form menu button select input label
 #: Maybe no main text, by a whole class, id or role.
 _WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended widget login signup toolbar pagination pager complementary contentinfo dialog search masthead".split())
 #: Parts of an article that such a name doesn't drop.
-_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | {"p"}
 
 
 class Node:
@@ -175,6 +177,21 @@ def sift(root: Node) -> None:
         own.children = [c for c in own.children if isinstance(c, str) or not c.doubtful]
 
 
+def trim_headers(root: Node) -> None:
+    """Of an article's own header only the headings stay: its title is main text, what else stands there is not."""
+    for own in _ordered(root):
+        if own.tag == "header":
+            found, todo = [], list(reversed(own.children))
+            while todo:
+                c = todo.pop()
+                if isinstance(c, Node):
+                    if c.tag in _HEADINGS:
+                        found.append(c)
+                    else:
+                        todo += reversed(c.children)
+            own.children = found
+
+
 def measure(root: Node) -> list[Node]:
     """All nodes, parents before children, with their counts, densities and density sums."""
     nodes = _ordered(root)
@@ -236,6 +253,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     sift(root)
+    trim_headers(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     within = _ordered(body)

@@ -53,3 +53,8 @@ def test_table(spark):
     rows = html.extract(pages).collect()
     assert len(rows) == 4 and rows[0] == rows[1] and rows[2].text == "" and rows[3].n_chars == len(" ".join(odd.LONG.split()))
     assert html.extract(pages.where("false")).count() == 0
+
+
+def test_of_an_articles_header_the_headings_stay():
+    page = "<body><header>Site</header><article><header><div><h1>Title</h1> <span>Share on social</span></div><h2>Sub</h2></header><p>" + "All of the text. " * 9 + "</p></article></body>"
+    assert html.main_text(page) == "Title\nSub\n" + " ".join(["All of the text."] * 9)
