@@ -34,8 +34,8 @@ from . import common
 
 BLOCK = 16_384
 LEVEL = 16
-#: Of the k-th best score: what the unread part may be after each round.
-DEPTHS = (0.6, 0.4)
+#: Of the k-th best score: what the unread part may be after each round.  Below 0, what takes a row's score down has been read in part too.
+DEPTHS = (0.4, -2.0)
 #: Of a block's rows: how many may be left for reading to stop.
 FEW = 0.05
 #: Queries of a part, and blocks of a task; tasks for each core at least, where there are so many blocks.
