@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op8_exact_topk": topk.OP8_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op8_exact_topk": topk.OP8_SQL, "op9_minhash_classes": neardup.OP9_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}

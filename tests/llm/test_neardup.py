@@ -66,16 +66,42 @@ def test_same_classes_as_all_pairs(spark):
         assert got == brute(table, n)
 
 
-def test_one_star_after_the_other_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LAST_PAIRS", 0.3)
+def test_small_tiles_and_one_forest_after_the_other_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "SPREAD", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     r = np.random.default_rng(5)
-    hot = [f"w{i}" for i in range(60)]
-    table = [(i, near(r, hot, 5)) for i in range(10)]
+    hot, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(400)]
+    table = [(i, near(r, hot, 5)) for i in range(14)] + [(20 + i, near(r, other, 40)) for i in range(9)] + [(40, near(r, hot, 3)), (41, " ".join(other))]
     docs = spark.createDataFrame(table, "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.classes(spark, docs, common.Scratch(spark, "t"), words=2).collect()}
     assert got == brute(table, 2)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 99)), max_size=40), st.lists(st.integers(0, 4), min_size=10, max_size=10), st.integers(1, 3))
+def test_forests_join_what_all_pairs_join(pairs, component, most):
+    p, q, cost = (np.asarray(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+    component = np.unique(component, return_inverse=True)[1]
+
+    def joined(chosen):
+        root = component.copy()
+        for a, b in zip(p[chosen], q[chosen]):
+            root[root == root[a]] = root[b]
+        return (root[:, None] == root[None, :]).tolist()
+
+    every = neardup.forests(p, q, cost, component, None)
+    chosen = neardup.forests(p, q, cost, component, most)
+    assert joined(chosen) == joined(every) and not (chosen & ~every).any()
+    assert chosen.sum() <= most * (component.max() if len(component) else 0)
+
+
+def test_whole_ids_beside_a_null_and_repeated_rows(spark):
+    rows = [(2**53 + 1, "a b c d e f"), (2**53 + 3, "a b c d e f"), (None, "a b c d e f"), (None, "a b c d e f"), (2**53 + 3, "a b c d e f")]
+    got = neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), common.Scratch(spark, "t"))
+    assert sorted(((x.doc_id, x.component_id) for x in got.collect()), key=str) == sorted([(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (None, None), (None, None), (2**53 + 3, 2**53 + 1)], key=str)
+
+
 def test_odd_tables(spark):
     rows = neardup.classes(spark, odd.docs(spark), common.Scratch(spark, "t")).collect()
     assert len(rows) == len(odd.TEXTS) + 2
