@@ -7,6 +7,11 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 3. decontamination: documents that hit two benchmark items or more go; passages of a single item are cut out of the others.
 4. personal_data: spans are masked by their kind.
 5. packing: pieces of at most 2048 ids and their places in sequences.
+
+Defined results: null and empty texts pass all filters (unless the toxicity of a text of no words is 0.5 or more) and are one piece of the
+end id; rows without an id are nobody's copies and stay; repeated rows go through together; an empty table gives an empty result, without
+labels or benchmark nothing is rejected for these; n_chars, if there, follows the text, and all other columns pass unchanged up to the
+last stage.
 """
 
 from __future__ import annotations

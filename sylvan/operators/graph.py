@@ -5,20 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 
 
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="sylvan-")
-    return shared.rstrip("/") + f"/closure-{uuid.uuid4().hex[:12]}"
+    return shared.rstrip("/")
 
 
 def closure(edges: DataFrame, low: str, high: str) -> DataFrame:
@@ -27,7 +27,8 @@ def closure(edges: DataFrame, low: str, high: str) -> DataFrame:
     Paths double in each round: what was found last is joined with all that is known, so the rounds are as many as the bits of the longest
     path.  A round is written to the shared folder, which cuts lineage, and read back as one table; the one before it is removed.
     """
-    spark, folder = edges.sparkSession, _folder(edges)
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex[:12]}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def keep(df: DataFrame, k: int) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
+from xml.sax.saxutils import escape, quoteattr
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from .functions import ids
 from .operators import edits, graph, tree
 from .operators.questions import Questions
 from .plans.forest import SQL, Forest
+from .sources import sinks
+from .sources.repository import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -403,6 +409,87 @@ def changed_path_ancestors(f):
     return dirs.groupBy("url").agg(F.count("*").alias("n_dirs"), F.min("dir").alias("first_dir"))
 
 
+# --- sources and sinks --------------------------------------------------------------------------------------------------------------
+
+
+def _written(f) -> str:
+    """A repository on disk, in the shared folder: a solution for each region, with one model that has a root for each nation.
+
+    A nation refers to the one of the next number.  One file a region, so the driver writes them.
+    """
+    rows = f.table("nation").join(f.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()  # a row for each nation
+    of, model = {r["n_nationkey"]: r for r in rows}, lambda r: f"r:{r['n_regionkey']}({escape(r['r_name'])}.nations)"
+    files = {}
+    for region in sorted({(r["r_regionkey"], r["r_name"]) for r in rows}):
+        own = [r for _, r in sorted(of.items()) if r["n_regionkey"] == region[0]]
+        then = {r["n_nationkey"]: of[(r["n_nationkey"] + 1) % len(of)] for r in own}
+        imports = sorted({r["n_regionkey"]: model(r) for r in then.values() if r["n_regionkey"] != region[0]}.items())
+        nodes = []
+        for r in own:
+            to = then[r["n_nationkey"]]
+            ref = f'node="{to["n_nationkey"]}"' if to["n_regionkey"] == region[0] else f'to="i{to["n_regionkey"]}:{to["n_nationkey"]}"'
+            nodes.append(f'<node concept="c" id="{r["n_nationkey"]}"><property role="n" value={quoteattr(r["n_name"])} /><ref role="x" {ref} resolve={quoteattr(to["n_name"])} /></node>')
+        registry = '<registry><language id="l" name="trade"><concept id="1" name="trade.structure.Nation" flags="ng" index="c"><property id="2" name="name" index="n" /><reference id="3" name="next" index="x" /></concept></language></registry>'
+        listed = "".join(f'<import index="i{k}" ref={quoteattr(m)} />' for k, m in imports)
+        files[f"{region[0]}/{region[0]}.msd"] = f'<solution name={quoteattr(region[1])} uuid="M{region[0]}"><dependencies /></solution>'
+        files[f"{region[0]}/models/nations.mps"] = f'<model ref={quoteattr(model(own[0]))}><persistence version="9" /><languages><use id="l" name="trade" version="0" /></languages><imports>{listed}</imports>{registry}{"".join(nodes)}</model>'
+    return _put(f, files)
+
+
+def _put(f, files: dict[str, str]) -> str:
+    top = f"{graph.shared_folder(f.spark)}/repository-{uuid.uuid4().hex[:12]}"
+    filesystem, root = arrow_fs.FileSystem.from_uri(top if "://" in top else os.path.abspath(top))
+    for name, text in files.items():
+        filesystem.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+        with filesystem.open_output_stream(f"{root}/{name}") as out:
+            out.write(text.encode())
+    return top
+
+
+_NATIONS = "SELECT r_name AS module, r_name || '.nations' AS model, CAST(n_nationkey AS VARCHAR) AS node_id, 'trade.structure.Nation' AS concept, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _nations(repo: Repository) -> DataFrame:
+    of = repo.models.select("source", F.col("name").alias("model"), "module_id").join(repo.modules.select("module_id", F.col("name").alias("module")), "module_id")
+    return repo.nodes.join(of, "source").select("module", "model", "node_id", "concept", F.col("props")["name"].alias("name"))
+
+
+@query(_NATIONS)
+def repository_nodes(f):
+    return _nations(Repository(f.spark, _written(f)))
+
+
+@query(_NATIONS)
+def repository_snapshot_nodes(f):
+    top = _written(f)
+    return _nations(Repository(f.spark, top).snapshot(f"{top}-kept"))
+
+
+@query("SELECT CAST(a.n_nationkey AS VARCHAR) AS node_id, 'r:' || b.n_regionkey AS target_model_id, b.n_name AS target, b.n_name AS said FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % (SELECT count(*) FROM nation)")
+def repository_refs_resolved(f):
+    return Repository(f.spark, _written(f)).resolved().select("node_id", "target_model_id", F.col("target.props")["name"].alias("target"), F.col("resolve_info").alias("said"))
+
+
+@query("SELECT DISTINCT 'r:' || a.n_regionkey AS model_id, 'r:' || b.n_regionkey AS imported_model_id, true AS loaded FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % (SELECT count(*) FROM nation) WHERE a.n_regionkey <> b.n_regionkey")
+def repository_imports(f):
+    return Repository(f.spark, _written(f)).loaded_imports().select("model_id", "imported_model_id", "loaded")
+
+
+@query(_NATIONS)
+def roots_written_back(f):
+    repo = Repository(f.spark, _written(f))
+    texts = sinks.roots_as_xml(repo).join(repo.models.select("model_id", "module_id"), "model_id").collect()  # a row for each nation
+    modules = {r["module_id"]: r["name"] for r in repo.modules.collect()}
+    files = {f"{m}/{m}.msd": f'<solution name={quoteattr(name)} uuid="{m}"><dependencies /></solution>' for m, name in modules.items()}
+    files |= {f"{r['module_id']}/models/nations/{r['root_id']}.mpsr": r["text"] for r in texts}
+    return _nations(Repository(f.spark, _put(f, files)))
+
+
+@query("SELECT json_object('module_id', 'M' || r_regionkey, 'name', r_name, 'scan_ord', CAST(r_regionkey AS BIGINT)) AS json FROM region")
+def modules_as_json(f):
+    return sinks.as_json(f.modules.select("module_id", "name", "scan_ord")).select(F.col("json").cast("string").alias("json"))
+
+
 # --- scalar functions -------------------------------------------------------------------------------------------------------------
 
 _ENC = "(SELECT string_agg(substr('0123456789abcdefghijklmnopqrstuvwxyz$_ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((v >> (6 * k)) & 63 AS INTEGER) + 1, 1), '' ORDER BY k DESC) FROM range(0, 10) r(k) WHERE v >> (6 * k) > 0 OR k = 0)"
