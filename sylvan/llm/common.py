@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,6 +76,18 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return df.mapInArrow(arrow, schema)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices that share the batches' memory: ``most`` bytes of the column in each, unless one row alone has more."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, before + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def replaced(batch: pa.RecordBatch, **columns: list) -> pa.RecordBatch:
     """The batch with other values in some of its columns; all else stays as it is, of whatever type."""
     own = [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(i) for i, f in enumerate(batch.schema)]
@@ -103,6 +117,7 @@ def give_back() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -34,7 +34,7 @@ class ChunkEncoder:
     """``encode(texts)`` gives the ids of all texts one after the other, and where each text's end."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -53,9 +53,8 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.one_word = self.by_chunk and known and bool(suffix) and "\\p{L}]+" in pre and "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre
-        # The same vocabulary and merges without the steps that change nothing in words of lower-case Latin letters.
-        self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer = normalizers.Sequence([])
+        # The same vocabulary and merges (one copy in memory) without the steps that change nothing in words of lower-case Latin letters.
+        self.lean = Tokenizer(self.tokenizer.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
 

@@ -1,5 +1,8 @@
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -110,3 +113,41 @@ def test_two_smaller_pieces_replace_the_smallest():
     counts = np.zeros(11, np.int64)
     counts[[6, 3, 2]] = 1, 1, 2  # 6+3 leaves 1; 6+2+2 leaves none
     assert packing.patterns(counts, 10)[0] == ([6, 2, 2], 1)
+
+
+def pieces_of(batches, monkeypatch, part):
+    monkeypatch.setattr(packing, "PART", part)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    return [r for out in packing._pieces(tokens.public_path(), 0, 16)(iter(batches)) for r in out.to_pylist()]
+
+
+def test_parts_of_a_batch_give_the_same_pieces(monkeypatch):
+    texts = [t or "" for t in odd.TEXTS] + ["é" * 50, "one two three " * 40, "", ""]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(own)), pa.int64()), "text": own}) for own in (texts, [""], texts[::-1])]
+    parts = list(common.parts(iter(batches), "text", 60))
+    assert [r for p in parts for r in p.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p.column("text").to_pylist()) <= 60 for p in parts) and len(parts) > len(batches)
+    assert list(common.parts(iter([batches[0].slice(0, 0)]), "text", 60)) == []
+    assert pieces_of(batches, monkeypatch, 60) == pieces_of(batches, monkeypatch, 1 << 40)
+
+
+#: MB that a task's encoding adds to what the worker and its batch of 30 MB take.
+ADDED = """
+import resource, numpy as np, pyarrow as pa
+from types import SimpleNamespace
+from sylvan.llm import packing, tokens
+packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+word = np.asarray([f"w{i}x" for i in range(5000)])
+batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000), pa.int64()), "text": [" ".join(word[np.arange(1700) * (k + 1) % 5000]) for k in range(3000)]})
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+tokens.encoder(tokens.public_path()).encode(pa.array(["a"]))
+before = most()
+assert sum(out.num_rows for out in packing._pieces(tokens.public_path(), 0, 2048)(iter([batch]))) >= 3000
+print(batch.nbytes >> 20, most() - before)
+"""
+
+
+def test_a_task_takes_little_beside_its_batch():
+    got = subprocess.run([sys.executable, "-c", ADDED], capture_output=True, text=True, timeout=120)
+    print(got.stdout, got.stderr)
+    assert int(got.stdout.split()[1]) < 120
