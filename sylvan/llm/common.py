@@ -76,6 +76,10 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return df.mapInArrow(arrow, schema)
 
 
+#: Bytes of the texts that a task works on at once, unless one alone has more: what it holds beside its batch grows with these alone.
+PART = 1 << 20
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in slices that share the batches' memory: ``most`` bytes of the column in each, unless one row alone has more."""
     for batch in batches:

@@ -176,13 +176,14 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = _kept(machines)
-        for batch in batches:
+        for batch in common.parts(batches, "text", common.PART):
             texts = batch.column("text").to_pylist()
             found = [_scanned(built, t) for t in texts]
             out = {"text": [_without(t, spans(t, hit)) if items else t for t, (_, hit, items) in zip(texts, found)]}
             if "n_chars" in batch.schema.names:
                 out["n_chars"] = [len(t) if items else n for t, n, (*_, items) in zip(out["text"], batch.column("n_chars").to_pylist(), found)]
             yield common.replaced(batch, **out).filter(pa.array([len(items) < most for *_, items in found], pa.bool_()))
+        common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

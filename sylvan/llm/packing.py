@@ -91,15 +91,13 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Tasks that are counted together first, so that no sum over tasks is long.
 TASK_BITS = 10
-#: Bytes of the texts that are encoded together, unless one alone has more: what a task holds besides its batch grows with these alone.
-PART = 1 << 20
 
 
 def _pieces(tokenizer: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
         seen, task = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in common.parts(batches, "text", PART):
+        for batch in common.parts(batches, "text", common.PART):
             ids, ends = tokens.with_end(*enc.encode(batch.column("text")), end_id)
             begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             each = -(-(ends - begins) // size)  # pieces of each document

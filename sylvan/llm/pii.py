@@ -399,12 +399,13 @@ def mask(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        for batch in batches:
+        for batch in common.parts(batches, "text", common.PART):
             texts = [t if t is None else masked(t, finder.spans(t)[1]) for t in batch.column("text").to_pylist()]
             out = {"text": texts}
             if "n_chars" in batch.schema.names:
                 out["n_chars"] = [0 if t is None else len(t) for t in texts]
             yield common.replaced(batch, **out)
+        common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,5 +1,9 @@
+from types import SimpleNamespace
+
+import pyarrow as pa
+
 import corpus_pipeline
-from sylvan.llm import decontaminate, neardup, pii, toxicity
+from sylvan.llm import common, decontaminate, neardup, pii, toxicity
 from tests.llm import odd
 from tests.llm.test_neardup import brute as near_brute
 from tests.llm.test_tokens_packing import check_packed
@@ -56,3 +60,18 @@ def test_odd_and_empty_tables(spark, tmp_path):
         # All stay without labels and benchmark, but for copies: doc 5 of doc 4.  The row without an id and the repeated row are no copies.
         want = [] if k else [i for i in range(len(odd.TEXTS)) if i != 5] + [4, None]
         assert sorted((r.doc_id for r in got if r.piece == 0), key=str) == sorted(want, key=str)
+
+
+def test_stages_work_on_parts_of_a_batch(monkeypatch):
+    broadcast = SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v, _jbroadcast=None))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=broadcast), schema=None, mapInArrow=lambda run, schema: run)
+    monkeypatch.setattr(decontaminate, "_machines", lambda *a: [broadcast.broadcast(decontaminate.windows([(str(i), t) for i, t in ITEMS]))])
+    texts = [None, "", f"before {ITEMS[0][1]} after", f"{ITEMS[0][1]} and {ITEMS[1][1]}", "write to a.b@c.de now", "é" * 200, None] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "n_chars": pa.array([len(t or "") for t in texts], pa.int64())})
+    for stage in (lambda: decontaminate.clean(None, docs, None), lambda: pii.mask(docs)):
+        got = {}
+        for size in (100, 1 << 40):
+            monkeypatch.setattr(common, "PART", size, raising=False)
+            got[size] = [out.to_pylist() for out in stage()(iter([batch]))]
+        assert len(got[1 << 40]) == 1 and len(got[100]) > 6
+        assert [r for rows in got[100] for r in rows] == got[1 << 40][0]

@@ -116,7 +116,7 @@ def test_two_smaller_pieces_replace_the_smallest():
 
 
 def pieces_of(batches, monkeypatch, part):
-    monkeypatch.setattr(packing, "PART", part)
+    monkeypatch.setattr(common, "PART", part)
     monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
     return [r for out in packing._pieces(tokens.public_path(), 0, 16)(iter(batches)) for r in out.to_pylist()]
 
