@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, huffman, neardup, packing, pii, sharding, topk, toxicity, warc
+from . import decontaminate, divergence, html, huffman, language, neardup, packing, pii, sharding, spelling, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": topk.op8_exact_topk,
         "op9_minhash_classes": neardup.op9_minhash_classes,
         "op10_benchmark_scan": decontaminate.op10_benchmark_scan,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_language": language.op13_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op8_exact_topk": topk.OP8_SQL, "op9_minhash_classes": neardup.OP9_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op8_exact_topk": topk.OP8_SQL, "op9_minhash_classes": neardup.OP9_SQL, "op10_benchmark_scan": decontaminate.OP10_SQL, "op11_source_divergence": divergence.OP11_SQL}
