@@ -1,12 +1,14 @@
 """Main text of web pages by composite text density.
 
 The page is parsed to a tree, without the elements that are no main text by their kind (scripts, styles, forms, navigation, footers, asides,
-hidden ones) or by a whole class, id or role (adverts, menus, sidebars, notices, comments); an element of such a name stays if it has more
-text than all of the page outside such elements and no article lies there, and so do headings and paragraphs of an article; of an article's own
-header the headings stay.  Every node left gets its link-adjusted
-characters per tag; a node's density sum adds up its children's.  The subtree with the largest sum is the content; the least density on
-its path to the body is the threshold, and where the subtree lies in an article element, that whole article is taken.  Of the
-taken node, if it is in no article, children that fall below the threshold and are mostly links go.
+hidden ones).  Elements whose class, id or role says so are doubtful, by a whole name (``sidebar``) or a part of one (``post-comments``, ``cookieNotice``),
+unless another part makes it a property of something else (``has-sidebar``).  They go, but for: headings and paragraphs of an article; elements that
+hold an article, main or first heading, unless their whole name says that they are adverts, comments and the like; and, where no article lies
+elsewhere, one of a layout's name that has more text than all of the page outside doubtful elements.  Of an article's own header the headings stay.
+Every node left gets its link-adjusted characters per tag; a node's density sum adds up its children's.  The subtree with the largest sum is the
+content; the least density on its path to the body is the threshold, and where the subtree lies in an article element, that whole article is
+taken.  Of the taken node, if it is in no article, children that fall below the threshold and are mostly links go.  Parsing and sifting are linear in
+the page.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one line feed; a <br> is
 white space.  Defined results: null, empty or text-free pages give the empty text; pages without any tag are one block; unclosed and
@@ -16,6 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -39,22 +42,31 @@ _LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _HOLD = frozenset("ul ol dl table select article section div main body".split())
 #: No main text by kind.
 _DROPPED = frozenset("head nav footer aside form menu button select input label dialog object audio video canvas map".split()) | _RAW
-#: Maybe no main text, by a whole class, id or role.
-_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended widget login signup toolbar pagination pager complementary contentinfo dialog search masthead".split())
+#: No main text by class, id or role: what is besides it on any page, and what a layout may call the place of the main text too.
+_BESIDES = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promotions comment comments commentlist respond reply replies disqus cookie cookies consent gdpr newsletter subscribe subscription share sharing related recommended recommendations breadcrumb breadcrumbs popup modal pagination pager login signin signup register".split())
+_LAYOUT = frozenset("banner sidebar menu nav navbar navigation footer notice notices notification notifications alert overlay social widget widgets toolbar complementary contentinfo dialog search masthead topbar".split())
+#: Parts beside which such a word says something of another element.
+_STATES = frozenset("has have with without no not non is hide hides hidden show shows free layout wrap wrapper container page site".split())
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_PARTS = re.compile(r"[^a-zA-Z0-9]+")
 #: Parts of an article that such a name doesn't drop.
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = _HEADINGS | {"p"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "doubtful", "inside")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "doubtful", "articles", "depth", "block", "hold")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.doubtful = False
-        self.inside = parent is not None and (parent.inside or parent.tag == "article")
+        self.doubtful = 0  # 1: a layout's name; 2: a part of a name; 3: a whole name of what is besides main text
+        self.articles = 0 if parent is None else parent.articles + (parent.tag == "article")  # above it
+        # How deep it lies, and the nearest block and the nearest element that holds list items and the like, itself included.
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.block = self.depth if parent is None or tag in _BLOCK else parent.block
+        self.hold = self.depth if parent is None or tag in _HOLD else parent.hold
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -69,17 +81,39 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def _doubtful(tag: str, attrs: str, inside: bool) -> bool:
+def _doubtful(tag: str, attrs: str, inside: bool) -> int:
     if tag in ("html", "body", "main") or tag in _PROSE and inside or "=" not in attrs:
-        return False
-    return any(name.lower() in ("class", "id", "role") and not _WORDS.isdisjoint("".join(values).lower().split()) for name, *values in _ATTR.findall(attrs))
+        return 0
+    most = 0
+    for name, *values in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for whole in "".join(values).split():
+                parts = [p.lower() for p in _PARTS.split(_CAMEL.sub(" ", whole)) if p]
+                if _STATES.isdisjoint(parts):
+                    most = max([most, *(1 if p in _LAYOUT else 3 if len(parts) == 1 else 2 for p in parts if p in _LAYOUT or p in _BESIDES)])
+    return most
+
+
+_ENDS = {tag: re.compile(f"</{tag}[^>]*(?:>|\\Z)", re.I | re.A) for tag in _RAW}
 
 
 def parse(page: str) -> Node:
     """The tree; text is kept as strings among the children."""
     root = Node("#root", None)
     node, at = root, 0
-    lower = None
+    opened: dict[str, list[Node]] = {}  # by name, the deepest last
+
+    def close(last: Node) -> Node:
+        """Ends all elements up to and with that one."""
+        own = node
+        while own is not last.parent:
+            opened[own.tag].pop()
+            own = own.parent
+        return own
+
+    def nearest(tags: tuple[str, ...]) -> Node | None:
+        return max((opened[t][-1] for t in tags if opened.get(t)), key=lambda n: n.depth, default=None)
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -93,34 +127,24 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in _BLOCK and up.tag in _BLOCK:  # an inline tag doesn't close blocks
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            own = nearest((tag,))
+            if own is not None and (tag in _BLOCK or own.depth > node.block):  # an inline tag doesn't close blocks
+                node = close(own)
             elif tag == "br" and not node.dropped:
                 node.children.append(" ")
             continue
         if tag in _RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
             if m["attrs"].endswith("/") and tag == "svg":
                 continue
-            at = len(page) if end < 0 else (lower.find(">", end) + 1 or len(page))
+            end = _ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag in _CLOSES_P or tag in _LIKE:
-            up, ends = node, _LIKE.get(tag, ()) + (("p",) if tag in _CLOSES_P else ())
-            while up is not root:
-                if up.tag in ends:
-                    node = up.parent
-                    if up.tag == "p" or tag != "tr":
-                        break
-                elif up.tag in _HOLD:
+            ends = _LIKE.get(tag, ()) + (("p",) if tag in _CLOSES_P else ())
+            while (own := nearest(ends)) is not None and own.depth > node.hold:
+                node = close(own)
+                if own.tag == "p" or tag != "tr":
                     break
-                up = up.parent
         if tag == "body" or tag == "html":
             if any(isinstance(c, Node) and c.tag == tag for c in (root.children if node is root else ())):
                 continue
@@ -128,13 +152,14 @@ def parse(page: str) -> Node:
             if not node.dropped:
                 node.children.append(" ")
             continue
-        inside = node.inside or node.tag == "article"
+        inside = node.articles > 0 or node.tag == "article"
         own = Node(tag, node, node.dropped or _boilerplate(tag, m["attrs"], inside))
         if not own.dropped:
             own.doubtful = _doubtful(tag, m["attrs"], inside)
             node.children.append(own)
         if tag not in _VOID:
             node = own
+            opened.setdefault(tag, []).append(own)
     return root
 
 
@@ -148,30 +173,43 @@ def _ordered(root: Node) -> list[Node]:
 
 
 def sift(root: Node) -> None:
-    """Takes out doubtful elements, but none that has more text than all of the page outside such elements, where no article lies: that one holds the main text."""
+    """Takes out doubtful elements but those that hold the main text (see above)."""
     nodes = _ordered(root)
+    holds = set()  # what has an article, main or first heading inside that isn't doubtful itself
     for own in reversed(nodes):
         own.chars = sum(len("".join(c.split())) if isinstance(c, str) else c.chars for c in own.children)
-    while True:
-        top, articles, todo = [], [], [root]
+        if any(isinstance(c, Node) and c.chars and (id(c) in holds or not c.doubtful and c.tag in ("article", "main", "h1")) for c in own.children):
+            holds.add(id(own))
+            if own.doubtful in (1, 2):
+                own.doubtful = 0
+        if own.doubtful:
+            holds.discard(id(own))
+    tops, articles, plain = [], 0, root.chars
+
+    def open_up(own: Node) -> None:
+        """Below a node that stays: which doubtful ones come first, and what they take away."""
+        nonlocal articles, plain
+        todo = [own]
         while todo:
             own = todo.pop()
-            if own.tag == "article" and own.chars:
-                articles.append(own)
+            articles += own.tag == "article" and own.chars > 0
             for c in own.children:
                 if isinstance(c, Node):
-                    (top if c.doubtful else todo).append(c)
-        if not top:
-            break
-        plain = root.chars - sum(c.chars for c in top)
-        most = max(top, key=lambda c: c.chars)
-        above, up = set(), most.parent
-        while up is not None:
-            above.add(id(up))
-            up = up.parent
-        if most.chars <= plain or any(id(a) not in above for a in articles):
+                    if c.doubtful:
+                        heapq.heappush(tops, (-c.chars, len(tops), c))
+                        plain -= c.chars
+                    else:
+                        todo.append(c)
+
+    open_up(root)
+    while tops:
+        most = tops[0][-1]
+        if most.chars <= plain or articles > most.articles or most.doubtful > 1 and plain:
             break
-        most.doubtful = False
+        heapq.heappop(tops)
+        most.doubtful = 0
+        plain += most.chars
+        open_up(most)
     for own in nodes:
         own.chars = 0
         own.children = [c for c in own.children if isinstance(c, str) or not c.doubtful]

@@ -1,3 +1,7 @@
+import math
+import time
+
+import numpy as np
 import pytest
 
 from sylvan.llm import html
@@ -58,3 +62,87 @@ def test_table(spark):
 def test_of_an_articles_header_the_headings_stay():
     page = "<body><header>Site</header><article><header><div><h1>Title</h1> <span>Share on social</span></div><h2>Sub</h2></header><p>" + "All of the text. " * 9 + "</p></article></body>"
     assert html.main_text(page) == "Title\nSub\n" + " ".join(["All of the text."] * 9)
+
+
+LONG_TEXT = "All of the text that makes up this article. " * 6
+
+
+@pytest.mark.parametrize("name", ["comments-area", "post-comments", "newsletter-signup", "cookie-notice", "postComments", "share_buttons", "related-posts", "ad-slot", "comments"])
+def test_compound_names_in_and_before_an_article(name):
+    said = "What a reader or a firm says here isn't the text. " * 20  # longer than the text itself
+    for attr in ("class", "id"):
+        for page in (
+            f"<body><article><h1>Title</h1><p>{LONG_TEXT}</p><div {attr}='{name}'><p>{said}</p></div></article></body>",
+            f"<body><div {attr}='box {name}'><p>{said}</p></div><div class='content'><h1>Title</h1><p>{LONG_TEXT}</p></div></body>",
+            f"<body><div class='layout has-sidebar with-comments'><div {attr}='{name}'>{said}</div><h1>Title</h1><p>{LONG_TEXT}</p></div></body>",
+        ):
+            assert html.main_text(page) == "Title\n" + LONG_TEXT.strip()
+
+
+def test_raw_elements_end_where_the_page_says():
+    """Letters that grow in lower case before a script move nothing."""
+    page = "<body><p>" + "\u0130" * 30 + "</p><SCRIPT>var a = '<p>no</p>';</Script ><p>The next paragraph is whole.</p></body>"
+    assert html.main_text(page) == "\u0130" * 30 + "\nThe next paragraph is whole."
+    assert html.main_text("<p>a</p><script>x</\u017fcript><p>b</p></script><p>c</p>") == "a\nc"
+
+
+def timed(page):
+    began = time.process_time()
+    html.main_text(page)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize(
+    "made",
+    [
+        lambda n: "<b>" * n + "</p>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<center>" * n + "x", lambda n: "<div class='sidebar'>word " * n,
+        lambda n: "<div class='sidebar'>word word<div class='widget'>" * n, lambda n: "<p><b>" * n, lambda n: "<li><b>" * n, lambda n: "<table><tr><td>" * n + "x</td>" * n, lambda n: "<script>x" * n, lambda n: "<a href='" * n,
+    ],
+)
+def test_time_grows_with_the_page(made):
+    small = min(timed(made(4000)) for _ in range(2))
+    assert timed(made(16_000)) < 9 * small + 0.2
+
+
+def plain_density(node, share):
+    """Density of a nested (tag, children) by the formula alone; children are texts or such pairs."""
+    own = [c for c in node[1] if not isinstance(c, str)]
+    chars = lambda n: sum(len("".join(c.split())) if isinstance(c, str) else chars(c) for c in n[1])
+    tags = lambda n: sum(1 + tags(c) for c in n[1] if not isinstance(c, str))
+    links = lambda n: chars(n) if n[0] == "a" else sum(links(c) for c in n[1] if not isinstance(c, str))
+    link_tags = lambda n: (n[0] == "a") + sum(link_tags(c) for c in n[1] if not isinstance(c, str))
+    c, t, lc, lt = chars(node), tags(node), links(node), link_tags(node)
+    share = lc / max(c, 1) if share is None else share
+    density = 0.0
+    if c:
+        inner = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        density = c / max(t, 1) * math.log(1 + c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(1 + inner)
+    below = [plain_density(k, share) for k in own]
+    return node[0], density, sum(b[1] for b in below), below
+
+
+def made_tree(r, depth):
+    children = []
+    for _ in range(r.integers(1, 5)):
+        kind = r.integers(0, 4)
+        children.append(made_tree(r, depth - 1) if depth and kind else "word " * int(r.integers(1, 9)))
+    return (str(r.choice(["div", "section", "span", "a", "em"])), children)
+
+
+def as_html(node):
+    return f"<{node[0]}>" + "".join(c if isinstance(c, str) else as_html(c) for c in node[1]) + f"</{node[0]}>"
+
+
+def test_densities_and_sums_by_the_formula():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        tree = ("body", [made_tree(r, 3) for _ in range(2)])
+        root = html.parse(as_html(tree))
+        html.measure(root)
+        todo = [(root.children[0], plain_density(tree, None))]
+        while todo:
+            got, (tag, density, total, below) = todo.pop()
+            assert got.tag == tag and got.density == pytest.approx(density) and got.total == pytest.approx(total)
+            kids = [c for c in got.children if not isinstance(c, str)]
+            assert len(kids) == len(below)
+            todo += zip(kids, below)
