@@ -27,7 +27,7 @@ SIZE = 2048
 
 
 def patterns(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
-    """counts[n]: pieces of length n.  Returns (lengths of a sequence in its order, how many such sequences)."""
+    """counts[n]: pieces of length n.  Returns (lengths of a sequence in its order, how many such sequences).  A sequence of one piece keeps it."""
     left = np.array(counts, np.int64)
     left[0] = 0
     out = []
