@@ -9,9 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+if TYPE_CHECKING:  # workers that use Arrow alone do without it
+    import pandas as pd
+
 _own: dict[str, str] = {}
 
 
@@ -35,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Bytes of an Arrow batch that goes to Python.  Spark's own limit, 64 MB, is held several times over by each side of each task.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to ``BATCH_BYTES``, if it is higher."""
+    set_to = spark.conf.get(_LIMIT, "2147483647b").lower().removesuffix("b")
+    if not (set_to.isdigit() and 0 < int(set_to) <= BATCH_BYTES):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 class Scratch:
     """Named tables and files of one run of one operator, in a folder of their own below the shared folder.
 
@@ -42,6 +57,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -62,6 +78,7 @@ class Scratch:
 
 def documents(df: DataFrame) -> DataFrame:
     """Only doc_id (long) and text, null read as empty; all other columns, whatever their names, are left behind."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -108,6 +125,7 @@ def by_ids(df: DataFrame, ids: DataFrame, on: F.Column, how: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -63,23 +63,28 @@ def _odd(n: int) -> np.ndarray:
     return _random.integers(1, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
 
 
-#: Lower-cases A-Z; white space of ASCII is 0.
-_TABLE = np.asarray([0 if b in b" \t\n\v\f\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+#: Lower-cases A-Z; white space of ASCII is a blank.
+_TABLE = bytes(0x20 if b in b" \t\n\v\f\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _odd(64)
 _BASE = int(_odd(1)[0])
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _BAND = _odd(ROWS)
 _PROBE = _random.integers(0, BINS, (BINS, PROBES))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed at once, up to the end of a word: what that holds is some 40 times as much.
+STRETCH = 1 << 16
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 14)
-        for k, base in enumerate((_BASE, _UNBASE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers[0][:n], _powers[1][:n]
+def _powers_of(n: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))]) for base in (_BASE, _UNBASE))
+
+
+_powers = _powers_of(STRETCH + 256)
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, ...]:
+    """Kept for a stretch, made anew for a word that goes on beyond its end."""
+    return tuple(p[:n] for p in (_powers if n <= len(_powers[0]) else _powers_of(n)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -89,9 +94,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    data = _TABLE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    data = text.encode("utf-8", "surrogatepass").translate(_TABLE)
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b" ", at + STRETCH)  # after a word
+        end = len(data) if end < 0 else end
+        out.append(_hashes(np.frombuffer(data, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
     inside = np.zeros(len(data) + 2, bool)
-    np.not_equal(data, 0, out=inside[1:-1])
+    np.not_equal(data, 0x20, out=inside[1:-1])
     starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
     power, unpower = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -177,7 +192,7 @@ def _longs(values: list[np.ndarray]) -> pa.Array:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in common.parts(batches, "text", common.PART):
             n, one, two, keys, digests = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, words)
@@ -189,6 +204,7 @@ def _sketches(words: int):
                 digests.append(got[1])
             whole = [pa.array(x, pa.int64()) for x in (n, one, two)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *whole, _longs(keys), _longs(digests)], ["doc_id", "n", "one", "two", "keys", "d"])
+        common.give_back()
 
     return run
 
@@ -211,6 +227,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        common.give_back()
 
     met = own.unionByName(other).repartition(common.partitions(pairs.sparkSession), "u", "share").sortWithinPartitions("u", "share", F.col("v").asc_nulls_first())
     return met.mapInArrow(run, "u long, v long")
@@ -330,6 +347,7 @@ def _tiles(most: int | None, percent: int):
             held = [batch.slice(start)]
         if held:
             yield from edges(pa.Table.from_batches(held))
+        common.give_back()
 
     return run
 

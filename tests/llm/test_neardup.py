@@ -35,12 +35,19 @@ def brute(rows, n):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B", "b", "é", "\t", " ", "\n", "\xa0", "x y", "\x1c"]), max_size=40), st.integers(1, 6))
+@given(st.lists(st.sampled_from(["a", "B", "b", "é", "\t", " ", "\n", "\xa0", "x y", "\x1c", "\0"]), max_size=40), st.integers(1, 6))
 def test_shingles_count_as_sets_of_words(parts, n):
     text = "".join(parts)
     assert len(neardup.shingles(text, n)) == len(shingle_set(text, n))
 
 
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    text = " ".join("w" * (k % 37) + str(k) for k in range(3000)) + " " + "z" * 5000 + " end"
+    whole = neardup.word_hashes(text)
+    monkeypatch.setattr(neardup, "STRETCH", 100)
+    assert len(whole) == len(text.split()) and (neardup.word_hashes(text) == whole).all()
+
+
 def near(r, base, edits):
     out = list(base)
     for _ in range(edits):
