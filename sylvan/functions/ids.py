@@ -7,33 +7,34 @@ from pyspark.sql.column import Column
 
 #: The digits of node ids, from 0 to 63.
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz$_ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The digits of base 64 by the standard, from 0 to 63.
+STANDARD = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 U64 = "decimal(20,0)"
 
 
 def encode_node_id(n: Column) -> Column:
-    """A number from 0 to 2**64 - 1, as number or text, to a node id; other text passes through."""
+    """A number from 0 to 2**64 - 1, as number or text, to a node id; other text, and larger numbers, pass through.
+
+    Nine bytes are twelve digits of the standard's base 64, which are then written as our own.
+    """
     text = n.cast("string")
-    small = text.try_cast("long")
-    small = F.when(small >= 0, small)
-    number = F.when(text.rlike("^[0-9]{1,20}$"), text.cast(U64))
-    low = F.when(small.isNotNull(), small.bitwiseAND(F.lit((1 << 60) - 1))).otherwise((number % F.lit(1 << 60).cast(U64)).cast("long"))  # the ten lowest digits
-    high = F.when(small.isNotNull(), F.shiftright(small, 60)).otherwise(F.floor(number / F.lit(1 << 60).cast(U64))).cast("int")  # the eleventh
-    digits = F.concat(*[F.substr(F.lit(DIGITS), F.shiftright(low, 6 * k).bitwiseAND(F.lit(63)).cast("int") + 1, F.lit(1)) for k in range(9, -1, -1)])
-    raw = F.concat(F.substr(F.lit(DIGITS), high + 1, F.lit(1)), digits)
-    is_number = small.isNotNull() & text.rlike("^[0-9]+$") | number.isNotNull()
-    return F.when(text.isNull() | ~F.coalesce(is_number, F.lit(False)), text).when(low + high == 0, F.lit("0")).otherwise(F.ltrim(raw, F.lit("0")))
-
-
-def decode_node_id(s: Column) -> Column:
-    """A node id to its number as text; the empty id is empty, one with other characters or beyond eleven digits null."""
-    bare = F.ltrim(s, F.lit("0"))
-    padded = F.lpad(bare, 11, "0")
-    digit = lambda k: (F.instr(F.lit(DIGITS), F.substring(padded, 11 - k, 1)) - 1).cast("long")
-    low = digit(0)
-    for k in range(1, 10):
-        low = low.bitwiseOR(F.shiftleft(digit(k), 6 * k))
-    number = F.when(F.length(bare) <= 10, low.cast("string")).otherwise((digit(10).cast(U64) * F.lit(1 << 60).cast(U64) + low.cast(U64)).cast("decimal(38,0)").cast("string"))
-    return F.when(s == "", F.lit("")).when(s.rlike(r"^[0-9a-zA-Z$_]+$") & (F.length(bare) <= 11), number)
+    number = text.rlike("^[0-9]+$") & ((F.length(text) < 20) | (text.try_cast("decimal(38,0)") < F.lit(str(1 << 64)).cast("decimal(38,0)")))
+    twelve = F.base64(F.unhex(F.lpad(F.conv(text, 10, 16), 18, "0")))
+    bare = F.ltrim(F.translate(twelve, STANDARD, DIGITS), F.lit("0"))
+    return F.when(F.coalesce(number, F.lit(False)), F.when(bare == "", F.lit("0")).otherwise(bare)).otherwise(text)
+
+
+def decode_node_id(s: Column, strict: bool = False) -> Column:
+    """A node id to its number as text; the empty id is empty, one with other characters or beyond eleven digits null or, if strict, an error."""
+    digits = F.lpad(F.ltrim(s, F.lit("0")), 12, "0")
+    raw = F.hex(F.unbase64(F.translate(digits, DIGITS, STANDARD)))
+    top, low = F.conv(F.substring(raw, 1, 3), 16, 10), F.conv(F.substring(raw, 4, 15), 16, 10)  # bits above and below the sixtieth
+    large = (top.cast(U64) * F.lit(1 << 60).cast(U64) + low.cast(U64)).cast("decimal(38,0)").cast("string")
+    number = F.when(F.startswith(raw, F.lit("000")), low).otherwise(large)
+    out = F.when(s == "", F.lit("")).when(s.rlike(r"^0*[0-9a-zA-Z$_]{1,11}$"), number)
+    if strict:
+        out = F.when(s.isNotNull() & out.isNull(), F.raise_error(F.concat(F.lit("not a node id: "), s)).cast("string")).otherwise(out)
+    return out
 
 
 def model_ref(ref: Column) -> tuple[Column, Column]:

@@ -1,15 +1,21 @@
-"""Dependency closure, its inversion, and the cone of influence of changed entities."""
+"""Reachability in dependency graphs: from seeds, in all pairs, and the cone of influence of changed entities.
+
+Rounds are tables in the shared folder, which cuts lineage; a lost executor costs the tasks of the current round.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 
+#: Rows of one id up to which a side of a join is broadcast, some 50 MB; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
@@ -21,32 +27,133 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def closure(edges: DataFrame, low: str, high: str) -> DataFrame:
-    """All (x, y) with y reachable from x by one edge or more; (x, x) only on a cycle.
+class Rounds:
+    """Tables of one run, written and read back."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.made = 0
+
+    def keep(self, df: DataFrame, gone: DataFrame | None = None, hits: str = "false") -> DataFrame:
+        """The table as written, with ``rows`` and how many of them are ``hits``, counted on the way; another one that no later round reads is removed."""
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(hits)).alias("hits")).write.parquet(path)
+        if gone is not None:
+            self.drop(gone)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.kept_at, out.rows, out.hits = path, seen.get["rows"], seen.get["hits"]
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _edges(edges: DataFrame, low: str, high: str) -> DataFrame:
+    return edges.select(F.col(low).cast("string").alias("x"), F.col(high).cast("string").alias("y")).where("x is not null and y is not null").distinct()
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
-    Paths double in each round: what was found last is joined with all that is known, so the rounds are as many as the bits of the longest
-    path.  A round is written to the shared folder, which cuts lineage, and read back as one table; the one before it is removed.
+
+def reach(seeds: DataFrame, edges: DataFrame, rounds: Rounds, back: bool = False) -> tuple[DataFrame, list[int]]:
+    """id of the seeds (their first column) and of all that they reach along edges (x, y), or against these; and how many each round found.
+
+    A round joins only what the last one found with the edges, so its rows follow the cone, not the graph; there are as many rounds as the
+    longest of the shortest paths from a seed.  What was found is broadcast to the edges behind a count.
+    """
+    near, far = ("y", "x") if back else ("x", "y")
+    known = rounds.keep(seeds.select(F.col(seeds.columns[0]).cast("string").alias("id")).where("id is not null").distinct())
+    tables, found = [known], [known.rows]
+    fresh = known
+    while found[-1]:
+        onward = edges.join(_small(fresh, found[-1]), F.col(near) == F.col("id"), "left_semi").select(F.col(far).alias("id")).distinct()
+        fresh = rounds.keep(onward.join(_small(known, sum(found)), "id", "left_anti"))
+        found.append(fresh.rows)
+        tables.append(fresh)
+        known = rounds.spark.read.schema("id string").parquet(*[t.kept_at for t in tables])
+    return known, found
+
+
+def strong_components(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """node, component of all nodes that lie on a cycle with another one, by forward-backward colouring of edges (x, y).
+
+    What has no edge in or none out is on no cycle and goes first.  Each node left takes the greatest id that reaches it as its colour; the nodes
+    that reach that id within its colour are its component.  Edges between colours and those of components found go, and the rest begins anew.
+    Rounds write a row for each node or edge that is left, whatever the size of a component.
     """
-    spark = edges.sparkSession
-    folder = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex[:12]}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def keep(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{folder}/{k}")
-        return spark.read.schema("x string, y string, fresh boolean").parquet(f"{folder}/{k}")
-
-    base = edges.select(F.col(low).cast("string").alias("x"), F.col(high).cast("string").alias("y")).where("x is not null and y is not null").distinct()
-    known, k = keep(base.withColumn("fresh", F.lit(True)), 0), 0
-    while not known.where("fresh").isEmpty():
-        fresh = known.where("fresh").select("x", "y")
-        onward = fresh.join(known.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
-        before = known.select("x", "y").join(fresh.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
-        found = onward.unionAll(before).withColumn("fresh", F.lit(True)).unionAll(known.select("x", "y", F.lit(False)))
-        known = keep(found.groupBy("x", "y").agg(F.min("fresh").alias("fresh")), k + 1)
-        gone = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}")
-        gone.getFileSystem(conf).delete(gone, True)
-        k += 1
-    return known.select("x", "y")
+    left, last, out = edges.where("x <> y"), None, None
+    while True:
+        while True:
+            before = None if last is None else last.rows
+            ins, outs = left.select(F.col("y").alias("x")).distinct(), left.select(F.col("x").alias("y")).distinct()
+            left = last = rounds.keep(left.join(ins, "x", "left_semi").join(outs, "y", "left_semi").select("x", "y"), last)
+            if left.rows in (0, before):
+                break
+        if not left.rows:
+            break
+        colour, last = left.select(F.col("x").alias("id"), F.col("x").alias("colour")).distinct(), None  # all of them have an edge out
+        while True:
+            by = left.join(colour, F.col("x") == F.col("id")).groupBy(F.col("y").alias("id")).agg(F.max("colour").alias("reached"))
+            moved = colour.join(by, "id", "left").select("id", F.greatest("colour", "reached").alias("colour"), F.coalesce(F.col("reached") > F.col("colour"), F.lit(False)).alias("moved"))
+            colour = last = rounds.keep(moved, last, hits="moved")
+            if not colour.hits:
+                break
+        of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
+        within = rounds.keep(left.join(of("x"), "x").join(of("y"), "y").where("x_colour = y_colour").select("x", "y"), left)
+        heads = colour.where("id = colour").select("id")
+        members, _ = reach(heads, within, rounds, back=True)
+        found = rounds.keep(colour.join(members, "id", "left_semi").select(F.col("id").alias("node"), F.col("colour").alias("component")))
+        out = found if out is None else out.unionAll(found)
+        gone = found.select("node")
+        left = last = rounds.keep(within.join(gone.withColumnRenamed("node", "x"), "x", "left_anti").join(gone.withColumnRenamed("node", "y"), "y", "left_anti").select("x", "y"), within)
+        if not left.rows:
+            break
+    if out is None:
+        return rounds.spark.createDataFrame([], "node string, component string")
+    several = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(several, "component", "left_semi").select("node", "component")
+
+
+class Closure:
+    """Which nodes reach which, through strong components: ``members`` (node, component) of every node of the edges, and ``between``
+    (x, y): components that reach one another, a component itself only if it has a cycle.
+
+    The components' graph has no cycles; its paths double in each round, so the rounds are as many as the bits of the longest path.
+    """
+
+    def __init__(self, edges: DataFrame, low: str, high: str):
+        rounds = Rounds(edges.sparkSession, "closure")
+        own = rounds.keep(_edges(edges, low, high))
+        cyclic = strong_components(own, rounds)
+        nodes = own.select(F.col("x").alias("node")).unionAll(own.select(F.col("y"))).distinct()
+        self.members = rounds.keep(nodes.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        of = lambda end: self.members.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        base = own.join(of("x"), "x").join(of("y"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+        base = table = rounds.keep(base.withColumn("fresh", F.col("x") != F.col("y")), hits="fresh")
+        loops, known = base.where("x = y").select("x", "y"), base.where("x <> y")
+        while table.hits:
+            step = known.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("fresh").alias("also"))
+            onward = known.join(step, "y").where("fresh or also").select("x", F.col("z").alias("y"), F.lit(True).alias("fresh"))
+            found = onward.unionAll(known.select("x", "y", F.lit(False)))
+            table = known = rounds.keep(found.groupBy("x", "y").agg(F.min("fresh").alias("fresh")), None if table is base else table, hits="fresh")
+        self.between = known.select("x", "y").unionAll(loops)
+
+    def pairs(self) -> DataFrame:
+        """All (x, y) of nodes with y reachable from x by one edge or more; (x, x) only on a cycle."""
+        of = lambda end: self.members.select(F.col("component").alias(f"c{end}"), F.col("node").alias(end))
+        return self.between.select(F.col("x").alias("cx"), F.col("y").alias("cy")).join(of("x"), "cx").join(of("y"), "cy").select("x", "y")
+
+
+def closure(edges: DataFrame, low: str, high: str) -> DataFrame:
+    """All (x, y) with y reachable from x by one edge or more; (x, x) only on a cycle."""
+    return Closure(edges, low, high).pairs()
 
 
 def downstream(reachable: DataFrame) -> DataFrame:
@@ -54,12 +161,16 @@ def downstream(reachable: DataFrame) -> DataFrame:
     return reachable.select(F.col("y").alias("x"), F.col("x").alias("y"))
 
 
-def cone(modified: DataFrame, reachable: DataFrame) -> DataFrame:
-    """id, affected: modified entities and all downstream of them; with affected false, what these have upstream besides."""
-    own = modified.select(F.col(modified.columns[0]).cast("string").alias("id")).distinct()
-    affected = own.unionAll(reachable.join(own, F.col("y") == F.col("id"), "left_semi").select(F.col("x").alias("id"))).distinct()
-    upstream = reachable.join(affected, F.col("x") == F.col("id"), "left_semi").select(F.col("y").alias("id"))
-    return affected.withColumn("affected", F.lit(True)).unionAll(upstream.withColumn("affected", F.lit(False))).groupBy("id").agg(F.max("affected").alias("affected"))
+def cone(modified: DataFrame, edges: DataFrame, low: str, high: str) -> DataFrame:
+    """id, affected: modified entities and all that depend on them, along edges (low depends on high); with affected false, what these need besides.
+
+    Only what is reached is joined with the edges, round by round; no closure is built.
+    """
+    rounds = Rounds(edges.sparkSession, "cone")
+    own = rounds.keep(_edges(edges, low, high))
+    affected, _ = reach(modified, own, rounds, back=True)
+    needed, _ = reach(affected, own, rounds)
+    return needed.join(affected.withColumn("_hit", F.lit(True)), "id", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("affected"))
 
 
 def touched_files(changed: DataFrame, listed: DataFrame) -> DataFrame:
@@ -94,7 +205,7 @@ def cone_of_influence(modules: DataFrame, models: DataFrame, module_edges: DataF
         return modules.select("module_id").distinct().withColumn("affected", F.lit(True)), None
     own = lambda kind: modified.where(F.col("kind") == kind).select("id")
     if flags["n"]:
-        return cone(own("module"), closure(module_edges, "module_id", "dep_module_id")).withColumnRenamed("id", "module_id"), None
-    hit = cone(own("model"), closure(model_edges, "model_id", "imported_model_id")).withColumnRenamed("id", "model_id")
+        return cone(own("module"), module_edges, "module_id", "dep_module_id").withColumnRenamed("id", "module_id"), None
+    hit = cone(own("model"), model_edges, "model_id", "imported_model_id").withColumnRenamed("id", "model_id")
     of = models.select("model_id", "module_id").join(hit, "model_id").groupBy("module_id").agg(F.max("affected").alias("affected"))
     return of, hit

@@ -34,9 +34,7 @@ class Forest(Questions):
     @cached_property
     def lines(self) -> DataFrame:
         """One row a line: several rows of one (order, number) are one node."""
-        rows = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
-        rows = rows.repartition("l_orderkey")  # serves the grouping and the join with orders
-        return rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"), F.min("l_linestatus").alias("status"))
+        return self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"), F.min("l_linestatus").alias("status"))
 
     def _roots(self, table: str, letter: str, key: str, model: F.Column, concept: str, name: str, **props: str) -> DataFrame:
         own = _id(letter, key)
@@ -94,6 +92,15 @@ class Forest(Questions):
         targets = self.roots.select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("imported_model_id"))
         return used.join(targets, "target_node_id").where("model_id <> imported_model_id").select("model_id", "imported_model_id").distinct()
 
+    @cached_property
+    def main_imports(self) -> DataFrame:
+        """Of each model's imports the one that most of its references lead to (of equal ones that of the smallest id)."""
+        used = self.refs.groupBy("model_id", "target_node_id").agg(F.count("*").alias("n"))
+        targets = self.roots.select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("imported_model_id"))
+        per = used.join(targets, "target_node_id").where("model_id <> imported_model_id").groupBy("model_id", "imported_model_id").agg(F.sum("n").alias("n"))
+        first = per.groupBy("model_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "imported_model_id")).alias("m"))
+        return first.select("model_id", F.col("m.imported_model_id").alias("imported_model_id"))
+
     @cached_property
     def model_imports(self) -> DataFrame:
         return self.imports

@@ -328,28 +328,24 @@ _CLOSURE = """, reach(x, y) AS (SELECT model_id, imported_model_id FROM imports
 _MODULE_EDGES = """, deps AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM imports i JOIN models a ON i.model_id = a.model_id JOIN models b ON i.imported_model_id = b.model_id WHERE a.module_id <> b.module_id),
 reach(x, y) AS (SELECT module_id, dep_module_id FROM deps UNION SELECT r.x, d.dep_module_id FROM reach r JOIN deps d ON r.y = d.module_id)
 """
-#: Edges without cycles, so that cones differ: of the imports, those of the model four places further on.
-_CHAIN = """, chain AS (SELECT DISTINCT model_id, imported_model_id FROM imports WHERE CAST(substr(imported_model_id, 2) AS INTEGER) = CAST(substr(model_id, 2) AS INTEGER) + 4),
-reach(x, y) AS (SELECT model_id, imported_model_id FROM chain UNION SELECT r.x, c.imported_model_id FROM reach r JOIN chain c ON r.y = c.model_id),
-edges AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM chain JOIN models a USING (model_id) JOIN models b ON imported_model_id = b.model_id WHERE a.module_id <> b.module_id),
+#: Each model's main import, the one that most of its references lead to, so that cones differ: all imports join every model with every other.
+_MAIN = """, counts AS (SELECT r.model_id, t.model_id AS imported_model_id, count(*) AS n FROM refs r JOIN targets t ON r.target_node_id = t.node_id WHERE r.model_id <> t.model_id GROUP BY 1, 2),
+main AS (SELECT model_id, imported_model_id FROM counts QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY n DESC, imported_model_id) = 1),
+reach(x, y) AS (SELECT model_id, imported_model_id FROM main UNION SELECT r.x, c.imported_model_id FROM reach r JOIN main c ON r.y = c.model_id),
+edges AS (SELECT DISTINCT a.module_id, b.module_id AS dep_module_id FROM main JOIN models a USING (model_id) JOIN models b ON imported_model_id = b.model_id WHERE a.module_id <> b.module_id),
 mreach(x, y) AS (SELECT module_id, dep_module_id FROM edges UNION SELECT r.x, e.dep_module_id FROM mreach r JOIN edges e ON r.y = e.module_id)
 """
 
 
-def _chain(f):
-    number = lambda c: F.substring(c, 2, 9).cast("int")
-    return f.imports.where(number("imported_model_id") == number("model_id") + 4)
-
-
-def _chain_modules(f):
+def _main_modules(f):
     of = f.models.select("model_id", "module_id")
     to = of.select(F.col("model_id").alias("imported_model_id"), F.col("module_id").alias("dep_module_id"))
-    return _chain(f).join(of, "model_id").join(to, "imported_model_id").where("module_id <> dep_module_id").select("module_id", "dep_module_id").distinct()
+    return f.main_imports.join(of, "model_id").join(to, "imported_model_id").where("module_id <> dep_module_id").select("module_id", "dep_module_id").distinct()
 
 
 def _cone(f, changed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The cone of changed paths, over the files that the forest would have."""
-    return graph.cone_of_influence(f.modules, f.models, _chain_modules(f), _chain(f), graph.modified_entities(changed, f.files, f.modules, f.models))
+    return graph.cone_of_influence(f.modules, f.models, _main_modules(f), f.main_imports, graph.modified_entities(changed, f.files, f.modules, f.models))
 
 
 def _reach(f):
@@ -374,7 +370,19 @@ def downstream_inversion(f):
 @query(_CLOSURE + """, hit AS (SELECT 'N3' AS id UNION SELECT x FROM reach WHERE y = 'N3')
 SELECT id, true AS affected FROM hit UNION ALL SELECT DISTINCT y, false FROM reach WHERE x IN (SELECT id FROM hit) AND y NOT IN (SELECT id FROM hit)""")
 def cone_of_influence_models(f):
-    return graph.cone(f.models.where("model_id = 'N3'").select("model_id"), _reach(f))
+    return graph.cone(f.models.where("model_id = 'N3'").select("model_id"), f.imports, "model_id", "imported_model_id")
+
+
+@query(_MAIN + """, hit AS (SELECT 'N3' AS id UNION SELECT x FROM reach WHERE y = 'N3')
+SELECT id, true AS affected FROM hit UNION ALL SELECT DISTINCT y, false FROM reach WHERE x IN (SELECT id FROM hit) AND y NOT IN (SELECT id FROM hit)""")
+def cone_of_main_imports(f):
+    return graph.cone(f.models.where("model_id = 'N3'").select("model_id"), f.main_imports, "model_id", "imported_model_id")
+
+
+@query(_CLOSURE + """, own AS (SELECT x AS node, coalesce((SELECT max(b.y) FROM reach a JOIN reach b ON a.x = b.x WHERE a.x = n.x AND b.y IN (SELECT x FROM reach r WHERE r.y = n.x)), x) AS component FROM (SELECT DISTINCT model_id AS x FROM imports UNION SELECT imported_model_id FROM imports) n)
+SELECT node, component FROM own""")
+def import_cycles(f):
+    return graph.Closure(f.imports, "model_id", "imported_model_id").members
 
 
 @query("SELECT 'src/' || module_id || '/' || module_id || '.msd' AS path, 'module' AS kind, module_id AS id FROM modules WHERE module_id IN ('M1', 'M3') UNION ALL SELECT 'src/' || module_id || '/models/' || model_id || '.mps', 'model', model_id FROM models WHERE module_id = 'M1' UNION ALL SELECT 'src/M3/gone.mps', 'model', NULL")
@@ -383,14 +391,14 @@ def modified_entities_of_paths(f):
     return graph.modified_entities(changed, f.files, f.modules, f.models)
 
 
-@query(_CHAIN + """, hit AS (SELECT model_id AS id FROM models WHERE module_id = 'M1' UNION SELECT x FROM reach JOIN models ON y = model_id AND module_id = 'M1'),
+@query(_MAIN + """, hit AS (SELECT model_id AS id FROM models WHERE module_id = 'M1' UNION SELECT x FROM reach JOIN models ON y = model_id AND module_id = 'M1'),
 every AS (SELECT id, true AS affected FROM hit UNION SELECT y, false FROM reach WHERE x IN (SELECT id FROM hit))
 SELECT id AS model_id, bool_or(affected) AS affected FROM every GROUP BY 1""")
 def cone_of_influence_by_models(f):
     return _cone(f, f.models.where("module_id = 'M1'").select("path"))[1]
 
 
-@query(_CHAIN + """, hit AS (SELECT 'M1' AS id UNION SELECT x FROM mreach WHERE y = 'M1'), every AS (SELECT id, true AS affected FROM hit UNION SELECT y, false FROM mreach WHERE x IN (SELECT id FROM hit))
+@query(_MAIN + """, hit AS (SELECT 'M1' AS id UNION SELECT x FROM mreach WHERE y = 'M1'), every AS (SELECT id, true AS affected FROM hit UNION SELECT y, false FROM mreach WHERE x IN (SELECT id FROM hit))
 SELECT id AS module_id, bool_or(affected) AS affected FROM every GROUP BY 1""")
 def cone_of_influence_modules_fallback(f):
     missing = f.modules.where("module_id = 'M1'").select(F.regexp_replace("path", "[^/]*$", "models/gone.mps").alias("path"))

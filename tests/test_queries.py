@@ -30,18 +30,6 @@ def test_same_as_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_closure_and_cone_on_cycles(spark):
-    r = random.Random(4)
-    edges = {(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(14)} | {("a", "a"), ("b", "c"), ("c", "b")}
-    want = set(edges)
-    while more := {(x, z) for x, y in want for y2, z in edges if y == y2} - want:
-        want |= more
-    reach = graph.closure(spark.createDataFrame(sorted(edges), "u string, v string"), "u", "v")
-    assert {tuple(x) for x in reach.collect()} == want
-    hit = {x.id: x.affected for x in graph.cone(spark.createDataFrame([("c",)], "id string"), reach).collect()}
-    assert hit == {"b": True, "c": True}
-
-
 def test_node_ids(spark):
     digits = ids.DIGITS
 
@@ -54,4 +42,18 @@ def test_node_ids(spark):
     df = spark.createDataFrame([(str(v),) for v in values] + [("~plain",)], "v string")
     got = {x.v: (x.c, x.d) for x in df.select("v", ids.encode_node_id(F.col("v")).alias("c")).select("v", "c", ids.decode_node_id(F.col("c")).alias("d")).collect()}
     assert got == {str(v): (encode(v), str(v)) for v in values} | {"~plain": ("~plain", None)}
-    assert got["5731700211660045983"][0] == "4Yb5JA31NUv"
+    assert got["5731700211660045983"][0] == "4Yb5JA31NUv"  # a fixed value: a known pair
+
+
+def test_node_ids_beyond_the_largest_and_malformed(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(v,) for v in ("18446744073709551616", "99999999999999999999", "123456789012345678901234", "-5", "007", "", None)], "v string")
+    assert [r.c for r in df.select(ids.encode_node_id(F.col("v")).alias("c")).collect()] == ["18446744073709551616", "99999999999999999999", "123456789012345678901234", "-5", "7", "", None]
+    most, eleven = str((1 << 66) - 1), "Z" * 11
+    df = spark.createDataFrame([(eleven,), ("000" + eleven,), ("1" + eleven,), ("a-b",), ("",), (None,), ("0",)], "v string")
+    assert [r.d for r in df.select(ids.decode_node_id(F.col("v")).alias("d")).collect()] == [most, most, None, None, "", None, "0"]
+    strict = lambda v: spark.createDataFrame([(v,)], "v string").select(ids.decode_node_id(F.col("v"), strict=True).alias("d")).collect()[0].d
+    assert (strict(eleven), strict(None), strict("")) == (most, None, "")
+    with pytest.raises(Exception, match="not a node id: a-b"):
+        strict("a-b")
