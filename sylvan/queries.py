@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
-from xml.sax.saxutils import escape, quoteattr
 
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from .functions import ids
 from .operators import edits, graph, tree
 from .operators.questions import Questions
 from .plans.forest import SQL, Forest
-from .sources import sinks
+from .sources import files, sinks
 from .sources.repository import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,77 +417,104 @@ def changed_path_ancestors(f):
 # --- sources and sinks --------------------------------------------------------------------------------------------------------------
 
 
-def _written(f) -> str:
-    """A repository on disk, in the shared folder: a solution for each region, with one model that has a root for each nation.
-
-    A nation refers to the one of the next number.  One file a region, so the driver writes them.
-    """
-    rows = f.table("nation").join(f.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()  # a row for each nation
-    of, model = {r["n_nationkey"]: r for r in rows}, lambda r: f"r:{r['n_regionkey']}({escape(r['r_name'])}.nations)"
-    files = {}
-    for region in sorted({(r["r_regionkey"], r["r_name"]) for r in rows}):
-        own = [r for _, r in sorted(of.items()) if r["n_regionkey"] == region[0]]
-        then = {r["n_nationkey"]: of[(r["n_nationkey"] + 1) % len(of)] for r in own}
-        imports = sorted({r["n_regionkey"]: model(r) for r in then.values() if r["n_regionkey"] != region[0]}.items())
-        nodes = []
-        for r in own:
-            to = then[r["n_nationkey"]]
-            ref = f'node="{to["n_nationkey"]}"' if to["n_regionkey"] == region[0] else f'to="i{to["n_regionkey"]}:{to["n_nationkey"]}"'
-            nodes.append(f'<node concept="c" id="{r["n_nationkey"]}"><property role="n" value={quoteattr(r["n_name"])} /><ref role="x" {ref} resolve={quoteattr(to["n_name"])} /></node>')
-        registry = '<registry><language id="l" name="trade"><concept id="1" name="trade.structure.Nation" flags="ng" index="c"><property id="2" name="name" index="n" /><reference id="3" name="next" index="x" /></concept></language></registry>'
-        listed = "".join(f'<import index="i{k}" ref={quoteattr(m)} />' for k, m in imports)
-        files[f"{region[0]}/{region[0]}.msd"] = f'<solution name={quoteattr(region[1])} uuid="M{region[0]}"><dependencies /></solution>'
-        files[f"{region[0]}/models/nations.mps"] = f'<model ref={quoteattr(model(own[0]))}><persistence version="9" /><languages><use id="l" name="trade" version="0" /></languages><imports>{listed}</imports>{registry}{"".join(nodes)}</model>'
-    return _put(f, files)
-
-
-def _put(f, files: dict[str, str]) -> str:
+#: The members of each concept: kind, name, short name.
+_MEMBERS = {
+    "Customer": [("property", "name", "pn"), ("property", "segment", "ps"), ("child", "orders", "co")], "Supplier": [("property", "name", "pn")], "Part": [("property", "name", "pn"), ("property", "brand", "pb"), ("property", "type", "pt")],
+    "Order": [("property", "name", "pn"), ("property", "priority", "pp"), ("child", "lines", "cl")], "Line": [("property", "name", "pn"), ("reference", "part", "rp"), ("reference", "supplier", "rs")],
+}
+
+
+def _registry() -> F.Column:
+    text = lambda v: F.lit(v).cast("string")
+    rows = []
+    for k, (concept, members) in enumerate(_MEMBERS.items()):
+        for m, (kind, name, short) in enumerate([(None, None, None), *members]):
+            known = [text("l"), text("trade"), text(f"c{k}"), text(f"trade.structure.{concept}"), text("ng"), text(f"x{k}"), text(kind), text(None if kind is None else f"m{k}{m}"), text(name), text(short)]
+            rows.append(F.struct(*[v.alias(n) for v, n in zip(known, ("language_id", "language_name", "concept_id", "concept_name", "flags", "concept_index", "kind", "member_id", "member_name", "member_index"))]))
+    return F.array(*rows)
+
+
+def _parts(f, by_root: bool) -> DataFrame:
+    """The forest as rows of model files, which tasks write: descriptors of modules, and a file for each model, or for each of its roots."""
+    place = F.concat(F.lit("src/"), "module_id", F.lit("/models/"), "model_id")
+    of = F.broadcast(f.models.select("model_id", place.alias("dir"), F.col("name").alias("model_name")))  # a row for each nation
+    file = F.concat("dir", F.lit("/"), "root_id", F.lit(".mpsr")) if by_root else F.concat("dir", F.lit(".mps"))
+    nodes = f.nodes.join(of, "model_id").withColumn("file", file)
+    # Document order within a root: an order's lines follow it.
+    pre = F.when(F.col("concept") == "Order", F.col("ord") * 1024).when(F.col("concept") == "Line", F.substring("parent_id", 2, 20).cast("long") * 1024 + F.col("ord")).otherwise(-1)
+    refs = f.refs.join(f.line_nodes.select("model_id", "node_id", "root_id", "parent_id", "concept", "ord"), ["model_id", "node_id"]).join(of, "model_id").withColumn("file", file)
+    target = f.roots.select(F.col("node_id").alias("target_node_id"), F.concat(F.lit("r:"), "model_id").alias("target_model_id"))
+    refs = refs.join(target, "target_node_id")
+    ref = F.struct("role", "target_model_id", "target_node_id", F.col("target_node_id").alias("resolve_info"))
+    path, root = F.lit(None).cast("string").alias("path"), (F.col("root_id") if by_root else F.lit(None).cast("string")).alias("root_id")
+    known = nodes.where("parent_id is null") if by_root else of.join(nodes.select("model_id").distinct(), "model_id").withColumn("file", file)
+    head = F.struct(F.concat(F.lit("r:"), "model_id").alias("model_id"), "model_name", path, root)
+    imports = f.imports.join(f.models.select(F.col("model_id").alias("imported_model_id"), F.col("name").alias("imported_name")), "imported_model_id").join(known.select("model_id", "file"), "model_id")
+    imported = F.struct(F.concat(F.lit("i"), "imported_model_id").alias("import_index"), F.concat(F.lit("r:"), "imported_model_id").alias("imported_model_id"), "imported_name", F.lit(False).alias("implicit"))
+    registry = known.select("file", F.posexplode(_registry()).alias("ord", "registry"))
+    own = F.when(F.col("role").isNotNull(), F.col("role"))
+    node = F.struct("depth", "node_id", F.concat(F.lit("trade.structure."), "concept").alias("concept"), own.alias("role"), "props")
+    solution = F.concat(F.lit('<solution name="'), "name", F.lit('" uuid="'), "module_id", F.lit('"><dependencies /></solution>'))
+    return (
+        files.rows(f.modules, 0, file=F.col("path"), text=solution)
+        .unionAll(files.rows(known, 0, file=F.col("file"), head=head))
+        .unionAll(files.rows(imports, 1, file=F.col("file"), ord=F.substring("imported_model_id", 2, 9), **{"import": imported}))
+        .unionAll(files.rows(registry, 2, file=F.col("file"), ord=F.col("ord"), registry=F.col("registry")))
+        .unionAll(files.rows(nodes, 3, file=F.col("file"), root=F.col("root_id"), pre=pre, node=node))
+        .unionAll(files.rows(refs, 3, file=F.col("file"), root=F.col("root_id"), pre=pre, kind=F.lit(1), ord=F.when(F.col("role") == "part", 0).otherwise(1), ref=ref))
+    )
+
+
+def _written(f, by_root: bool = False) -> Repository:
+    """The forest written to the shared folder as a repository, and found there."""
     top = f"{graph.shared_folder(f.spark)}/repository-{uuid.uuid4().hex[:12]}"
-    filesystem, root = arrow_fs.FileSystem.from_uri(top if "://" in top else os.path.abspath(top))
-    for name, text in files.items():
-        filesystem.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
-        with filesystem.open_output_stream(f"{root}/{name}") as out:
-            out.write(text.encode())
-    return top
+    files.write(_parts(f, by_root), top)
+    return Repository(f.spark, top)
 
 
-_NATIONS = "SELECT r_name AS module, r_name || '.nations' AS model, CAST(n_nationkey AS VARCHAR) AS node_id, 'trade.structure.Nation' AS concept, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey"
+_NODES = "SELECT d.name AS module, m.name AS model, n.node_id, 'trade.structure.' || n.concept AS concept, n.name FROM nodes n JOIN models m USING (model_id) JOIN modules d USING (module_id)"
 
 
-def _nations(repo: Repository) -> DataFrame:
+def _found(repo: Repository) -> DataFrame:
     of = repo.models.select("source", F.col("name").alias("model"), "module_id").join(repo.modules.select("module_id", F.col("name").alias("module")), "module_id")
     return repo.nodes.join(of, "source").select("module", "model", "node_id", "concept", F.col("props")["name"].alias("name"))
 
 
-@query(_NATIONS)
+@query(_NODES)
 def repository_nodes(f):
-    return _nations(Repository(f.spark, _written(f)))
+    return _found(_written(f))
 
 
-@query(_NATIONS)
+@query(_NODES)
 def repository_snapshot_nodes(f):
-    top = _written(f)
-    return _nations(Repository(f.spark, top).snapshot(f"{top}-kept"))
+    repo = _written(f)
+    return _found(repo.snapshot(f"{repo.paths[0]}-kept"))
 
 
-@query("SELECT CAST(a.n_nationkey AS VARCHAR) AS node_id, 'r:' || b.n_regionkey AS target_model_id, b.n_name AS target, b.n_name AS said FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % (SELECT count(*) FROM nation)")
+@query("SELECT r.node_id, r.role, 'r:' || t.model_id AS target_model_id, n.name AS target, r.target_node_id AS said FROM refs r JOIN targets t ON r.target_node_id = t.node_id JOIN nodes n ON n.node_id = r.target_node_id AND n.depth = 0")
 def repository_refs_resolved(f):
-    return Repository(f.spark, _written(f)).resolved().select("node_id", "target_model_id", F.col("target.props")["name"].alias("target"), F.col("resolve_info").alias("said"))
+    repo = _written(f)
+    return repo.snapshot(f"{repo.paths[0]}-kept").resolved().select("node_id", "role", "target_model_id", F.col("target.props")["name"].alias("target"), F.col("resolve_info").alias("said"))
 
 
-@query("SELECT DISTINCT 'r:' || a.n_regionkey AS model_id, 'r:' || b.n_regionkey AS imported_model_id, true AS loaded FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % (SELECT count(*) FROM nation) WHERE a.n_regionkey <> b.n_regionkey")
+@query("SELECT 'r:' || i.model_id AS model_id, 'r:' || imported_model_id AS imported_model_id, m.name AS imported_name, true AS loaded FROM imports i JOIN models m ON m.model_id = imported_model_id")
 def repository_imports(f):
-    return Repository(f.spark, _written(f)).loaded_imports().select("model_id", "imported_model_id", "loaded")
+    return _written(f).loaded_imports()
 
 
-@query(_NATIONS)
+@query(_NODES)
 def roots_written_back(f):
-    repo = Repository(f.spark, _written(f))
-    texts = sinks.roots_as_xml(repo).join(repo.models.select("model_id", "module_id"), "model_id").collect()  # a row for each nation
-    modules = {r["module_id"]: r["name"] for r in repo.modules.collect()}
-    files = {f"{m}/{m}.msd": f'<solution name={quoteattr(name)} uuid="{m}"><dependencies /></solution>' for m, name in modules.items()}
-    files |= {f"{r['module_id']}/models/nations/{r['root_id']}.mpsr": r["text"] for r in texts}
-    return _nations(Repository(f.spark, _put(f, files)))
+    """A file for each root, by the tasks that have its nodes."""
+    return _found(_written(f, by_root=True))
+
+
+@query("SELECT 'r:' || model_id AS model_id, node_id AS root_id, 1 + (SELECT count(*) FROM nodes k WHERE k.root_id = n.root_id AND k.depth > 0) AS size FROM nodes n WHERE concept = 'Customer' AND model_id = 'N3'")
+def roots_as_text(f):
+    """Customers of one model read, and each printed again: as many nodes open as its tree has."""
+    repo = _written(f)
+    kept = repo.snapshot(f"{repo.paths[0]}-kept")
+    own = sinks.roots_as_xml(kept).where("model_id = 'r:N3' and root_id like 'C%'")
+    return own.select("model_id", "root_id", F.regexp_count("text", F.lit("<node ")).cast("long").alias("size"))
 
 
 @query("SELECT json_object('module_id', 'M' || r_regionkey, 'name', r_name, 'scan_ord', CAST(r_regionkey AS BIGINT)) AS json FROM region")

@@ -2,97 +2,53 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import escape
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from . import languages
-from .repository import Repository
-
-_QUOTES = {'"': "&quot;", "\n": "&#10;", "\t": "&#9;", "\r": "&#13;"}
-
-
-def _tag(name: str, /, **attributes: str | None) -> str:
-    return "<" + " ".join([name, *(f'{k}="{escape(v, _QUOTES)}"' for k, v in attributes.items() if v is not None)])
-
-
-def _document(model_id, model_name, imports, registry, nodes, refs) -> str:
-    """One root's file: header, imports, registry, nodes in document order with properties, references, children."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', _tag("model", ref=f"{model_id}({model_name})", content="root") + ">", '  <persistence version="9" />']
-    index = {}
-    out.append("  <imports>" if imports else "  <imports />")
-    for i in imports or ():
-        index.setdefault(i["imported_model_id"], i["import_index"])
-        out.append("    " + _tag("import", index=i["import_index"], ref=f"{i['imported_model_id']}({i['imported_name']})", implicit="true" if i["implicit"] else None) + " />")
-    if imports:
-        out.append("  </imports>")
-    short, language, concept = {}, None, None
-    out.append("  <registry>" if registry else "  <registry />")
-    for k, r in enumerate(registry or ()):
-        if r["language_id"] != language:
-            language = r["language_id"]
-            out.append("    " + _tag("language", id=language, name=r["language_name"]) + ">")
-        if r["kind"] is None:
-            concept = short["concept", r["concept_name"]] = r["concept_index"]
-            line = _tag("concept", id=r["concept_id"], name=r["concept_name"], flags=r["flags"], index=concept)
-        else:
-            short[r["kind"], r["member_name"]] = r["member_index"]
-            out.append("        " + _tag(r["kind"], id=r["member_id"], name=r["member_name"], index=r["member_index"]) + " />")
-        after = registry[k + 1] if k + 1 < len(registry) else None
-        more = after is not None and after["kind"] is not None
-        if r["kind"] is None:
-            out.append("      " + line + (">" if more else " />"))
-        elif not more:
-            out.append("      </concept>")
-        if after is None or after["language_id"] != language:
-            out.append("    </language>")
-    if registry:
-        out.append("  </registry>")
-    of = {}
-    for r in refs or ():
-        of.setdefault(r["pre"], []).append(r)
-    above: list[int] = []  # depths of open nodes
-    for n in nodes:
-        while above and above[-1] >= n["depth"]:
-            out.append("  " * (above.pop() + 1) + "</node>")
-        pad, links = "  " * (n["depth"] + 1), of.get(n["pre"], ())
-        bare = not n["props"] and not links and n["last"] == n["pre"]
-        role = n["role"] and short.get(("child", n["role"]), n["role"])
-        out.append(pad + _tag("node", concept=short.get(("concept", n["concept"]), n["concept"]), id=n["node_id"], role=role) + (" />" if bare else ">"))
-        for p in n["props"] or ():
-            out.append(pad + "  " + _tag("property", role=short.get(("property", p["key"]), p["key"]), value=p["value"]) + " />")
-        for r in links:
-            local = r["target_model_id"] == model_id
-            to = None if local else f"{index.get(r['target_model_id'], r['target_model_id'] or '')}:{r['target_node_id']}"
-            out.append(pad + "  " + _tag("ref", role=short.get(("reference", r["role"]), r["role"]), node=r["target_node_id"] if local else None, to=to, resolve=r["resolve_info"]) + " />")
-        if not bare:
-            above.append(n["depth"])
-    while above:
-        out.append("  " * (above.pop() + 1) + "</node>")
-    return "\n".join([*out, "</model>", "", ""])
+from . import files, languages
+from .repository import ROOT, Repository
+
+def root_rows(repo: Repository, file: F.Column) -> DataFrame:
+    """Rows of the files that hold the repository's roots; ``file`` names a root's own from model_id, path and root_id."""
+    heads = repo.nodes.where("parent_id is null").join(repo.models.select("model_id", F.col("name").alias("model_name")), "model_id")
+    heads = heads.select("path", file.alias("file"), F.struct("model_id", "model_name", "path", "root_id").alias("head"))
+    of = heads.select("path", "file")
+    pack = lambda ddl: F.struct(*[part.split(":")[0] for part in ddl.removeprefix("struct<").replace("map<string,string>", "").removesuffix(">").split(", ")])
+    imports, registry = repo.model_imports.join(of, "path"), repo.registry.join(of, "path")
+    roots = repo.nodes.select("path", "node_id", "root_id")
+    refs = repo.node_refs.join(roots, ["path", "node_id"])
+    return (
+        files.rows(heads, 0, file=F.col("file"), head=F.col("head"))
+        .unionAll(files.rows(imports, 1, file=F.col("file"), ord=F.col("ord"), **{"import": pack(files.IMPORT)}))
+        .unionAll(files.rows(registry, 2, file=F.col("file"), ord=F.col("ord"), registry=pack(files.REGISTRY)))
+        .unionAll(files.rows(repo.nodes, 3, file=file, root=F.col("root_id"), pre=F.col("pre"), node=pack(files.NODE)))
+        .unionAll(files.rows(refs, 3, file=file, root=F.col("root_id"), pre=F.col("pre"), kind=F.lit(1), ord=F.col("ord"), ref=pack(files.REF)))
+    )
 
 
-def roots_as_xml(repo: Repository) -> DataFrame:
-    """model_id, path, root_id, text: every root as a file of its own.
+def write_roots(repo: Repository, folder: str, mode: str = "append") -> None:
+    """Every root as a file of its own, in a folder for each model (by its id) below the given one."""
+    files.write(root_rows(repo, F.concat_ws("/", F.url_encode("model_id"), F.concat(F.url_encode("root_id"), F.lit(ROOT)))), folder, mode)
 
-    What comes together is one root with its file's imports and registry, as large as the file to be written.
-    """
 
-    def gathered(df: DataFrame, by: list[str], order: list[str], rest: list[str], name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
-
-    nodes = repo.nodes.withColumn("props", F.map_entries("props"))
-    refs = repo.node_refs.join(nodes.select("path", "node_id", "root_id"), ["path", "node_id"])
-    out = (
-        gathered(nodes, ["model_id", "path", "root_id"], ["pre"], ["depth", "last", "node_id", "concept", "role", "props"], "nodes")
-        .join(gathered(refs, ["path", "root_id"], ["pre", "ord"], ["role", "target_model_id", "target_node_id", "resolve_info"], "refs"), ["path", "root_id"], "left")
-        .join(gathered(repo.model_imports, ["path"], ["ord"], ["import_index", "imported_model_id", "imported_name", "implicit"], "imports"), "path", "left")
-        .join(gathered(repo.registry, ["path"], ["ord"], ["language_id", "language_name", "concept_id", "concept_name", "flags", "concept_index", "kind", "member_id", "member_name", "member_index"], "registry"), "path", "left")
-        .join(repo.models.select("model_id", F.col("name").alias("model_name")), "model_id")
-    )
-    return out.select("model_id", "path", "root_id", F.udf(_document, "string")("model_id", "model_name", "imports", "registry", "nodes", "refs").alias("text"))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[str] = []
+    for _, piece, head in files.printed(batches):
+        if piece is not None:
+            held.append(piece)
+        else:
+            yield pa.RecordBatch.from_pylist([{"model_id": head["model_id"], "path": head["path"], "root_id": head["root_id"], "text": "".join(held)}])
+            held = []
+
+
+def roots_as_xml(repo: Repository) -> DataFrame:
+    """model_id, path, root_id, text: every root as the text of a file of its own.  A text is held whole; ``write_roots`` holds none."""
+    ordered = files.in_order(root_rows(repo, F.concat_ws("\0", "path", "root_id")))
+    return ordered.mapInArrow(_texts, "model_id string, path string, root_id string, text string")
 
 
 def _members(repo: Repository) -> DataFrame:

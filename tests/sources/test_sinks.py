@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from sylvan.sources import sinks
+from sylvan.sources import files, sinks
 from sylvan.sources.repository import Repository
 
 from . import made
@@ -22,6 +24,52 @@ def test_roots_round_trip(repo, spark, tmp_path):
     assert sorted((r.node_id, r.concept, str(r.props)) for r in again.nodes.collect()) == [("1b", "garden.structure.Plant", "{}"), ("2a", "garden.structure.Plant", "{'name': 'fern'}")]
 
 
+def written(top):
+    return sorted(os.path.relpath(os.path.join(d, n), top) for d, _, names in os.walk(top) for n in names)
+
+
+def test_roots_are_written_by_tasks(repo, spark, tmp_path):
+    top = tmp_path / "out"
+    sinks.write_roots(repo, str(top))
+    texts = {r.root_id: r.text for r in sinks.roots_as_xml(repo).collect()}
+    names = written(top)
+    assert sorted(n.rpartition("/")[2] for n in names) == ["1a.mpsr", "1b.mpsr", "2a.mpsr"]
+    assert all((top / n).read_text() == texts[n.rpartition("/")[2].removesuffix(".mpsr")] for n in names)
+    sinks.write_roots(repo, str(top))  # again: the same files, each in its place
+    assert written(top) == names
+    (top / "old").write_text("x")
+    sinks.write_roots(repo, str(top), mode="overwrite")
+    assert written(top) == names and os.listdir(tmp_path) == ["out"]
+
+
+def test_a_failed_task_leaves_nothing(repo, spark, tmp_path):
+    rows = sinks.root_rows(repo, F.col("root_id")).unionAll(files.rows(spark.range(1), 0, file=F.lit("a/../../b"), text=F.lit("x")))
+    with pytest.raises(Exception, match="not a path below the folder"):
+        files.write(rows, str(tmp_path / "out"))
+    assert os.listdir(tmp_path) == []
+    files.write(spark.range(0).select(F.lit("f").alias("file")).transform(lambda d: files.rows(d, 0, file=F.col("file"), text=F.lit("x"))), str(tmp_path / "out"))
+    assert written(tmp_path) == []
+
+
+def test_a_deep_and_a_wide_root(spark, tmp_path):
+    """One root of 30,000 nodes, 3,000 of them below one another, with references between; another file is text as given."""
+    deep, n = 3000, 30_000
+    nodes = spark.range(n).select(F.lit("r.mps").alias("file"), F.col("id").alias("pre"), F.struct(F.least(F.col("id"), F.lit(deep)).cast("int").alias("depth"), F.concat(F.lit("k"), "id").alias("node_id"), F.lit("t.Node").alias("concept"), F.when(F.col("id") > 0, F.lit("kids")).alias("role"), F.when(F.col("id") % 3 == 0, F.create_map(F.lit("name"), F.concat(F.lit("<&\"\n"), "id"))).alias("props")).alias("node"))
+    refs = nodes.where("pre % 7 = 1").select("file", "pre", F.struct(F.lit("to").alias("role"), F.lit("r:x").alias("target_model_id"), F.concat(F.lit("k"), F.col("pre") - 1).alias("target_node_id"), F.lit("said").alias("resolve_info")).alias("ref"))
+    head = spark.range(1).select(F.struct(F.lit("r:x").alias("model_id"), F.lit("x").alias("model_name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("root_id")).alias("head"))
+    rows = files.rows(head, 0, file=F.lit("m/models/r.mps"), head=F.col("head"))
+    rows = rows.unionAll(files.rows(nodes, 3, file=F.lit("m/models/r.mps"), pre=F.col("pre"), node=F.col("node")))
+    rows = rows.unionAll(files.rows(refs, 3, file=F.lit("m/models/r.mps"), pre=F.col("pre"), kind=F.lit(1), ref=F.col("ref")))
+    rows = rows.unionAll(files.rows(spark.range(1), 0, file=F.lit("m/m.msd"), text=F.lit(made.solution("m", "mm"))))
+    files.write(rows, str(tmp_path / "out"))
+    repo = Repository(spark, str(tmp_path / "out"))
+    assert repo.errors.count() == 0
+    got = repo.nodes.select("node_id", "pre", "last", "depth", F.col("props")["name"].alias("name")).orderBy("pre").collect()
+    assert [(r.node_id, r.depth, r.name) for r in got] == [(f"k{k}", min(k, deep), f'<&"\n{k}' if k % 3 == 0 else None) for k in range(n)]
+    assert got[0].last - got[0].pre == n - 1
+    assert repo.node_refs.where("target_model_id = 'r:x' and resolve_info = 'said'").count() == len([k for k in range(n) if k % 7 == 1])
+
+
 def test_reports(repo):
     assert {r.language: r.text for r in sinks.languages_as_markdown(repo).collect()} == {
         "core": "## core\n\n### Named\n- property: name\n", "garden": "## garden\n\n### Bed\n- child: plants\n\n### Plant\n- property: height\n- reference: species\n"}
