@@ -243,12 +243,16 @@ def held_out() -> F.Column:
 def learn(docs: DataFrame, sample: int = SAMPLE, samples: int = SAMPLES) -> Model:
     """A model from rows with a lang that aren't held out, at most ``sample`` of each language and ``samples`` in all.
 
-    Languages beyond ``samples`` rows, the rarest, can't be learned.
+    Languages beyond the ``samples`` commonest can't be learned.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.where(F.col("lang").isNotNull() & ~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.where("doc_id is not null").select("doc_id", "lang", F.row_number().over(by_hash).alias("k")).where(F.col("k") <= sample)
+    ids = own.where("doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # Only rows whose hash may be among the lowest of their language go on, some more than are wanted, so that a common language is no task's alone.
+    size = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(samples))  # bounded: samples rows
+    low = F.col("h").cast("double") / 2.0**64 + 0.5 < (2 * sample + 100) / F.col("n")
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = ids.join(size, "lang").where(low).select("doc_id", "lang", F.row_number().over(by_hash).alias("k")).where(F.col("k") <= sample)
     chosen = ids.orderBy("k", "lang", "doc_id").limit(samples).select("doc_id", "lang").collect()  # bounded: samples rows
     if not chosen:
         return train([], [])

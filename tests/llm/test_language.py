@@ -74,6 +74,19 @@ def test_held_out_rows_and_odd_ones(spark):
     assert by_id[1003]["lang_pred"] == "aa"
 
 
+def test_the_sample_is_the_lowest_hashes_of_each_language(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"words {k}", "en" if k % 10 else "fr") for k in range(20_000)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(sorted(zip(langs, texts))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.learn(df, sample=150)
+    hashed = df.where(~language.held_out()).select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
+    want = [(r.lang, r.text) for lang in ("en", "fr") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:150]]
+    assert seen == [sorted(want)]
+
+
 def test_none_learned(spark):
     schema = "doc_id long, text string, lang string"
     empty = spark.createDataFrame([], schema)
