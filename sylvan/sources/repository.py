@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
 from ..operators import graph
@@ -56,12 +56,11 @@ class Item(NamedTuple):
 
 @dataclass
 class Task(InputPartition):
-    """Items of one file system; ``complaints`` and ``unchanged`` files need no reading."""
+    """Items below one path, and what is wrong with the path."""
 
-    filesystem: object
+    top: str
     items: list
     complaints: list
-    unchanged: list
 
 
 def classify(files: list[Listed], start: int = 0, step: int = STEP) -> list[Item]:
@@ -93,18 +92,27 @@ def classify(files: list[Listed], start: int = 0, step: int = STEP) -> list[Item
     return out
 
 
-def _listing(path: str) -> tuple[object, list[Listed], str | None]:
-    """The files below a path with their file system, or what is wrong with the path."""
-    filesystem, root = arrow_fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+def _opened(path: str) -> tuple[object, str]:
+    return arrow_fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _listing(path: str) -> tuple[list[Listed], str | None]:
+    """The files below a path, or what is wrong with the path."""
+    filesystem, root = _opened(path)
     kind = filesystem.get_file_info(root).type
     if kind != arrow_fs.FileType.Directory:
-        return filesystem, [], "no such directory" if kind == arrow_fs.FileType.NotFound else "not a directory"
+        return [], "no such directory" if kind == arrow_fs.FileType.NotFound else "not a directory"
     found = filesystem.get_file_info(arrow_fs.FileSelector(root, recursive=True))
-    return filesystem, [Listed(x.path, x.size, x.mtime_ns or 0) for x in found if x.type == arrow_fs.FileType.File], None
+    return [Listed(x.path, x.size, x.mtime_ns or 0) for x in found if x.type == arrow_fs.FileType.File], None
 
 
 class RepositorySource(DataSource):
-    """Options: ``paths`` (JSON list), ``tables`` (which are wanted, all if unset), ``task_bytes``, ``since`` (an earlier snapshot)."""
+    """Options: ``paths`` (JSON list), ``task_bytes``, and ``listing``: files and unreadable paths alone, nothing is opened.
+
+    Filters of ``table`` and ``file`` (the path of a model file, descriptor or archive) reach the reader: equal to, in, and for files their
+    beginnings and endings.  They decide which files become tasks and which parts of them are parsed.  As Spark has it, filters are pushed into
+    Python data sources only if spark.sql.python.filterPushdown.enabled is set, which ``Repository`` does.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,57 +128,67 @@ class RepositorySource(DataSource):
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
-        self.wanted = set(json.loads(options.get("tables", "null")) or TABLES)
+        self.wanted = set(TABLES)
         self.task_bytes = int(options.get("task_bytes", 64 << 20))
-        self.since = options.get("since")
+        self.listing = options.get("listing") == "true"
+        self.tests: list[tuple[str, tuple]] = []  # of files: a method of str, and values of which one has to hold
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            values = f.value if isinstance(f, In) else (getattr(f, "value", None),)
+            if isinstance(f, EqualTo | In) and f.attribute == ("table",):
+                self.wanted &= set(values)
+            elif isinstance(f, EqualTo | In) and f.attribute == ("file",):
+                self.tests.append(("__eq__", tuple(values)))
+            elif isinstance(f, StringStartsWith | StringEndsWith) and f.attribute == ("file",):
+                self.tests.append(("startswith" if isinstance(f, StringStartsWith) else "endswith", tuple(values)))
+            else:
+                yield f
+
+    def _keeps(self, file: str) -> bool:
+        return all(any(v is not None and getattr(file, how)(v) for v in values) for how, values in self.tests)
 
     def partitions(self) -> list[Task]:
-        known = _fingerprints(self.since) if self.since else {}
         tasks, start = [], 0
         for path in self.paths:
-            filesystem, files, wrong = _listing(path)
-            if wrong:
-                tasks.append(Task(filesystem, [], [(path, "list", wrong)], []))
-            items = classify(files, start)
+            files, wrong = _listing(path)
+            if wrong and "errors" in self.wanted and self._keeps(path):
+                tasks.append(Task(path, [], [(path, "list", wrong)]))
+            items = [i for i in classify(files, start) if self._keeps(i.path)]
             start += (len(files) + 1) * STEP
             if self.wanted <= MODULE_TABLES:
                 items = [i for i in items if i.kind in (SOLUTION, LANGUAGE, ARCHIVE)]
-            same = [i for i in items if known.get(i.path) == i.fingerprint]
-            if same:
-                tasks.append(Task(filesystem, [], [], [(i.path, i.fingerprint) for i in same]))
+            if not self.wanted & (MODULE_TABLES | {"errors", "files"}):
+                items = [i for i in items if i.kind not in (SOLUTION, LANGUAGE)]
+            opens = not self.listing and not self.wanted <= {"files"}
             load, bin_ = 0, []
-            for item in items:
-                if known.get(item.path) == item.fingerprint:
-                    continue
-                if bin_ and load + item.size + OPEN_COST > self.task_bytes:
-                    tasks.append(Task(filesystem, bin_, [], []))
+            for item in items if self.wanted else ():
+                cost = item.size + OPEN_COST if opens else OPEN_COST // 64
+                if bin_ and load + cost > self.task_bytes:
+                    tasks.append(Task(path, bin_, []))
                     load, bin_ = 0, []
                 bin_.append(item)
-                load += item.size + OPEN_COST
+                load += cost
             if bin_:
-                tasks.append(Task(filesystem, bin_, [], []))
-        return tasks or [Task(None, [], [], [])]
+                tasks.append(Task(path, bin_, []))
+        return tasks or [Task("", [], [])]
 
     def read(self, task: Task) -> Iterator[pa.RecordBatch]:
-        schema, rows = _arrow_schema(), []
-        for file, table, row in self._rows(task):
-            if table in self.wanted:
-                rows.append({"table": table, "file": file, table: row})
-                if len(rows) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        yield from _batches((file, table, row) for file, table, row in self._rows(task) if table in self.wanted)
 
     def _rows(self, task: Task) -> Iterator[tuple[str, str, dict]]:
         for path, stage, message in task.complaints:
             yield path, "errors", {"path": path, "stage": stage, "message": message}
-        for path, fingerprint in task.unchanged:
-            yield path, "files", {"path": path, "fingerprint": fingerprint, "fresh": False}
         for item in task.items:
-            yield item.path, "files", {"path": item.path, "fingerprint": item.fingerprint, "fresh": True}
+            yield item.path, "files", {"path": item.path, "fingerprint": item.fingerprint, "fresh": True, "size": item.size, "top": task.top, "item": json.dumps(item)}
+        if not self.listing and not self.wanted <= {"files"}:
+            yield from self.parsed(task)
+
+    def parsed(self, task: Task) -> Iterator[tuple[str, str, dict]]:
+        filesystem = _opened(task.top)[0] if task.items else None
+        for item in task.items:
             try:
-                with task.filesystem.open_input_file(item.path) as f:
+                with filesystem.open_input_file(item.path) as f:
                     if item.kind == ARCHIVE:
                         for table, row in self._archive(f, item):
                             yield item.path, table, row
@@ -219,13 +237,23 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("table", pa.string()), ("file", pa.string()), *structs])
 
 
-def _fingerprints(snapshot: str) -> dict[str, str]:
-    """path to fingerprint of the files behind a snapshot."""
-    from pyarrow import dataset
+def _batches(rows: Iterator[tuple[str, str, dict]]) -> Iterator[pa.RecordBatch]:
+    schema, held = _arrow_schema(), []
+    for file, table, row in rows:
+        held.append({"table": table, "file": file, table: row})
+        if len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
-    filesystem, root = arrow_fs.FileSystem.from_uri(snapshot if "://" in snapshot else os.path.abspath(snapshot))
-    rows = dataset.dataset(f"{root}/table=files", filesystem=filesystem, format="parquet").to_table(columns=["files"]).column("files")
-    return {x["path"]: x["fingerprint"] for x in rows.to_pylist()}
+
+def _parse_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All tables but ``files`` of the listed files (top, item)."""
+    for batch in batches:
+        for top, item in zip(batch.column("top").to_pylist(), batch.column("item").to_pylist()):
+            reader = RepositoryReader({"paths": "[]"})
+            yield from _batches(reader.parsed(Task(top, [Item(*json.loads(item))], [])))
 
 
 class Repository(Questions):
@@ -238,14 +266,15 @@ class Repository(Questions):
     def __init__(self, spark: SparkSession, *paths: str, keep_all: bool = False, raw: DataFrame | None = None):
         self.spark, self.paths, self.keep_all, self._raw = spark, paths, keep_all, raw
         spark.dataSource.register(RepositorySource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
-    def scan(self, tables: list[str] | None = None, since: str | None = None) -> DataFrame:
-        options = {"paths": json.dumps(self.paths)} | ({"tables": json.dumps(tables)} if tables else {}) | ({"since": since} if since else {})
-        return self.spark.read.format(FORMAT).options(**options).load()
+    def scan(self, **options: str) -> DataFrame:
+        """All that is read, a row each; filters of table and file decide what is."""
+        return self.spark.read.format(FORMAT).options(paths=json.dumps(self.paths), **options).load()
 
     def table(self, name: str) -> DataFrame:
         """A table as read, before duplicates go."""
-        raw = self._raw if self._raw is not None else self.scan([name])
+        raw = self._raw if self._raw is not None else self.scan()
         return raw.where(F.col("table") == name).select(f"{name}.*")
 
     # --- snapshots ---
@@ -260,13 +289,25 @@ class Repository(Questions):
         return cls(spark, *paths, keep_all=keep_all, raw=spark.read.schema(SCHEMA).parquet(folder))
 
     def refresh(self, old: str, new: str) -> Repository:
-        """A new snapshot for which only files are parsed that changed since the old one; rows of vanished files go."""
+        """A new snapshot for which only files are parsed that changed since the old one; rows of vanished files go.
+
+        Fingerprints meet in a join, and what changed is dealt to tasks as rows, by size.
+        """
         part = f"{new.rstrip('/')}-parsed"
-        self.scan(since=old).write.partitionBy("table").parquet(part)
+        before = self.spark.read.schema(SCHEMA).parquet(old)
+        known = before.where("table = 'files'").select(F.col("files.path").alias("file"), F.col("files.fingerprint").alias("_before"))
+        listed = self.scan(listing="true").join(known, "file", "left")
+        fresh = F.col("files").withField("fresh", ~F.col("files.fingerprint").eqNullSafe(F.col("_before")))
+        listed = listed.withColumn("files", F.when(F.col("table") == "files", fresh)).drop("_before").select("table", *[c for c in self.scan().columns if c != "table"])
+        listed.write.partitionBy("table").parquet(f"{part}-listed")
+        listed = self.spark.read.schema(SCHEMA).parquet(f"{part}-listed")
+        changed = listed.where("table = 'files' and files.fresh").select("files.top", "files.item", "files.size")
+        bytes_ = changed.agg(F.sum(F.col("size") + OPEN_COST)).first()[0] or 0
+        parsed = changed.repartition(1 + int(bytes_ // (64 << 20)), "item").select("top", "item").mapInArrow(_parse_listed, SCHEMA)
+        listed.unionByName(parsed).write.partitionBy("table").parquet(part)
         parsed = self.spark.read.schema(SCHEMA).parquet(part)
-        same = parsed.where("table = 'files' and not files.fresh").select(F.col("files.path").alias("file"))
-        before = self.spark.read.schema(SCHEMA).parquet(old).where("table <> 'files'").join(same, "file", "left_semi")
-        before.unionByName(parsed).write.partitionBy("table").parquet(new)
+        same = listed.where("table = 'files' and not files.fresh").select("file")
+        before.where("table <> 'files'").join(same, "file", "left_semi").unionByName(parsed).write.partitionBy("table").parquet(new)
         return self.of_snapshot(self.spark, new, *self.paths, keep_all=self.keep_all)
 
     # --- tables ---
@@ -367,7 +408,7 @@ class Repository(Questions):
 
     def listed(self) -> DataFrame:
         """path of every descriptor and model file below the repository's directories, whether it is read or not; the driver lists, as for a scan."""
-        found = [(f.path,) for path in self.paths for f in _listing(path)[1] if f.path.endswith((SOLUTION, SINGLE, HEADER))]
+        found = [(f.path,) for path in self.paths for f in _listing(path)[0] if f.path.endswith((SOLUTION, SINGLE, HEADER))]
         return self.spark.createDataFrame(found, "path string")
 
     def modified(self, changed: DataFrame, top: str) -> DataFrame:

@@ -12,7 +12,7 @@ TABLES = {
     "node_refs": "model_id string, source string, path string, node_id string, pre long, role string, ord int, target_model_id string, target_node_id string, resolve_info string",
     "registry": "model_id string, source string, path string, language_id string, language_name string, concept_id string, concept_name string, flags string, concept_index string, kind string, member_id string, member_name string, member_index string, ord int",
     "errors": "path string, stage string, message string",
-    "files": "path string, fingerprint string, fresh boolean",
+    "files": "path string, fingerprint string, fresh boolean, size long, top string, item string",
 }
 
 #: What a scan of modules alone, or of models without their nodes, has to read.

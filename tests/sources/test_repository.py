@@ -129,3 +129,41 @@ def test_changed_files(spark):
     for bad in ({}, {"files": ["a"], "branch": "b"}):
         with pytest.raises(ValueError):
             changed_files(spark, **bad)
+
+
+def test_refresh_of_changed_vanished_moved_and_unchanged_files(spark, tmp_path):
+    top = tmp_path / "r"
+    made.garden(top)
+    repo = Repository(spark, str(top))
+    repo.snapshot(str(tmp_path / "s1"))
+    files = sorted(p for p in top.rglob("*") if p.suffix in (".mps", ".mpsr"))
+    assert len(files) > 2
+    moved = files[0].with_name("moved" + files[0].suffix)
+    files[0].rename(moved)
+    files[1].unlink()
+    (tmp_path / "r" / "one" / "notes.txt").parent.mkdir(exist_ok=True)
+    again = Repository(spark, str(top), str(tmp_path / "nowhere"))
+    kept = again.refresh(str(tmp_path / "s1"), str(tmp_path / "s2"))
+    whole = Repository(spark, str(top), str(tmp_path / "nowhere")).snapshot(str(tmp_path / "s3"))
+    for name in ("modules", "models", "nodes", "node_refs", "registry", "errors"):
+        assert sorted(map(str, getattr(kept, name).drop("scan_ord").collect())) == sorted(map(str, getattr(whole, name).drop("scan_ord").collect())), name
+    fresh = {r.path for r in kept.table("files").where("fresh").collect()}
+    assert str(moved) in fresh and str(files[1]) not in {r.path for r in kept.table("files").collect()}
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """Fewer files become tasks and are opened: a broken file that no filter lets through is never read."""
+    files = {"a/a.msd": made.solution("a", "ma")} | {f"a/models/m{k}.mps": made.single(f"r:{k}(m{k})", f'<node concept="c" id="{k}" />') for k in range(6)}
+    made.write(tmp_path, files | {"a/models/broken.mps": "<model", "b/b.msd": made.solution("b", "mb")})
+    repo = Repository(spark, str(tmp_path))
+    assert repo.errors.count() == 1
+    scan = lambda where: repo.scan(task_bytes="1").where(where)
+    parts = lambda where: scan(where).rdd.getNumPartitions()
+    assert parts("table is not null") == 9
+    assert parts("table = 'modules'") == 2 and parts("table in ('modules', 'module_deps')") == 2
+    one = f"{tmp_path}/a/models/m3.mps"
+    assert parts(f"file = '{one}'") == 1 and parts(f"table = 'nodes' and startswith(file, '{tmp_path}/a/models/m')") == 6 and parts("table = 'nodes'") == 7 and parts("file like '%.msd'") == 2
+    assert [r.nodes.node_id for r in scan(f"table = 'nodes' and file = '{one}'").collect()] == ["3"]
+    assert scan(f"file = '{one}' and table = 'errors'").count() == 0
+    assert scan("table = 'nodes' and nodes.node_id = '4'").count() == 1
+    assert sorted(r.file.rpartition("/")[2] for r in scan(f"table = 'models' and file in ('{one}', '{tmp_path}/a/models/m1.mps')").collect()) == ["m1.mps", "m3.mps"]
