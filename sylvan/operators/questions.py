@@ -3,7 +3,7 @@
 A class that mixes this in has DataFrames ``modules`` (module_id, name, kind, path, scan_ord), ``models`` (model_id, name, module_id, path,
 scan_ord), ``nodes`` (model_id, node_id, parent_id, root_id, concept, role, ord, depth, props) and ``node_refs`` (model_id, node_id, role,
 ord, target_model_id, target_node_id), and may have ``languages``, ``concepts``, ``aspect_models``, ``module_deps`` and ``model_imports``.  Every question is a filter or a join
-that reaches the scan; nothing is collected, but for the two names that make a short name ambiguous.
+that reaches the scan; nothing is collected.
 """
 
 from __future__ import annotations
@@ -75,12 +75,11 @@ class Questions:
         return self.nodes.where(F.col("concept") == concept)
 
     def nodes_of_short_concept(self, short: str) -> DataFrame:
-        """By the last part of the name; an error where concepts of several full names have it."""
+        """By the last part of the name; where concepts of several full names have it, running the plan is an error that names two of them."""
         own = self.nodes.where(ids.short_name(F.col("concept")) == short)
-        names = sorted(r["concept"] for r in own.select("concept").distinct().limit(2).collect())
-        if len(names) > 1:
-            raise ValueError(f"several concepts are called {short}: {', '.join(names)}, ...")
-        return own
+        several = F.concat(F.lit(f"several concepts are called {short}: "), F.min("concept"), F.lit(", "), F.max("concept"))
+        guard = own.agg(F.when(F.min("concept") != F.max("concept"), F.raise_error(several).cast("boolean")).otherwise(F.lit(True))).scalar()
+        return own.where(guard)
 
     def nodes_with_property(self, name: str, value: str | None = None) -> DataFrame:
         """Nodes that have the property, with any value or with this one."""

@@ -38,7 +38,21 @@ def intervals(nodes: DataFrame, levels: int) -> DataFrame:
     return numbered.withColumn("pre", whole - F.col("_k") + 1).withColumn("last", F.col("pre") + F.col("_k") - after - 1).drop("_k")
 
 
+def within(nodes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes (pre) joined with spans (low, high) of the same keys: low < pre <= high.
+
+    A span of up to 2**k places meets at most three bins of 2**(k - 1); nodes are dealt to the bin of each size that occurs (63 at most), and an
+    equality of keys, size and bin is all that the join needs, so that a root of any number of nodes is spread over tasks.
+    """
+    sized = spans.where("high > low").withColumn("_size", F.floor(F.log2(F.col("high") - F.col("low"))).cast("int"))
+    sizes = sized.agg(F.coalesce(F.collect_set("_size"), F.array().cast("array<int>"))).scalar()  # 63 numbers at most
+    sized = sized.withColumn("_bin", F.explode(F.expr("sequence(shiftright(low + 1, _size), shiftright(high, _size))")))
+    dealt = nodes.withColumn("_size", F.explode(sizes)).withColumn("_bin", F.expr("shiftright(pre, _size)"))
+    return dealt.join(sized, [*keys, "_size", "_bin"]).where("pre > low and pre <= high").drop("_size", "_bin")
+
+
 def descendants(numbered: DataFrame) -> DataFrame:
-    """ancestor_id, node_id by interval containment, root by root."""
-    a = numbered.where("last > pre").select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").alias("low"), F.col("last").alias("high"))
-    return numbered.join(a, ["model_id", "root_id"]).where("pre > low and pre <= high").select("model_id", "ancestor_id", "node_id")
+    """ancestor_id, node_id by interval containment."""
+    a = numbered.select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
+    nodes = numbered.select("model_id", "root_id", "node_id", F.col("pre").cast("long").alias("pre"))
+    return within(nodes, a, ["model_id", "root_id"]).select("model_id", "ancestor_id", "node_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids
-from .operators import edits, graph, tree
+from .operators import checks, edits, graph, tree
 from .operators.questions import Questions
 from .plans.forest import SQL, Forest
 from .sources import files, sinks
@@ -81,10 +81,14 @@ def model_by_id(f):
     return f.model_by_id("N7").select("model_id", "name", "module_id", "scan_ord")
 
 
-@query("SELECT model_id, module_id FROM models WHERE name = (SELECT n_name FROM nation WHERE n_nationkey = 11)")
+@query("SELECT model_id, module_id FROM models WHERE name = 'NATION_11'")
 def models_by_name(f):
-    name = f.model_by_id("N11").select("name")
-    return f.models.join(F.broadcast(name), "name", "left_semi").select("model_id", "module_id")  # one name
+    return f.models_by_name("NATION_11").select("model_id", "module_id")
+
+
+@query("SELECT model_id, module_id FROM models WHERE name = 'NATION_11' AND module_id = 'M1'")
+def models_by_name_in_module(f):
+    return f.models_by_name("NATION_11", "M1").select("model_id", "module_id")
 
 
 @query("SELECT model_id, name FROM models WHERE module_id = 'M2'")
@@ -97,10 +101,9 @@ def module_first_match(f):
     return f.module_by_name("ASIA", "solution").select("module_id", "name", "scan_ord")
 
 
-@query("SELECT model_id, name FROM models WHERE model_id = 'N3'")
+@query("SELECT model_id, name FROM models WHERE 'src/' || module_id || '/models/' || model_id || '.mps' = 'src/M3/models/N3.mps'")
 def model_by_path(f):
-    path = f.model_by_id("N3").select("path")
-    return f.models.join(F.broadcast(path), "path", "left_semi").select("model_id", "name")  # one path
+    return f.by_path("model", "src/M3/models/N3.mps").select("model_id", "name")
 
 
 @query("SELECT node_id, name FROM nodes WHERE model_id = 'N3' AND node_id = 'P3'")
@@ -244,10 +247,10 @@ def properties_added(f):
     return props.select("node_id", F.col("props")["name"].alias("name"), F.col("props")["brand"].alias("brand"), F.try_element_at("props", F.lit("size")).alias("size"))
 
 
-@query("SELECT node_id, 'child' AS link, parent_id AS source FROM nodes WHERE role = 'lines' UNION ALL SELECT target_node_id, 'ref', node_id FROM refs WHERE role = 'part'")
+@query("SELECT parent_id AS node_id, role AS link, 'child' AS kind, model_id AS target_model_id, node_id AS target_node_id FROM nodes WHERE role = 'lines' UNION ALL SELECT r.node_id, r.role, 'reference', t.model_id, r.target_node_id FROM refs r LEFT JOIN targets t ON r.target_node_id = t.node_id")
 def linked_nodes_union(f):
-    kids = f.line_nodes.select("node_id", F.lit("child").alias("link"), F.col("parent_id").alias("source"))
-    return kids.unionByName(f.refs.where("role = 'part'").select(F.col("target_node_id").alias("node_id"), F.lit("ref").alias("link"), F.col("node_id").alias("source")))
+    """All that orders and lines are linked with: lines by containment, parts and suppliers by reference."""
+    return f.linked(f.orders.unionAll(f.line_nodes)).select("node_id", "link", "kind", "target_model_id", "target_node_id")
 
 
 @query(""", up(x, y) AS (SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey >= 4 UNION ALL SELECT up.x, p_partkey // 4 FROM up JOIN part ON up.y = p_partkey WHERE p_partkey >= 4)
@@ -291,10 +294,27 @@ def model_verification(f):
     return per.groupBy("model_id").agg(F.bool_and(F.col("node_id").isNotNull()).alias("ids"), F.bool_and("concepts").alias("concepts"), F.sum("unnamed").alias("unnamed"), F.bool_or(F.col("k") > 1).alias("ambiguous"))
 
 
-@query("SELECT count(*) FILTER (WHERE n = 0) AS failed, count(*) AS total FROM (SELECT m.model_id, count(node_id) AS n FROM models m LEFT JOIN nodes USING (model_id) GROUP BY 1)")
+#: Models are called by the first of their suppliers here, so that those without any have no name; nodes' names stand for their concepts.
+_CHECKED = """, called AS (SELECT m.model_id, min(s_name) AS name FROM models m LEFT JOIN supplier ON m.model_id = 'N' || s_nationkey GROUP BY 1),
+odd AS (SELECT model_id, count(*) FILTER (WHERE coalesce(name, '') = '') = 0 AS concepts FROM nodes WHERE depth = 0 GROUP BY 1),
+checked AS (SELECT model_id, name, name IS NOT NULL AS name_set, coalesce(concepts, true) AS concepts_set FROM called LEFT JOIN odd USING (model_id))
+"""
+
+
+def _verified(f):
+    first = f.table("supplier").groupBy(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("model_id")).agg(F.min("s_name").alias("name"))
+    models = f.models.select("model_id").join(first, "model_id", "left")
+    return checks.verify(models, f.nodes.withColumn("concept", F.col("name")), f.node_refs)
+
+
+@query(_CHECKED + "SELECT model_id, name, name_set, concepts_set, concat_ws(',', CASE WHEN NOT name_set THEN 'name_set' END, CASE WHEN NOT concepts_set THEN 'concepts_set' END) AS bad FROM checked")
+def model_checks(f):
+    return _verified(f).select("model_id", "name", "name_set", "concepts_set", F.array_join("bad", ",").alias("bad"))
+
+
+@query(_CHECKED + "SELECT n AS failed, total, CASE n WHEN 0 THEN 'All ' || total || ' models passed verification' ELSE n || ' models failed verification' END AS said FROM (SELECT count(*) FILTER (WHERE NOT (name_set AND concepts_set)) AS n, count(*) AS total FROM checked)")
 def verification_verdict(f):
-    per = f.models.join(f.nodes.select("model_id").distinct().withColumn("hit", F.lit(True)), "model_id", "left")
-    return per.agg(F.count_if(F.col("hit").isNull()).alias("failed"), F.count("*").alias("total"))
+    return checks.verdict(_verified(f))
 
 
 @query("SELECT DISTINCT concept, 'child' AS kind, role AS member FROM nodes WHERE role IS NOT NULL UNION SELECT DISTINCT 'Line', 'reference', role FROM refs")

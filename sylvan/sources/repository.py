@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
-from ..operators import graph
+from ..operators import graph, tree
 from ..operators.questions import Questions
 from . import binary_models, xml_models
 from .rows import MODULE_TABLES, SCHEMA, TABLES
@@ -430,7 +430,7 @@ class Repository(Questions):
     def descendants(self, of: DataFrame) -> DataFrame:
         """Nodes below the given ones, which are rows of ``nodes``."""
         a = of.select("source", "path", F.col("node_id").alias("ancestor_id"), F.col("pre").alias("low"), F.col("last").alias("high"))
-        return self.nodes.join(a, ["source", "path"]).where("pre > low and pre <= high").drop("low", "high")
+        return tree.within(self.nodes, a, ["source", "path"]).drop("low", "high")
 
 
 def union(repositories: list[Repository], name: str) -> DataFrame:
