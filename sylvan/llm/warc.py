@@ -82,6 +82,8 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 # --- archives -----------------------------------------------------------------------------------------------------------------------
 
+#: Pages of one payload beyond which they are no longer brought together.
+HOT = 10_000
 _CAPTURE = "key string, page_id long, kind string, uri string, offset long, length long"
 
 
@@ -109,18 +111,34 @@ def _archive(folder: str):
     return run
 
 
-def write(spark: SparkSession, pages: DataFrame, scratch: common.Scratch) -> DataFrame:
+def _revisits(slim: DataFrame, first: DataFrame, hot: int) -> DataFrame:
+    """page_id, digest, refers_to of the copies of each payload's first page.
+
+    Payloads of more than ``hot`` pages are no task's alone: they are few (a ``hot``-th of the pages at most) and go to the pages, behind a count; the
+    pages that they settle are spread by their own ids in the join with the rest.
+    """
+    many = first.where(F.col("n") > hot).select("digest", F.col("refers_to").alias("_hot"))
+    if many.count() > common.BROADCAST_IDS:
+        return slim.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    few = first.where(F.col("n") <= hot).select(F.col("digest").alias("_key"), F.col("refers_to").alias("_few"))
+    own = slim.where("page_id is not null").join(F.broadcast(many), "digest", "left")
+    own = own.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("settled "), F.col("page_id").cast("string"))))
+    own = own.join(few, "_key", "left").select("page_id", "digest", F.coalesce("_hot", "_few").alias("refers_to"))
+    return own.where("page_id > refers_to").distinct()
+
+
+def write(spark: SparkSession, pages: DataFrame, scratch: common.Scratch, hot: int = HOT) -> DataFrame:
     """Write archives and index below the scratch folder; returns the index manifest (part, uri, first key, captures)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     raw = F.encode("html", "UTF-8")
     slim = pages.select("page_id", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("size")).where(F.col("size") >= REVISIT_BYTES)
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    revisit = slim.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = scratch.table(slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "first")
+    revisit = _revisits(slim, first, hot)
     rows = pages.withColumn("digest", F.sha2(raw, 256)).join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     captures = scratch.table(common.map_frames(rows, _archive(scratch.path("warc")), _CAPTURE), "captures")
     ordered = captures.repartitionByRange(common.partitions(spark), "key").sortWithinPartitions("key")
     manifest = scratch.table(common.map_frames(ordered, _index(scratch.path("index")), "part int, uri string, first string, captures long"), "manifest")
-    scratch.drop("captures")
+    scratch.drop("captures", "first")
     return manifest
 
 

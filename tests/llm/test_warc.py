@@ -38,6 +38,8 @@ def test_archives_round_trip(spark, monkeypatch):
         want.append((page, len(raw), sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    hot = warc.write(spark, pages, common.Scratch(spark, "t"), hot=5)  # one payload has more copies than that
+    assert sorted(map(str, warc.read_records(spark, warc.look_up(spark, pages, hot)).collect())) == sorted(map(str, got))
     one = spark.createDataFrame([("http://one.url/", 103), ("http://missing/", 1)], "url string, page_id long")
     assert [r.kind for r in warc.look_up(spark, one, manifest).collect()] == ["revisit"]
 
