@@ -36,8 +36,9 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 40
 #: Digits of a telephone number or a card.
 DIGITS = (7, 19)
-#: Tokens before and after a segment that its features look at.
-BEFORE, AFTER = 4, 8
+#: Tokens before and after a segment that its features look at, and before it those among which a hint is sought.
+BEFORE, AFTER = 10, 8
+HINTED = 4
 #: What each entity costs on the best path: spans are added where they are likely, not just likelier than none.
 LEAST = 1.0
 
@@ -50,6 +51,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+#: What looks like a telephone number or an address, but is a day or a hardware address.
+_DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-/. ]?(?:0[1-9]|1[0-2])[-/. ]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)[0-9]{2})(?![0-9])")
+_HARDWARE = re.compile(r"[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -116,12 +122,20 @@ def features(tokens: list[str], i: int, j: int, text: str) -> list[str]:
         out.append("dialled")
     if re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})", text) or re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f:]*", text):
         out.append("sixteenths")
+    if _DATE.search(text):
+        out.append("dated")
+    if _HARDWARE.fullmatch("".join(tokens[max(0, i - BEFORE) : i]).rpartition(" ")[2] + text + "".join(tokens[j : j + AFTER]).partition(" ")[0]):
+        out.append("hardware")
+    if digits[:3] in ("978", "979") and len(digits) == 13 and len(groups) in (4, 5):
+        out.append("book")
+    if i > 1 and tokens[i - 1] == ":" and tokens[i - 2].isdecimal() or j + 1 < len(tokens) and tokens[j] == ":" and tokens[j + 1].isdecimal():
+        out.append("timed")
     if _AT.search(text) and _SPELLED.fullmatch(text):
         if i and tokens[i - 1] in "._+-" or _MORE.match("".join(tokens[j : j + AFTER])):
             out.append("part")  # of a longer address
         else:
             out.append("spelled")
-    before = next((t for t in reversed(tokens[max(0, i - BEFORE) : i]) if t.isalpha()), "").lower()
+    before = next((t for t in reversed(tokens[max(0, i - HINTED) : i]) if t.isalpha()), "").lower()
     if before in _HINTS:
         out.append(f"hint={_HINTS[before]}")
     if i and (tokens[i - 1].isalnum() or tokens[i - 1] in "-.@:/+$€#") or j < len(tokens) and (tokens[j].isalnum() or tokens[j] in "@:/%"):
@@ -265,6 +279,8 @@ def _form(r: random.Random) -> tuple[str, str | None]:
     wrong = card[:-1] + str((int(card[-1]) + r.randint(1, 9)) % 10)
     quads = lambda c, s: s.join(c[k : k + 4] for k in range(0, 16, 4))
     at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", ".")])
+    day = lambda s: f"{r.randint(1950, 2030)}{s}{r.randint(1, 12):02d}{s}{r.randint(1, 28):02d}"
+    clock = f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}" + r.choice(["", f":{r.randint(0, 59):02d}"])
     forms = [
         (f"({d(3)}) {d(3)}-{d(4)}", "phone"), (f"{d(3)}-{d(3)}-{d(4)}", "phone"), (f"0{d(2)} {d(3)} {d(4)}", "phone"), (f"00{d(2)} {d(2)} {d(7)}", "phone"), (f"{d(3)}.{d(3)}.{d(4)}", "phone"),
         (quads(card, "."), "card"), (quads(card, "/"), "card"), (f"{_word(r)}{at}{_word(r)}{dot}com", "email"), (f"{_word(r)}.{_word(r)}{at}{_word(r)}{dot}org", "email"),
@@ -272,12 +288,15 @@ def _form(r: random.Random) -> tuple[str, str | None]:
         (":".join(format(r.randrange(65536), "x") for _ in range(8)), "ip"), (f"2001:db8::{r.randrange(1, 999):x}", "ip"), (f"fe80::{r.randrange(4096, 9999)}:{r.randrange(99)}", "ip"),
         (quads(wrong, "."), None), (wrong, None), (quads(wrong, " "), None), (d(r.randint(1, 12)), None), (f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", None), (f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", None),
         (f"{d(2)}.{d(2)}", None), (f"{r.randint(10, 23)}:{d(2)}:{d(2)}", None), (f"${d(3)},{d(3)}", None), (f"{d(3)} {_word(r)} {d(2)}", None), (f"{_word(r)}@{_word(r)}", None), (f"{d(1)} {d(2)} {d(3)}", None), (f"{_word(r)}{d(5)}", None), (f"{d(4)}-{d(4)}", None), (f"{d(2)}%", None), (f"{d(10)}:{d(8)}", None),
+        (f"1-{r.choice('2345678')}{d(2)}-{d(3)}-{d(4)}", "phone"), (f"{day('-')} {clock}", None), (f"{day('-')}T{clock}", None), (f"{day('/')} {clock}", None), (f"{day(' ')} {d(6)}", None), (f"{day('')[:4]} {day('')[4:]} {d(6)}", None), (f"{day('')} {d(4)}", None),
+        (f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1950, 2030)} {clock}", None), (f"{day('-')} {r.randint(10, 23)}", None), (":".join(f"{r.randrange(256):02x}" for _ in range(6)), None), ("-".join(f"{r.randrange(256):02x}" for _ in range(6)), None),
+        (f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", None), (f"979-{d(2)}-{d(5)}-{d(2)}-{d(1)}", None), (f"{r.randint(1900, 1999)}-{r.randint(2000, 2030)}", None),
     ]
     return r.choice(forms)
 
 
 @lru_cache(maxsize=1)
-def train(seed: int = 5, sentences: int = 500, epochs: int = 6) -> dict[str, np.ndarray]:
+def train(seed: int = 5, sentences: int = 800, epochs: int = 6) -> dict[str, np.ndarray]:
     """Weights by feature: one number a kind."""
     r, data = random.Random(seed), []
     for _ in range(sentences):

@@ -115,6 +115,23 @@ def test_long_forms_are_found_whole(kind, form):
         assert finder.spans(left + form + right)[1] == [(kind, len(left), len(left) + len(form))]
 
 
+#: Texts of other templates than the training's, with what they hold.
+OTHERS = [
+    ("on 2023-10-11 12:30:45 it ran", []), ("GET 2023 1011 123045", []), ("mac 12:34:56:78:9a:bc up", []), ("mac 12-34-56-78-9a-bc up", []), ("ISBN 978-3-16-148410-0 is", []), ("on 11.10.2023 12:30 it", []),
+    ("log 2023-10-11T12:30:45.123 x", []), ("from 1999-2004 on", []), ("at 20231011 1230 z", []), ("2024/05/06 07:08 done", []), ("created 2019-12-31 23", []), ("id 1234567890:12345678", []), ("[2021-03-04 05:06:07] GET /a 200", []),
+    ("call 1-800-555-0199 now", [("phone", "1-800-555-0199")]), ("dial 555-123-4567 now", [("phone", "555-123-4567")]), ("call (030) 123-4567.", [("phone", "(030) 123-4567")]), ("addr 2001:db8::1f x", [("ip", "2001:db8::1f")]),
+    ("card 4111.1111.1111.1111 ok", [("card", "4111.1111.1111.1111")]), ("reach anna.b [at] mail [dot] org today", [("email", "anna.b [at] mail [dot] org")]), ("2020-01-02 03:04 call 555-987-6543", [("phone", "555-987-6543")]),
+]
+
+
+def test_precision_and_recall_on_other_templates():
+    finder = pii.Finder(pii.train())
+    got = [{(k, text[a:b]) for k, a, b in finder.spans(text)[1]} for text, _ in OTHERS]
+    right = sum(len(g & set(want)) for g, (_, want) in zip(got, OTHERS))
+    assert right / sum(map(len, got)) >= 0.9 and right / sum(len(want) for _, want in OTHERS) >= 0.9
+    assert all(not g for g, (_, want) in zip(got, OTHERS) if not want)  # days, clocks, hardware and books are nobody's
+
+
 def test_tables_and_masks(spark):
     docs = odd.docs(spark)
     rows = {r.doc_id: r for r in pii.find(docs).collect()}
