@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Rounds
+
 
 def children(nodes: DataFrame, role: str | None = None) -> DataFrame:
     """parent_id, node_id of child nodes, of one role or all."""
@@ -52,7 +54,8 @@ def within(nodes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def descendants(numbered: DataFrame) -> DataFrame:
-    """ancestor_id, node_id by interval containment."""
+    """ancestor_id, node_id by interval containment.  The numbers are written once, as both sides and the sizes of spans are taken from them."""
+    numbered = Rounds(numbered.sparkSession, "tree").keep(numbered.select("model_id", "root_id", "node_id", "pre", "last"))
     a = numbered.select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
     nodes = numbered.select("model_id", "root_id", "node_id", F.col("pre").cast("long").alias("pre"))
     return within(nodes, a, ["model_id", "root_id"]).select("model_id", "ancestor_id", "node_id")
