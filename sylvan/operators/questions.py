@@ -22,7 +22,7 @@ class Questions:
     def module_by_name(self, name: str, kind: str | None = None) -> DataFrame:
         """The first found of that name (of modules, or of one kind: solution, language); no row if there is none."""
         own = self.modules.where(F.col("name") == name)
-        return (own if kind is None else own.where(F.col("kind") == kind)).orderBy("scan_ord").limit(1)
+        return (own if kind is None else own.where(F.col("kind") == kind)).orderBy("scan_ord", F.col("path").startswith("jar:"), "path").limit(1)
 
     def module_by_id(self, module_id: str) -> DataFrame:
         return self.modules.where(F.col("module_id") == module_id)
@@ -33,7 +33,7 @@ class Questions:
         return own if module_id is None else own.where(F.col("module_id") == module_id)
 
     def model_by_name(self, name: str, module_id: str | None = None) -> DataFrame:
-        return self.models_by_name(name, module_id).orderBy("scan_ord").limit(1)
+        return self.models_by_name(name, module_id).orderBy("scan_ord", F.col("path").startswith("jar:"), "path").limit(1)
 
     def model_by_id(self, model_id: str) -> DataFrame:
         return self.models.where(F.col("model_id") == model_id)

@@ -1,7 +1,8 @@
 """Repositories on disk: directories of descriptors, models and archives, as the canonical tables.
 
-The reader lists directories itself, since names that begin with a dot or an underscore count here, deals files to tasks by size and
-parses every file once.  Anything that can't be read becomes a row of ``errors``; other files are not affected.
+Names that begin with a dot or an underscore count here, so Spark's own listing won't do.  A scan lists on the driver and takes filters; a
+snapshot or its refresh lists by tasks.  Both deal files to tasks by size and parse every file once.  The first found is the one of the first
+path, files before entries of archives, in the order of their paths.  Anything that can't be read becomes a row of ``errors``; other files are not affected.
 """
 
 from __future__ import annotations
@@ -9,15 +10,12 @@ from __future__ import annotations
 import io
 import json
 import os
-import posixpath
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
@@ -26,32 +24,14 @@ from pyspark.sql.types import StructType
 from ..operators import graph, tree
 from ..operators.questions import Questions
 from . import binary_models, xml_models
-from .rows import MODULE_TABLES, SCHEMA, TABLES
+from .listing import ARCHIVE, BINARY, HEADER, ITEM, LANGUAGE, ROOT, SINGLE, SOLUTION, Item, classify, divided, entries, found_files, items, listing, opened
+from .rows import MODULE_TABLES, SCHEMA, TABLES, struct
 
 FORMAT = "model_repository"
-#: The endings of the files.
-SOLUTION, LANGUAGE, SINGLE, BINARY, HEADER, ROOT, ARCHIVE = ".msd", ".mpl", ".mps", ".mpb", ".model", ".mpsr", ".jar"
 BATCH_ROWS = 4096
 OPEN_COST = 256 << 10
-#: Places of files in a scan are this far apart; entries of an archive lie between.
-STEP = 1 << 24
-
-
-class Listed(NamedTuple):
-    path: str
-    size: int
-    modified: int
-
-
-class Item(NamedTuple):
-    kind: str
-    path: str
-    size: int
-    scan_ord: int
-    dir: str | None
-    source: str | None
-    lead: bool
-    fingerprint: str
+#: Bytes that a task parses, and that an archive's part has unpacked.
+SHARE = 64 << 20
 
 
 @dataclass
@@ -63,51 +43,8 @@ class Task(InputPartition):
     complaints: list
 
 
-def classify(files: list[Listed], start: int = 0, step: int = STEP) -> list[Item]:
-    """What each listed file is.  Models count below ``models/`` of the nearest directory above that has a descriptor."""
-    homes = {posixpath.dirname(f.path) for f in files if f.path.endswith((SOLUTION, LANGUAGE))}
-    headers = {posixpath.dirname(f.path) for f in files if posixpath.basename(f.path) == HEADER}
-    led, out = set(), []
-    for k, f in enumerate(sorted(files)):
-        folder, ending = posixpath.dirname(f.path), posixpath.splitext("x" + posixpath.basename(f.path))[1]
-        home = source = None
-        lead = True
-        if ending in (SINGLE, BINARY, HEADER, ROOT):
-            home = folder
-            while home and home not in homes and home != posixpath.dirname(home):
-                home = posixpath.dirname(home)
-            inner = f.path[len(home) :].lstrip("/")
-            if home not in homes or not inner.startswith("models/"):
-                continue
-            source = folder if ending in (HEADER, ROOT) else f.path
-            if ending == ROOT:  # the header speaks for a directory, or else its first root
-                lead = folder not in headers and folder not in led
-                led.add(folder)
-        elif ending in (SOLUTION, LANGUAGE):
-            home = folder
-        elif ending != ARCHIVE:
-            continue
-        at = start + k * step
-        out.append(Item(ending, f.path, f.size, at, home, source, lead, f"{f.modified}:{f.size}:{at}:{home}:{source}:{lead}"))
-    return out
-
-
-def _opened(path: str) -> tuple[object, str]:
-    return arrow_fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-
-
-def _listing(path: str) -> tuple[list[Listed], str | None]:
-    """The files below a path, or what is wrong with the path."""
-    filesystem, root = _opened(path)
-    kind = filesystem.get_file_info(root).type
-    if kind != arrow_fs.FileType.Directory:
-        return [], "no such directory" if kind == arrow_fs.FileType.NotFound else "not a directory"
-    found = filesystem.get_file_info(arrow_fs.FileSelector(root, recursive=True))
-    return [Listed(x.path, x.size, x.mtime_ns or 0) for x in found if x.type == arrow_fs.FileType.File], None
-
-
 class RepositorySource(DataSource):
-    """Options: ``paths`` (JSON list), ``task_bytes``, and ``listing``: files and unreadable paths alone, nothing is opened.
+    """Options: ``paths`` (JSON list) and ``task_bytes``, the share of a task; archives larger than it are dealt by their entries.
 
     Filters of ``table`` and ``file`` (the path of a model file, descriptor or archive) reach the reader: equal to, in, and for files their
     beginnings and endings.  They decide which files become tasks and which parts of them are parsed.  As Spark has it, filters are pushed into
@@ -129,8 +66,7 @@ class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
         self.wanted = set(TABLES)
-        self.task_bytes = int(options.get("task_bytes", 64 << 20))
-        self.listing = options.get("listing") == "true"
+        self.task_bytes = int(options.get("task_bytes", SHARE))
         self.tests: list[tuple[str, tuple]] = []  # of files: a method of str, and values of which one has to hold
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -149,20 +85,21 @@ class RepositoryReader(DataSourceReader):
         return all(any(v is not None and getattr(file, how)(v) for v in values) for how, values in self.tests)
 
     def partitions(self) -> list[Task]:
-        tasks, start = [], 0
-        for path in self.paths:
-            files, wrong = _listing(path)
+        tasks = []
+        for nth, path in enumerate(self.paths):
+            files, wrong = listing(path)
             if wrong and "errors" in self.wanted and self._keeps(path):
                 tasks.append(Task(path, [], [(path, "list", wrong)]))
-            items = [i for i in classify(files, start) if self._keeps(i.path)]
-            start += (len(files) + 1) * STEP
+            kept = [i for i in classify(files, nth) if self._keeps(i.path)]
             if self.wanted <= MODULE_TABLES:
-                items = [i for i in items if i.kind in (SOLUTION, LANGUAGE, ARCHIVE)]
+                kept = [i for i in kept if i.kind in (SOLUTION, LANGUAGE, ARCHIVE)]
             if not self.wanted & (MODULE_TABLES | {"errors", "files"}):
-                items = [i for i in items if i.kind not in (SOLUTION, LANGUAGE)]
-            opens = not self.listing and not self.wanted <= {"files"}
+                kept = [i for i in kept if i.kind not in (SOLUTION, LANGUAGE)]
+            opens = not self.wanted <= {"files"}
+            if opens:  # archives larger than a task's share are dealt by their entries
+                kept = [run for i in kept for run in (divided(path, i, self.task_bytes) if i.kind == ARCHIVE and i.size > self.task_bytes else [i])]
             load, bin_ = 0, []
-            for item in items if self.wanted else ():
+            for item in kept if self.wanted else ():
                 cost = item.size + OPEN_COST if opens else OPEN_COST // 64
                 if bin_ and load + cost > self.task_bytes:
                     tasks.append(Task(path, bin_, []))
@@ -180,12 +117,13 @@ class RepositoryReader(DataSourceReader):
         for path, stage, message in task.complaints:
             yield path, "errors", {"path": path, "stage": stage, "message": message}
         for item in task.items:
-            yield item.path, "files", {"path": item.path, "fingerprint": item.fingerprint, "fresh": True, "size": item.size, "top": task.top, "item": json.dumps(item)}
-        if not self.listing and not self.wanted <= {"files"}:
+            if not item.first:
+                yield item.path, "files", {"path": item.path, "fingerprint": item.fingerprint, "fresh": True, "size": item.size, "top": task.top, "item": json.dumps(item._asdict())}
+        if not self.wanted <= {"files"}:
             yield from self.parsed(task)
 
     def parsed(self, task: Task) -> Iterator[tuple[str, str, dict]]:
-        filesystem = _opened(task.top)[0] if task.items else None
+        filesystem = opened(task.top)[0] if task.items else None
         for item in task.items:
             try:
                 with filesystem.open_input_file(item.path) as f:
@@ -199,13 +137,11 @@ class RepositoryReader(DataSourceReader):
                 yield item.path, "errors", {"path": item.path, "stage": "open", "message": str(e)}
 
     def _archive(self, f, jar: Item) -> Iterator[xml_models.Row]:
-        """Entries of an archive; one without descriptors is passed over after a look at its directory."""
-        with zipfile.ZipFile(f) as z:
-            entries = [Listed(x.filename, x.file_size, 0) for x in z.infolist() if not x.is_dir()]
-            if not any(e.path.endswith((SOLUTION, LANGUAGE)) for e in entries):
-                return
-            for item in classify(entries, jar.scan_ord, 1):
-                if item.kind == ARCHIVE or (self.wanted <= MODULE_TABLES and item.kind not in (SOLUTION, LANGUAGE)):
+        """Entries of an archive, or of its part; one without descriptors is passed over after a look at its directory."""
+        z, inside = entries(f, jar)
+        with z:
+            for item in inside[jar.first or 0 : jar.last]:
+                if self.wanted <= MODULE_TABLES and item.kind not in (SOLUTION, LANGUAGE):
                     continue
                 prefix = f"jar:file:{jar.path}!/"
                 placed = item._replace(dir=prefix + (item.dir or ""), source=item.source and prefix + item.source)
@@ -248,12 +184,21 @@ def _batches(rows: Iterator[tuple[str, str, dict]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _divide_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives (top, item, size) as runs of their entries."""
+    schema = pa.schema([("top", pa.string()), ("item", pa.string()), ("size", pa.int64())])
+    for batch in batches:
+        for top, item in zip(batch.column("top").to_pylist(), batch.column("item").to_pylist()):
+            runs = divided(top, Item(**json.loads(item)), SHARE)
+            yield pa.RecordBatch.from_pylist([{"top": top, "item": json.dumps(run._asdict()), "size": run.size} for run in runs], schema)
+
+
 def _parse_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All tables but ``files`` of the listed files (top, item)."""
     for batch in batches:
         for top, item in zip(batch.column("top").to_pylist(), batch.column("item").to_pylist()):
             reader = RepositoryReader({"paths": "[]"})
-            yield from _batches(reader.parsed(Task(top, [Item(*json.loads(item))], [])))
+            yield from _batches(reader.parsed(Task(top, [Item(**json.loads(item))], [])))
 
 
 class Repository(Questions):
@@ -280,8 +225,9 @@ class Repository(Questions):
     # --- snapshots ---
 
     def snapshot(self, folder: str) -> Repository:
-        """Parses everything once and keeps it as Parquet, a directory for each table."""
-        self.scan().write.partitionBy("table").parquet(folder)
+        """Parses everything once and keeps it as Parquet, a directory for each table.  Tasks list, and what they find is dealt by size."""
+        listed = self._list(f"{folder.rstrip('/')}-listed", None)
+        listed.unionByName(self._parse(listed)).write.partitionBy("table").parquet(folder)
         return self.of_snapshot(self.spark, folder, *self.paths, keep_all=self.keep_all)
 
     @classmethod
@@ -291,31 +237,51 @@ class Repository(Questions):
     def refresh(self, old: str, new: str) -> Repository:
         """A new snapshot for which only files are parsed that changed since the old one; rows of vanished files go.
 
-        Fingerprints meet in a join, and what changed is dealt to tasks as rows, by size.
+        Fingerprints meet in a join, and what changed is dealt to tasks as rows, by size.  A file's fingerprint says nothing of the files
+        beside it, but for what they make of it: its module, its source, and whether it speaks for its directory.
         """
         part = f"{new.rstrip('/')}-parsed"
         before = self.spark.read.schema(SCHEMA).parquet(old)
-        known = before.where("table = 'files'").select(F.col("files.path").alias("file"), F.col("files.fingerprint").alias("_before"))
-        listed = self.scan(listing="true").join(known, "file", "left")
-        fresh = F.col("files").withField("fresh", ~F.col("files.fingerprint").eqNullSafe(F.col("_before")))
-        listed = listed.withColumn("files", F.when(F.col("table") == "files", fresh)).drop("_before").select("table", *[c for c in self.scan().columns if c != "table"])
-        listed.write.partitionBy("table").parquet(f"{part}-listed")
-        listed = self.spark.read.schema(SCHEMA).parquet(f"{part}-listed")
-        changed = listed.where("table = 'files' and files.fresh").select("files.top", "files.item", "files.size")
-        bytes_ = changed.agg(F.sum(F.col("size") + OPEN_COST)).first()[0] or 0
-        parsed = changed.repartition(1 + int(bytes_ // (64 << 20)), "item").select("top", "item").mapInArrow(_parse_listed, SCHEMA)
-        listed.unionByName(parsed).write.partitionBy("table").parquet(part)
+        listed = self._list(f"{part}-listed", before)
+        listed.unionByName(self._parse(listed)).write.partitionBy("table").parquet(part)
         parsed = self.spark.read.schema(SCHEMA).parquet(part)
         same = listed.where("table = 'files' and not files.fresh").select("file")
         before.where("table <> 'files'").join(same, "file", "left_semi").unionByName(parsed).write.partitionBy("table").parquet(new)
         return self.of_snapshot(self.spark, new, *self.paths, keep_all=self.keep_all)
 
+    def _list(self, folder: str, before: DataFrame | None) -> DataFrame:
+        """The tables ``files`` and ``errors`` of what is there now, written to a folder; fresh is what has no equal fingerprint before."""
+        rounds = graph.Rounds(self.spark, "listing")
+        found = found_files(self.spark, self.paths, rounds)
+        known = items(found, rounds).withColumn("item", F.to_json(F.struct(*[part.split(" ")[0] for part in ITEM.split(", ")])))
+        if before is None:
+            known = known.withColumn("fresh", F.lit(True))
+        else:
+            was = before.where("table = 'files'").select("files.path", "files.fingerprint", F.lit(True).alias("_same")).distinct()
+            known = known.join(was, ["path", "fingerprint"], "left").withColumn("fresh", F.col("_same").isNull())
+        fields = {name: [part.split(" ")[0] for part in TABLES[name].split(", ")] for name in ("files", "errors")}
+        blank = lambda name, df: df.select(F.lit(name).alias("table"), F.col("path").alias("file"), *[(F.struct(*fields[n]) if n == name else F.lit(None).cast(struct(ddl))).alias(n) for n, ddl in TABLES.items()])
+        wrong = found.where("wrong is not null").select("path", F.lit("list").alias("stage"), F.col("wrong").alias("message"))
+        blank("files", known).unionByName(blank("errors", wrong)).write.partitionBy("table").parquet(folder)
+        return self.spark.read.schema(SCHEMA).parquet(folder)
+
+    def _parse(self, listed: DataFrame) -> DataFrame:
+        """All tables but ``files`` of the fresh files; archives larger than a task's share are dealt by their entries."""
+        fresh = listed.where("table = 'files' and files.fresh").select("files.top", "files.item", "files.size", "files.path")
+        large = F.col("path").endswith(ARCHIVE) & (F.col("size") > SHARE)
+        pieces = fresh.where(~large).drop("path").unionAll(fresh.where(large).drop("path").repartition("item").mapInArrow(_divide_listed, "top string, item string, size long"))
+        pieces = graph.Rounds(self.spark, "pieces").keep(pieces)
+        bytes_ = pieces.agg(F.sum(F.col("size") + OPEN_COST)).first()[0] or 0
+        return pieces.repartition(1 + int(bytes_ // SHARE), "item").select("top", "item").mapInArrow(_parse_listed, SCHEMA)
+
     # --- tables ---
 
     def _first(self, df: DataFrame, key: str) -> DataFrame:
         if self.keep_all:
             return df
-        return df.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("scan_ord", "path"))).where("_at = 1").drop("_at")
+        alone = F.when(F.col(key).isNull(), F.col("path"))  # those of no name aren't copies of each other
+        order = Window.partitionBy(key, alone).orderBy("scan_ord", F.col("path").startswith("jar:"), "path")
+        return df.withColumn("_at", F.row_number().over(order)).where(F.col(key).isNull() | (F.col("_at") == 1)).drop("_at")
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -327,7 +293,7 @@ class Repository(Questions):
 
     @cached_property
     def models(self) -> DataFrame:
-        """A model whose id is null takes part with others of none; models of a dropped module go with it."""
+        """Models whose id is null all stay; models of a dropped module go with it."""
         held = self.table("models").join(self.modules.select("dir", "module_id"), "dir")
         return self._first(held, "model_id").drop("dir")
 
@@ -407,9 +373,9 @@ class Repository(Questions):
         return out.select("model_id", "imported_model_id", F.coalesce("found", "imported_name").alias("imported_name"), F.col("found").isNotNull().alias("loaded"))
 
     def listed(self) -> DataFrame:
-        """path of every descriptor and model file below the repository's directories, whether it is read or not; the driver lists, as for a scan."""
-        found = [(f.path,) for path in self.paths for f in _listing(path)[0] if f.path.endswith((SOLUTION, SINGLE, HEADER))]
-        return self.spark.createDataFrame(found, "path string")
+        """path of every descriptor and model file below the repository's directories, whether it is read or not; tasks list."""
+        found = found_files(self.spark, self.paths, graph.Rounds(self.spark, "listing"))
+        return found.where(F.col("wrong").isNull() & F.col("path").rlike(r"\.(msd|mps|model)$")).select("path")
 
     def modified(self, changed: DataFrame, top: str) -> DataFrame:
         """path, kind, id of the modules and models that changed paths (relative to the directory ``top``) touch; id is null for a missing one."""

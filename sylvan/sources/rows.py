@@ -19,12 +19,13 @@ TABLES = {
 MODULE_TABLES = {"modules", "module_deps"}
 NODE_TABLES = {"nodes", "node_refs"}
 
-def _struct(ddl: str) -> str:
+
+def struct(ddl: str) -> str:
     fields = ddl.replace("<string,string>", "<>").split(", ")
     return "struct<" + ", ".join(f.replace(" ", ": ", 1) for f in fields).replace("<>", "<string,string>") + ">"
 
 
-SCHEMA = "table string, file string, " + ", ".join(f"{name} {_struct(ddl)}" for name, ddl in TABLES.items())
+SCHEMA = "table string, file string, " + ", ".join(f"{name} {struct(ddl)}" for name, ddl in TABLES.items())
 
 
 def split_ref(text: str | None) -> tuple[str | None, str | None]:

@@ -3,7 +3,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.sources import binary_models
+from sylvan.operators import graph
+from sylvan.sources import binary_models, listing
 from sylvan.sources.changes import changed_files
 from sylvan.sources.repository import Repository
 
@@ -148,7 +149,7 @@ def test_refresh_of_changed_vanished_moved_and_unchanged_files(spark, tmp_path):
     for name in ("modules", "models", "nodes", "node_refs", "registry", "errors"):
         assert sorted(map(str, getattr(kept, name).drop("scan_ord").collect())) == sorted(map(str, getattr(whole, name).drop("scan_ord").collect())), name
     fresh = {r.path for r in kept.table("files").where("fresh").collect()}
-    assert str(moved) in fresh and str(files[1]) not in {r.path for r in kept.table("files").collect()}
+    assert fresh == {str(moved)} and str(files[1]) not in {r.path for r in kept.table("files").collect()}
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
@@ -167,3 +168,91 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert scan(f"file = '{one}' and table = 'errors'").count() == 0
     assert scan("table = 'nodes' and nodes.node_id = '4'").count() == 1
     assert sorted(r.file.rpartition("/")[2] for r in scan(f"table = 'models' and file in ('{one}', '{tmp_path}/a/models/m1.mps')").collect()) == ["m1.mps", "m3.mps"]
+
+
+def odd_tree(top):
+    """Directories with and without descriptors, headers and roots, modules in modules, odd names."""
+    root = made.ROOT
+    made.write(top, {
+        "a/a.msd": made.solution("a", "ma"), "a/models/x.mps": "<model/>", "a/models/deep/er/y.mpb": b"", "a/other/z.mps": "", "a/models.mps": "", "a/models/é/_ b.mpsr": root,
+        "a/models/two/1.mpsr": root, "a/models/two/0.mpsr": root, "a/models/headed/.model": "", "a/models/headed/r.mpsr": root, "a/models/named/own.model": "", "a/models/named/r.mpsr": root,
+        "a/models/inner/b.mpl": "", "a/models/inner/s.mps": "", "a/models/inner/models/t.mps": "", ".c/.msd": "", ".c/models/.mps": "", "lone.mps": "", "models/q.mps": "", "lib/one.jar": b"zip", "noending": "", "d.msd/e.mps": "",
+    })
+
+
+@pytest.mark.parametrize("at_once", [1, 256])
+def test_tasks_find_what_the_driver_finds(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(listing, "LISTED_AT_ONCE", at_once)
+    top, bare = tmp_path / "in", tmp_path / "bare"
+    odd_tree(top)
+    bare.mkdir()
+    paths = (str(top), str(tmp_path / "none"), str(bare), str(top / "a"))
+    rounds = graph.Rounds(spark, "test")
+    found = listing.found_files(spark, paths, rounds)
+    got = sorted((r.top, *tuple(r)[1:]) for r in listing.items(found, rounds).select("top", *[c for c in listing.Item._fields if c not in ("first", "last")]).collect())
+    want = sorted((path, *tuple(i)[:-2]) for nth, path in enumerate(paths) for i in listing.classify(listing.listing(path)[0], nth))
+    assert str(got) == str(want) and len(want) > 20
+    assert rows(found.where("wrong is not null"), "path", "wrong") == [(paths[1], "no such directory")]
+    assert listing.items(listing.found_files(spark, paths[1:3], rounds), rounds).count() == 0
+
+
+def test_a_new_file_leaves_others_as_they_are(spark, tmp_path):
+    folder = made.garden(tmp_path / "in")
+    repo = Repository(spark, folder)
+    repo.snapshot(str(tmp_path / "s1"))
+    made.write(tmp_path / "in", {"aaa/first.msd": made.solution("first", "m0"), "lang/models/zz.mps": made.single("r:9(last)")})
+    kept = repo.refresh(str(tmp_path / "s1"), str(tmp_path / "s2"))
+    assert sorted(r.path.rpartition("/")[2] for r in kept.table("files").where("fresh").collect()) == ["first.msd", "zz.mps"]
+    assert rows(kept.modules, "name") == [("first",), ("garden",), ("one",), ("two",)]
+    # What another file makes of it counts: with a descriptor of its own a directory's models change their module.
+    made.write(tmp_path / "in", {"lang/models/lang2.msd": made.solution("second", "m9")})
+    kept = repo.refresh(str(tmp_path / "s2"), str(tmp_path / "s3"))
+    assert {r.path.rpartition("/")[2] for r in kept.table("files").where("fresh").collect()} == {"lang2.msd"}
+    assert rows(kept.models.where("name like 'last'"), "name") == []
+
+
+def large_archive(top, models):
+    files = {"a/a.msd": made.solution("a", "ma")} | {f"a/models/m{k}.mps": made.single(f"r:{k}(m{k})", f'<node concept="c" id="{k}" />') for k in range(models)}
+    made.write(top / "raw", files)
+    (top / "in").mkdir()
+    made.archive(top / "in/large.jar", str(top / "raw"))
+    made.write(top / "raw2", {"readme.txt": "x" * 5000, "models/m.mps": made.single("r:1(m)")})
+    made.archive(top / "in/beside.jar", str(top / "raw2"))
+    return str(top / "in")
+
+
+def test_archives_are_dealt_by_entries(spark, tmp_path):
+    repo = Repository(spark, large_archive(tmp_path, 40))
+    whole = repo.scan().where("table <> 'files'")
+    dealt = repo.scan(task_bytes="2000").where("table <> 'files'")
+    assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() > 20
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
+    assert repo.scan(task_bytes="2000").where("table = 'files'").count() == 2 and dealt.where("table = 'nodes'").count() == 40
+    # Runs have all entries once; an archive without descriptors is one run of nothing; what isn't an archive is left to its reading.
+    top = str(tmp_path / "in")
+    beside, large = (i for i in listing.classify(listing.listing(top)[0]))
+    runs = listing.divided(top, large, 2000)
+    assert [r.first for r in runs] == [0, *[r.last for r in runs[:-1]]] and runs[-1].last == 41 and all(r.last > r.first for r in runs)
+    assert [(r.first, r.last) for r in listing.divided(top, beside, 1)] == [(0, 0)]
+    (tmp_path / "in/bad.jar").write_bytes(b"no zip" * 1000)
+    bad = large._replace(path=f"{top}/bad.jar")
+    assert listing.divided(top, bad, 1) == [bad] and repo.scan(task_bytes="2000").where("table = 'errors'").count() == 1
+
+
+def test_a_snapshot_deals_entries(spark, tmp_path, monkeypatch):
+    from sylvan.sources import repository
+
+    repo = Repository(spark, large_archive(tmp_path, 12))
+    want = sorted(map(str, repo.scan().where("table <> 'files'").collect()))
+    monkeypatch.setattr(repository, "SHARE", 2000)
+    monkeypatch.setattr(repository, "OPEN_COST", 100)
+    kept = repo.snapshot(str(tmp_path / "s"))
+    read = spark.read.schema(repository.SCHEMA).parquet(str(tmp_path / "s")).select(repo.scan().columns)
+    assert sorted(map(str, read.where("table <> 'files'").collect())) == want
+    assert kept.nodes.count() == 12 and spark.read.parquet(str(tmp_path / "s-listed")).where("table = 'files'").count() == 2
+
+
+def test_models_of_no_id_all_stay(spark, tmp_path):
+    made.write(tmp_path, {"a.msd": made.solution("a", "ma"), "models/x.mps": "<model><node concept='c' id='1' /></model>", "models/y.mps": "<model><node concept='c' id='2' /></model>"})
+    repo = Repository(spark, str(tmp_path))
+    assert repo.models.where("model_id is null").count() == 2 and rows(repo.nodes, "node_id") == [("1",), ("2",)]
