@@ -1,6 +1,9 @@
 """Edits of nodes as rows that are added: DataFrames don't change, so an edit gives the tables after it.
 
-Interval numbers of the edited tables, if they have any, are those from before the edit, and null for new nodes.
+Interval numbers keep their order through edits.  A node's ``pre`` opens and its ``last`` closes it; what lies below has both between them, so
+tree.within, sorting by ``pre`` and the writers take edited tables as they are.  New children take labels from the gap before their parent's
+closing one.  Only where a gap is used up (as it is everywhere in a file just read) the file is labelled anew, ``GAP`` apart; files that no
+edit touches keep their numbers.
 """
 
 from __future__ import annotations
@@ -8,7 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import BROADCAST_IDS, Rounds
+
 _NODE = ["model_id", "node_id"]
+_ABOVE = ["model_id", "parent_id"]
+#: The distance of labels that are set anew.  Nodes up to 2**41 in one file have labels within a long.
+GAP = 1 << 20
+#: An edit takes no more than this part of a gap for a label, so that more can follow at the same place.
+PART = 64
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.rows <= BROADCAST_IDS else df
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], rounds: Rounds) -> DataFrame:
+    """rows with ``place``, from 1: their rank among those of the same keys, which aren't null.
+
+    Rows are dealt by ranges of keys and order, and counts of the parts of a key tell where each part begins: a key of any number of rows is
+    spread over tasks.  Rows of equal keys and order are ranked in any order, so these should be all that tells them apart.
+    """
+    dealt = rounds.keep(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return dealt.withColumn("_inner", inner).join(parts, [*keys, "_part"]).withColumn("place", F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
+
+
+def _unit(nodes: DataFrame) -> list[str]:
+    """What is numbered by itself: a file, or a root where tables name no files."""
+    return ["source", "path"] if {"source", "path"} <= set(nodes.columns) else ["model_id", "root_id"]
+
+
+def relabelled(nodes: DataFrame, units: DataFrame, rounds: Rounds) -> DataFrame:
+    """The nodes of the given units (and their ``gap``) with labels in the same order, a gap apart.  Nodes without numbers stay without.
+
+    Openings and closings are ranked together; at one number an opening comes first, and inner nodes close before outer ones.
+    """
+    unit = _unit(nodes)
+    spans = nodes.where("pre is not null").join(_small(units), unit, "left_semi").select(*unit, "pre", "last").distinct()
+    events = spans.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_closes"))
+    events = events.withColumn("_at", F.when(F.col("_closes") == 1, F.col("last")).otherwise(F.col("pre"))).withColumn("_inner_first", F.col("_closes") * -F.col("pre"))
+    places = ranked(events, unit, ["_at", "_closes", "_inner_first"], rounds)
+    fresh = places.groupBy(*unit, "pre", "last").agg(F.min("place").alias("_open"), F.max("place").alias("_close")).join(_small(units), unit)
+    own = nodes.join(_small(units), unit, "left_semi").join(fresh, [*unit, "pre", "last"], "left")
+    kind = lambda c: nodes.schema[c].dataType
+    return own.withColumn("pre", (F.col("_open") * F.col("gap")).cast(kind("pre"))).withColumn("last", (F.col("_close") * F.col("gap")).cast(kind("last"))).select(*nodes.columns)
 
 
 def add_properties(nodes: DataFrame, more: DataFrame) -> DataFrame:
@@ -20,19 +69,58 @@ def add_properties(nodes: DataFrame, more: DataFrame) -> DataFrame:
     return nodes.join(each, _NODE, "left").withColumn("props", props).select(*nodes.columns)
 
 
+def _new_children(nodes: DataFrame, more: DataFrame, parents: DataFrame, rounds: Rounds) -> DataFrame:
+    """more, placed below their parents; ``hits`` are those for which a gap has no room, ``_need`` the labels that its parent needs."""
+    numbered, unit = {"pre", "last"} <= set(nodes.columns), _unit(nodes)
+    number = lambda c: F.col(c).cast("long") if numbered else F.lit(None).cast("long")
+    held = nodes.select("model_id", F.col("node_id").alias("parent_id"), F.col("root_id").alias("_root"), (F.col("depth") + 1).alias("_depth"), number("pre").alias("_pre"), number("last").alias("_last"), *[F.col(c).alias(f"_{c}") for c in unit if c not in ("model_id", "root_id")])
+    held = held.join(_small(parents), _ABOVE, "left_semi")
+    tail = nodes.join(_small(parents), _ABOVE, "left_semi").groupBy(*_ABOVE).agg(F.max("ord").alias("_ord"), F.max(number("last")).alias("_tail"))
+    n = more.groupBy(*_ABOVE).agg((2 * F.count("*") + 1).alias("_need"))
+    held = held.join(tail, _ABOVE, "left").join(n, _ABOVE).withColumn("_from", F.coalesce("_tail", "_pre"))
+    gap = F.col("_last") - F.col("_from")
+    held = held.withColumn("_step", F.greatest(F.lit(1), F.least(F.expr("(_last - _from) div _need"), F.expr(f"(_last - _from) div {PART}"))))
+    held = held.withColumn("_full", F.coalesce(gap < F.col("_need"), F.lit(False)))
+    placed = ranked(more, _ABOVE, ["node_id"], rounds).join(held, _ABOVE)
+    return rounds.keep(placed, hits="_full")
+
+
 def add_children(nodes: DataFrame, more: DataFrame) -> DataFrame:
-    """more: model_id, parent_id, node_id, concept, role, props.  They come after the parent's own children, in the order of their ids; those of an unknown parent are left out."""
-    last = nodes.where("parent_id is not null").groupBy("model_id", "parent_id").agg(F.max("ord").alias("_last"))
-    above = nodes.select("model_id", F.col("node_id").alias("parent_id"), F.col("root_id").alias("_root"), (F.col("depth") + 1).alias("_depth"), *[F.col(c).alias(f"_{c}") for c in ("source", "path") if c in nodes.columns])
-    place = F.row_number().over(Window.partitionBy("model_id", "parent_id").orderBy("node_id"))
-    new = more.join(above, ["model_id", "parent_id"]).join(last, ["model_id", "parent_id"], "left")
-    new = new.withColumn("ord", (F.coalesce("_last", F.lit(-1)) + place).cast(nodes.schema["ord"].dataType))
-    given = {"root_id": F.col("_root"), "depth": F.col("_depth"), "source": F.col("_source") if "source" in nodes.columns else None, "path": F.col("_path") if "path" in nodes.columns else None}
-    columns = [given[c].alias(c) if c in given else F.col(c) if c in new.columns else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]
+    """more: model_id, parent_id, node_id, concept, role, props.  They come after the parent's own children, in the order of their ids; those of an unknown parent are left out.
+
+    Children of a parent without numbers have none.  The tables of the edit lie in the shared folder.
+    """
+    rounds, unit = Rounds(nodes.sparkSession, "edit"), _unit(nodes)
+    parents = rounds.keep(more.select(*_ABOVE).where("model_id is not null and parent_id is not null").distinct())
+    more = more.where("model_id is not null and parent_id is not null")
+    new = _new_children(nodes, more, parents, rounds)
+    if new.hits:
+        of = [F.col(f"_{c}").alias(c) if f"_{c}" in new.columns else F.col("_root").alias(c) if c == "root_id" else F.col(c) for c in unit]
+        full = new.where("_full").select(*of, "_need").groupBy(*unit).agg(F.greatest(F.lit(GAP), F.max("_need") * PART).alias("gap"))
+        full = rounds.keep(full)
+        fresh = rounds.keep(relabelled(nodes, full, rounds))
+        nodes = nodes.join(_small(full), unit, "left_anti").select(*nodes.columns).unionByName(fresh)
+        new = _new_children(nodes, more, parents, rounds)
+    label = lambda k: F.col("_from") + F.col("_step") * (2 * F.col("place") - k)
+    given = {"root_id": F.col("_root"), "depth": F.col("_depth"), "ord": F.coalesce("_ord", F.lit(-1)) + F.col("place"), "pre": label(1), "last": label(0)}
+    given |= {c: F.col(f"_{c}") for c in ("source", "path") if f"_{c}" in new.columns}
+    columns = [(given[c] if c in given else F.col(c) if c in new.columns else F.lit(None)).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]
     return nodes.unionByName(new.select(*columns))
 
 
-def add_references(refs: DataFrame, more: DataFrame) -> DataFrame:
-    """more: model_id, node_id, role, target_model_id, target_node_id; any other column is null."""
+def add_references(refs: DataFrame, more: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """more: model_id, node_id, role, target_model_id, target_node_id; any other column is null.
+
+    With ``nodes`` all references take the files and numbers of their nodes, new ones come after a node's own in the order of their roles, and
+    those of an unknown node are left out.
+    """
     columns = [F.col(c) if c in more.columns else F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in refs.columns]
-    return refs.unionByName(more.select(*columns))
+    if nodes is None:
+        return refs.unionByName(more.select(*columns))
+    taken = [c for c in ("source", "path", "pre") if c in refs.columns and c in nodes.columns]
+    last = refs.groupBy(*_NODE).agg(F.max("ord").alias("_ord"))
+    place = F.row_number().over(Window.partitionBy(*_NODE).orderBy("role", "target_model_id", "target_node_id"))  # a node has few references
+    new = more.withColumn("_place", place).join(last, _NODE, "left").withColumn("ord", (F.coalesce("_ord", F.lit(-1)) + F.col("_place")).cast(refs.schema["ord"].dataType))
+    columns = [F.col(c) if c in new.columns else F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in refs.columns]
+    every = refs.unionByName(new.select(*columns)).drop(*taken)
+    return every.join(nodes.select(*_NODE, *taken), _NODE).select(*refs.columns)
