@@ -203,7 +203,7 @@ def ancestors(f):
 
 def _numbered(f):
     path = F.concat_ws("/", F.when(F.col("concept") != "Customer", F.col("root_id")), F.when(F.col("concept") == "Line", F.col("parent_id")), F.col("node_id"))
-    nodes = f.customers.unionAll(f.orders).unionAll(f.line_nodes).select("model_id", "root_id", "parent_id", "node_id", "concept", "depth")
+    nodes = f.customers.unionAll(f.orders).unionAll(f.line_nodes).select("model_id", "root_id", "parent_id", "node_id", "concept", "ord", "depth")
     return tree.intervals(nodes.withColumn("path", path), 2)
 
 
@@ -234,10 +234,23 @@ def bounded_tree_dump(f):
 LEFT JOIN (SELECT 'O' || l_orderkey AS parent_id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) l USING (parent_id) WHERE n IS NOT NULL
 UNION ALL SELECT node_id, concept, CAST(split_part(node_id, '_', 2) AS BIGINT) FROM nodes WHERE concept = 'Line'""")
 def children_added(f):
+    return edits.add_children(f.nodes, _two_more_lines(f)).where("concept = 'Line'").select("node_id", "concept", F.col("ord").alias("place"))
+
+
+def _two_more_lines(f) -> DataFrame:
+    """Two new lines of each order that has any."""
     orders = f.nodes_of_concept("Order").join(f.line_nodes.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_semi")
     more = orders.select("model_id", F.col("node_id").alias("parent_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
-    more = more.select("model_id", "parent_id", F.concat(F.lit("X"), F.substring("parent_id", 2, 99), F.lit("_"), F.col("k").cast("string")).alias("node_id"), F.lit("Line").alias("concept"), F.lit("lines").alias("role"), F.create_map().cast("map<string,string>").alias("props"))
-    return edits.add_children(f.nodes, more).where("concept = 'Line'").select("node_id", "concept", F.col("ord").alias("place"))
+    return more.select("model_id", "parent_id", F.concat(F.lit("X"), F.substring("parent_id", 2, 99), F.lit("_"), F.col("k").cast("string")).alias("node_id"), F.lit("Line").alias("concept"), F.lit("lines").alias("role"), F.create_map().cast("map<string,string>").alias("props"))
+
+
+@query(""", every AS (SELECT node_id, parent_id FROM nodes UNION ALL SELECT 'X' || substr(node_id, 2) || '_' || k, node_id FROM (SELECT DISTINCT parent_id AS node_id FROM nodes WHERE concept = 'Line') o, (VALUES (1), (2)) v(k)),
+below AS (SELECT parent_id AS ancestor_id, node_id FROM every WHERE parent_id IS NOT NULL UNION ALL SELECT e.parent_id, b.node_id FROM below b JOIN every e ON b.ancestor_id = e.node_id WHERE e.parent_id IS NOT NULL)
+SELECT ancestor_id, count(*) AS n FROM below GROUP BY 1""")
+def descendants_after_edits(f):
+    """By interval, of a forest to whose orders lines were added."""
+    edited = edits.add_children(_numbered(f), _two_more_lines(f))
+    return tree.descendants(edited).groupBy("ancestor_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'P' || p_partkey AS node_id, p_name AS name, CASE WHEN p_size > 25 THEN 'large' ELSE p_brand END AS brand, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS size FROM part")
