@@ -43,11 +43,12 @@ def intervals(nodes: DataFrame, levels: int) -> DataFrame:
 def within(nodes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """nodes (pre) joined with spans (low, high) of the same keys: low < pre <= high.
 
-    A span of up to 2**k places meets at most three bins of 2**(k - 1); nodes are dealt to the bin of each size that occurs (63 at most), and an
-    equality of keys, size and bin is all that the join needs, so that a root of any number of nodes is spread over tasks.
+    Bins have 2**3, 2**5, 2**7 ... places, and a span takes the smallest of them that is half as long as it or longer, so it meets three at most.
+    Nodes are dealt to the bin of each size that occurs (31 at most, two or three for small roots), and an equality of keys, size and bin is all
+    that the join needs, so that a root of any number of nodes is spread over tasks; a span meets six times its length at most, or 24 rows.
     """
-    sized = spans.where("high > low").withColumn("_size", F.floor(F.log2(F.col("high") - F.col("low"))).cast("int"))
-    sizes = sized.agg(F.coalesce(F.collect_set("_size"), F.array().cast("array<int>"))).scalar()  # 63 numbers at most
+    sized = spans.where("high > low").withColumn("_size", F.greatest(F.lit(3), F.expr("cast(floor(log2(high - low)) as int) | 1")))
+    sizes = sized.agg(F.coalesce(F.collect_set("_size"), F.array().cast("array<int>"))).scalar()  # 31 numbers at most
     sized = sized.withColumn("_bin", F.explode(F.expr("sequence(shiftright(low + 1, _size), shiftright(high, _size))")))
     dealt = nodes.withColumn("_size", F.explode(sizes)).withColumn("_bin", F.expr("shiftright(pre, _size)"))
     return dealt.join(sized, [*keys, "_size", "_bin"]).where("pre > low and pre <= high").drop("_size", "_bin")

@@ -1,4 +1,5 @@
 import shutil
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from sylvan.operators import graph
 from sylvan.sources import binary_models, listing
 from sylvan.sources.changes import changed_files
-from sylvan.sources.repository import Repository
+from sylvan.sources.repository import Repository, union
 
 from . import made
 
@@ -256,3 +257,40 @@ def test_models_of_no_id_all_stay(spark, tmp_path):
     made.write(tmp_path, {"a.msd": made.solution("a", "ma"), "models/x.mps": "<model><node concept='c' id='1' /></model>", "models/y.mps": "<model><node concept='c' id='2' /></model>"})
     repo = Repository(spark, str(tmp_path))
     assert repo.models.where("model_id is null").count() == 2 and rows(repo.nodes, "node_id") == [("1",), ("2",)]
+
+
+def test_changed_files_of_a_branch(spark, tmp_path):
+    """A working copy: committed and uncommitted changes since it left the branch; what the branch did since then doesn't count."""
+
+    def git(*words):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *words], check=True, capture_output=True)
+
+    folder = made.garden(tmp_path)
+    (tmp_path / "two/models/broken.mps").unlink()  # a file beside a changed one that holds no model would leave the cone of modules
+    git("init", "-q", "-b", "trunk")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    git("checkout", "-qb", "work")
+    made.write(tmp_path, {"two/models/species.mps": made.single(made.SPECIES), "one/é.txt": "new"})
+    git("add", "-A")
+    git("commit", "-qm", "second")
+    git("checkout", "-q", "trunk")
+    made.write(tmp_path, {"lang/models/structure.mps": made.single("r:5(garden.structure)", "", '<attribute name="x" value="y" />')})
+    git("commit", "-qam", "third")
+    git("checkout", "-q", "work")
+    (tmp_path / "one/one.msd").write_text(made.solution("one", "m1"))
+    got = changed_files(spark, folder, branch="trunk")
+    assert rows(got, "path") == [("one/one.msd",), ("one/é.txt",), ("two/models/species.mps",)]
+    modules, models = Repository(spark, folder).cone_of_influence(got, folder)
+    assert rows(modules.where("affected"), "module_id") == [("m1",), ("m2",)]
+    species, top = (ref.partition("(")[0] for ref in (made.SPECIES, made.TOP))
+    assert rows(models, "model_id", "affected") == [(top, True), (species, True)]
+    with pytest.raises(RuntimeError, match="merge-base"):
+        changed_files(spark, folder, branch="nowhere")
+
+
+def test_union_of_repositories(spark, tmp_path, repo):
+    made.write(tmp_path, {"b.msd": made.solution("b", "mb"), "models/y.mps": made.single("r:77(other)", '<node concept="p" id="77" />')})
+    other = Repository(spark, str(tmp_path))
+    assert rows(union([repo, other], "modules"), "name") == [("b",), ("garden",), ("one",), ("two",)]
+    assert union([repo, other], "nodes").count() == repo.nodes.count() + 1 and union([other], "models").count() == 1
