@@ -73,11 +73,16 @@ class Forest(Questions):
     def nodes(self) -> DataFrame:
         return self.roots.unionAll(self.orders).unionAll(self.line_nodes)
 
+    @cached_property
+    def placed_refs(self) -> DataFrame:
+        """References with the root and the numbers of order and line of their nodes, so that nobody has to look for these."""
+        own = _id("N", "c_nationkey").alias("model_id"), "node_id", _id("C", "o_custkey").alias("root_id"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("long").alias("line")
+        return self._line_rows.select(*own, F.explode(F.create_map(F.lit("part"), _id("P", "part"), F.lit("supplier"), _id("S", "supplier"))).alias("role", "target_node_id"))
+
     @cached_property
     def refs(self) -> DataFrame:
         """Line to part and supplier: model_id, node_id, role, target_node_id."""
-        rows = self._line_rows.select(_id("N", "c_nationkey").alias("model_id"), "node_id", F.explode(F.create_map(F.lit("part"), _id("P", "part"), F.lit("supplier"), _id("S", "supplier"))).alias("role", "target_node_id"))
-        return rows
+        return self.placed_refs.select("model_id", "node_id", "role", "target_node_id")
 
     @cached_property
     def node_refs(self) -> DataFrame:
@@ -88,9 +93,8 @@ class Forest(Questions):
     @cached_property
     def imports(self) -> DataFrame:
         """Model to imported model, from the references of all lines, without self-imports; cyclic."""
-        used = self.refs.select("model_id", "target_node_id").distinct()
         targets = self.roots.select(F.col("node_id").alias("target_node_id"), F.col("model_id").alias("imported_model_id"))
-        return used.join(targets, "target_node_id").where("model_id <> imported_model_id").select("model_id", "imported_model_id").distinct()
+        return self.refs.select("model_id", "target_node_id").join(targets, "target_node_id").where("model_id <> imported_model_id").select("model_id", "imported_model_id").distinct()
 
     @cached_property
     def main_imports(self) -> DataFrame:

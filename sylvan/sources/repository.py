@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -173,9 +174,12 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("table", pa.string()), ("file", pa.string()), *structs])
 
 
-def _batches(rows: Iterator[tuple[str, str, dict]]) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iterator[pa.RecordBatch]:
     schema, held = _arrow_schema(), []
     for file, table, row in rows:
+        if isinstance(row, xml_models.Columns):
+            yield _column_batch(schema, file, table, row)
+            continue
         held.append({"table": table, "file": file, table: row})
         if len(held) >= BATCH_ROWS:
             yield pa.RecordBatch.from_pylist(held, schema)
@@ -184,6 +188,18 @@ def _batches(rows: Iterator[tuple[str, str, dict]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _column_batch(schema: pa.Schema, file: str, table: str, rows: xml_models.Columns) -> pa.RecordBatch:
+    n, kind = len(rows.rows), schema.field(table).type
+    lists, children = dict(zip(rows.names, zip(*rows.rows))), []
+    for f in kind:
+        if pa.types.is_map(f.type):
+            children.append(pa.MapArray.from_arrays(pa.array(list(accumulate(rows.sizes, initial=0)), pa.int32()), pa.array(rows.entries[0], pa.string()), pa.array(rows.entries[1], pa.string())))
+        else:
+            children.append(pa.repeat(pa.scalar(rows.same[f.name], f.type), n) if f.name in rows.same else pa.array(lists[f.name], f.type))
+    own = {"table": pa.repeat(table, n), "file": pa.repeat(file, n), table: pa.StructArray.from_arrays(children, fields=list(kind))}
+    return pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
 def _divide_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives (top, item, size) as runs of their entries."""
     schema = pa.schema([("top", pa.string()), ("item", pa.string()), ("size", pa.int64())])
@@ -201,6 +217,17 @@ def _parse_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from _batches(reader.parsed(Task(top, [Item(**json.loads(item))], [])))
 
 
+def _keep(rows: DataFrame, folder: str) -> None:
+    """A Parquet directory for each table.  A task has a writer open for each of the few tables, so that rows need no sort by table."""
+    conf, key = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, str(len(TABLES)))
+    try:
+        rows.write.partitionBy("table").parquet(folder)
+    finally:
+        conf.set(key, before)
+
+
 class Repository(Questions):
     """The canonical tables of one or many directories, or of a snapshot of them.
 
@@ -227,7 +254,7 @@ class Repository(Questions):
     def snapshot(self, folder: str) -> Repository:
         """Parses everything once and keeps it as Parquet, a directory for each table.  Tasks list, and what they find is dealt by size."""
         listed = self._list(f"{folder.rstrip('/')}-listed", None)
-        listed.unionByName(self._parse(listed)).write.partitionBy("table").parquet(folder)
+        _keep(listed.unionByName(self._parse(listed)), folder)
         return self.of_snapshot(self.spark, folder, *self.paths, keep_all=self.keep_all)
 
     @classmethod
@@ -243,10 +270,10 @@ class Repository(Questions):
         part = f"{new.rstrip('/')}-parsed"
         before = self.spark.read.schema(SCHEMA).parquet(old)
         listed = self._list(f"{part}-listed", before)
-        listed.unionByName(self._parse(listed)).write.partitionBy("table").parquet(part)
+        _keep(listed.unionByName(self._parse(listed)), part)
         parsed = self.spark.read.schema(SCHEMA).parquet(part)
         same = listed.where("table = 'files' and not files.fresh").select("file")
-        before.where("table <> 'files'").join(same, "file", "left_semi").unionByName(parsed).write.partitionBy("table").parquet(new)
+        _keep(before.where("table <> 'files'").join(same, "file", "left_semi").unionByName(parsed), new)
         return self.of_snapshot(self.spark, new, *self.paths, keep_all=self.keep_all)
 
     def _list(self, folder: str, before: DataFrame | None) -> DataFrame:

@@ -12,20 +12,21 @@ from ..functions import ids
 from . import files, languages
 from .repository import ROOT, Repository
 
-def root_rows(repo: Repository, file: F.Column) -> DataFrame:
-    """Rows of the files that hold the repository's roots; ``file`` names a root's own from model_id, path and root_id."""
-    heads = repo.nodes.where("parent_id is null").join(repo.models.select("model_id", F.col("name").alias("model_name")), "model_id")
-    heads = heads.select("path", file.alias("file"), F.struct("model_id", "model_name", "path", "root_id").alias("head"))
-    of = heads.select("path", "file")
+
+def root_rows(repo: Repository, file: F.Column, only: F.Column | None = None) -> DataFrame:
+    """Rows of the files that hold the repository's roots, or those for whose nodes ``only`` holds; both are made of model_id, path and root_id.
+
+    A root's head brings the imports and the registry of the file that it was read from, so these take no rows of their own.
+    """
+    nodes = repo.nodes if only is None else repo.nodes.where(only)
+    heads = nodes.where("parent_id is null").join(repo.models.select("model_id", F.col("name").alias("model_name")), "model_id")
     pack = lambda ddl: F.struct(*[part.split(":")[0] for part in ddl.removeprefix("struct<").replace("map<string,string>", "").removesuffix(">").split(", ")])
-    imports, registry = repo.model_imports.join(of, "path"), repo.registry.join(of, "path")
-    roots = repo.nodes.select("path", "node_id", "root_id")
-    refs = repo.node_refs.join(roots, ["path", "node_id"])
+    listed = lambda df, ddl, name: df.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", pack(ddl).alias("row")))), lambda x: x["row"]).alias(name))
+    heads = heads.join(listed(repo.model_imports, files.IMPORT, "imports"), "path", "left").join(listed(repo.registry, files.REGISTRY, "concepts"), "path", "left")
+    refs = repo.node_refs.join(nodes.select("path", "node_id", "root_id"), ["path", "node_id"])
     return (
-        files.rows(heads, 0, file=F.col("file"), head=F.col("head"))
-        .unionAll(files.rows(imports, 1, file=F.col("file"), ord=F.col("ord"), **{"import": pack(files.IMPORT)}))
-        .unionAll(files.rows(registry, 2, file=F.col("file"), ord=F.col("ord"), registry=pack(files.REGISTRY)))
-        .unionAll(files.rows(repo.nodes, 3, file=file, root=F.col("root_id"), pre=F.col("pre"), node=pack(files.NODE)))
+        files.rows(heads, 0, file=file, head=F.struct("model_id", "model_name", "path", "root_id"), imports=F.col("imports"), concepts=F.col("concepts"))
+        .unionAll(files.rows(nodes, 3, file=file, root=F.col("root_id"), pre=F.col("pre"), node=pack(files.NODE)))
         .unionAll(files.rows(refs, 3, file=file, root=F.col("root_id"), pre=F.col("pre"), kind=F.lit(1), ord=F.col("ord"), ref=pack(files.REF)))
     )
 
@@ -45,9 +46,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = []
 
 
-def roots_as_xml(repo: Repository) -> DataFrame:
-    """model_id, path, root_id, text: every root as the text of a file of its own.  A text is held whole; ``write_roots`` holds none."""
-    ordered = files.in_order(root_rows(repo, F.concat_ws("\0", "path", "root_id")))
+def roots_as_xml(repo: Repository, only: F.Column | None = None) -> DataFrame:
+    """model_id, path, root_id, text: every root (or those that ``only`` chooses, before any is printed) as the text of a file of its own.  A text is held whole; ``write_roots`` holds none."""
+    ordered = files.in_order(root_rows(repo, F.concat_ws("\0", "path", "root_id"), only))
     return ordered.mapInArrow(_texts, "model_id string, path string, root_id string, text string")
 
 

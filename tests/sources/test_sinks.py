@@ -76,3 +76,22 @@ def test_reports(repo):
     html = {r.language: r.text for r in sinks.languages_as_html(repo).collect()}
     assert html["core"] == "<h2>core</h2><ul><li>core.structure.Named<br>property: name</li></ul>"
     assert json.loads(sinks.as_json(repo.modules.where("name = 'one'").select("name", "version")).first().json) == {"name": "one"}
+
+
+def test_tasks_get_few_columns_in_order(spark):
+    """Nested columns of SCHEMA that are null for nearly all rows made writing six times as long."""
+    node = F.struct(F.lit(0).alias("depth"), F.lit("1").alias("node_id"), F.lit("c").alias("concept"), F.lit(None).cast("string").alias("role"), F.create_map(F.lit("k"), F.lit('<"')).alias("props"))
+    head = F.struct(F.lit("m").alias("model_id"), F.lit("n").alias("model_name"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("root_id"))
+    imported = F.array(F.struct(F.lit("i").alias("import_index"), F.lit("o").alias("imported_model_id"), F.lit("other").alias("imported_name"), F.lit(False).alias("implicit")))
+    ref = F.struct(F.lit("r").alias("role"), F.lit("o").alias("target_model_id"), F.lit("9").alias("target_node_id"), F.lit(None).cast("string").alias("resolve_info"))
+    one = spark.range(1)
+    rows = files.rows(one, 3, file=F.lit("f"), kind=F.lit(1), ref=ref).unionAll(files.rows(one, 3, file=F.lit("f"), node=node)).unionAll(files.rows(one, 0, file=F.lit("f"), head=head, imports=imported))
+    ordered = files.in_order(rows)
+    assert len(ordered.columns) < 10 and all(f.dataType.typeName() in ("string", "integer", "map") for f in ordered.schema.fields)
+    text = "".join(piece or "" for _, piece, _ in files.printed(iter(ordered.toArrow().to_batches())))
+    assert '<import index="i" ref="o(other)" />' in text and '<registry />' in text
+    assert '<node concept="c" id="1">\n    <property role="k" value="&lt;&quot;" />\n    <ref role="r" to="i:9" />' in text
+
+
+def test_only_chosen_roots_are_printed(repo):
+    assert [r.root_id for r in sinks.roots_as_xml(repo, F.col("root_id") == "1a").collect()] == ["1a"]
