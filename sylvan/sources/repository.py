@@ -33,6 +33,10 @@ BATCH_ROWS = 4096
 OPEN_COST = 256 << 10
 #: Bytes that a task parses, and that an archive's part has unpacked.
 SHARE = 64 << 20
+#: Bytes that one of an archive is taken to unpack to.
+PACKED = 8
+#: Bytes of an archive's entry that are read at once; a larger one is unpacked as it is parsed.
+HELD = 4 << 20
 
 
 @dataclass
@@ -63,6 +67,11 @@ class RepositorySource(DataSource):
         return RepositoryReader(dict(self.options))
 
 
+def _parsed_bytes(item: Item) -> int:
+    """An archive's part has its unpacked size already."""
+    return item.size * PACKED if item.kind == ARCHIVE and item.last is None else item.size
+
+
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
@@ -101,7 +110,7 @@ class RepositoryReader(DataSourceReader):
                 kept = [run for i in kept for run in (divided(path, i, self.task_bytes) if i.kind == ARCHIVE and i.size > self.task_bytes else [i])]
             load, bin_ = 0, []
             for item in kept if self.wanted else ():
-                cost = item.size + OPEN_COST if opens else OPEN_COST // 64
+                cost = _parsed_bytes(item) + OPEN_COST if opens else OPEN_COST // 64
                 if bin_ and load + cost > self.task_bytes:
                     tasks.append(Task(path, bin_, []))
                     load, bin_ = 0, []
@@ -147,7 +156,7 @@ class RepositoryReader(DataSourceReader):
                 prefix = f"jar:file:{jar.path}!/"
                 placed = item._replace(dir=prefix + (item.dir or ""), source=item.source and prefix + item.source)
                 with z.open(item.path) as entry:
-                    yield from self._parse(io.BytesIO(entry.read()), placed, prefix + item.path, jar.path)
+                    yield from self._parse(io.BytesIO(entry.read()) if item.size <= HELD else entry, placed, prefix + item.path, jar.path)
 
     def _parse(self, f, item: Item, path: str, jar: str | None) -> Iterator[xml_models.Row]:
         persistency = {SINGLE: "default", BINARY: "binary"}.get(item.kind, "file_per_root")
@@ -175,10 +184,14 @@ def _arrow_schema() -> pa.Schema:
 
 
 def _batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iterator[pa.RecordBatch]:
-    schema, held = _arrow_schema(), []
+    schema, held, small, load = _arrow_schema(), [], [], 0
     for file, table, row in rows:
         if isinstance(row, xml_models.Columns):
-            yield _column_batch(schema, file, table, row)
+            small.append(_column_batch(schema, file, table, row))
+            load += small[-1].num_rows
+            if load >= BATCH_ROWS:  # files of few nodes share a batch
+                yield _joined(small)
+                small, load = [], 0
             continue
         held.append({"table": table, "file": file, table: row})
         if len(held) >= BATCH_ROWS:
@@ -186,6 +199,12 @@ def _batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iter
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+    if small:
+        yield _joined(small)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def _column_batch(schema: pa.Schema, file: str, table: str, rows: xml_models.Columns) -> pa.RecordBatch:
@@ -298,7 +317,8 @@ class Repository(Questions):
         large = F.col("path").endswith(ARCHIVE) & (F.col("size") > SHARE)
         pieces = fresh.where(~large).drop("path").unionAll(fresh.where(large).drop("path").repartition("item").mapInArrow(_divide_listed, "top string, item string, size long"))
         pieces = graph.Rounds(self.spark, "pieces").keep(pieces)
-        bytes_ = pieces.agg(F.sum(F.col("size") + OPEN_COST)).first()[0] or 0
+        whole = (F.get_json_object("item", "$.kind") == ARCHIVE) & F.get_json_object("item", "$.last").isNull()
+        bytes_ = pieces.agg(F.sum(F.when(whole, F.col("size") * PACKED).otherwise(F.col("size")) + OPEN_COST)).first()[0] or 0
         return pieces.repartition(1 + int(bytes_ // SHARE), "item").select("top", "item").mapInArrow(_parse_listed, SCHEMA)
 
     # --- tables ---

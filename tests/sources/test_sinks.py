@@ -95,3 +95,59 @@ def test_tasks_get_few_columns_in_order(spark):
 
 def test_only_chosen_roots_are_printed(repo):
     assert [r.root_id for r in sinks.roots_as_xml(repo, F.col("root_id") == "1a").collect()] == ["1a"]
+
+
+def parts(n):
+    """A model of n roots with a child each, which refers to the next root."""
+    text = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    ref = F.struct(F.lit("to").alias("role"), F.lit("r:x").alias("target_model_id"), F.concat(F.lit("k"), (F.col("id") + 1).cast("string")).alias("target_node_id"), F.lit("said").alias("resolve_info"))
+    node = lambda depth, own, role: F.struct(F.lit(depth).alias("depth"), own.alias("node_id"), F.lit("t.Node").alias("concept"), role.alias("role"), F.create_map(F.lit("name"), own).alias("props"))
+    none = F.lit(None).cast("string")
+    head = F.struct(F.lit("r:x").alias("model_id"), F.lit("x").alias("model_name"), none.alias("path"), none.alias("root_id"))
+
+    def of(df, file, apart=False):
+        kid = dict(file=F.lit(file), root=text("k"), pre=F.lit(1))
+        rows = files.rows(df.limit(1), 0, file=F.lit(file), head=head).unionAll(files.rows(df, 3, file=F.lit(file), root=text("k"), node=node(0, text("k"), none)))
+        kids = files.rows(df, 3, **kid, node=node(1, text("c"), F.lit("kids")), **({} if apart else {"refs": F.array(ref, ref)}))
+        rows = rows.unionAll(kids)
+        return rows.unionAll(files.rows(df, 3, **kid, kind=F.lit(1), ref=ref)).unionAll(files.rows(df, 3, **kid, kind=F.lit(1), ord=F.lit(1), ref=ref)) if apart else rows
+
+    return of
+
+
+def test_a_node_brings_its_references_along(spark, tmp_path):
+    of, df = parts(30), spark.range(30)
+    files.write(of(df, "a.mps").unionAll(of(df, "b.mps", apart=True)), str(tmp_path / "out"))
+    a, b = (tmp_path / "out/a.mps").read_text(), (tmp_path / "out/b.mps").read_text()
+    assert a == b and a.count("<ref ") == 60
+
+
+def test_a_file_is_printed_in_shares(spark, tmp_path, monkeypatch):
+    """By several tasks, in pieces: each root's text is whole, and what surrounds the roots is there once, with a share that has no root too."""
+    of, df = parts(40), spark.range(40)
+    files.write(of(df, "a.mps"), str(tmp_path / "one"))
+    rows = of(df, "a.mps").unionAll(of(df.limit(1), "b.mps")).unionAll(files.rows(df.limit(1), 0, file=F.lit("a.msd"), text=F.lit("<solution />")))
+    files.write(rows, str(tmp_path / "some"), shares=5)
+    assert (tmp_path / "some/a.msd").read_text() == "<solution />"
+    one, some = (tmp_path / "one/a.mps").read_text(), (tmp_path / "some/a.mps").read_text()
+    first = one.index("  <node")
+    assert one != some and some.startswith(one[:first]) and some.endswith("  </node>\n</model>\n\n")
+    split = lambda t: sorted(t[first:].removesuffix("</model>\n\n").split("\n  </node>\n"))
+    assert split(one) == split(some) and some.count("</model>") == some.count("<?xml") == 1
+    assert (tmp_path / "some/b.mps").read_text().count("<node") == 2
+
+
+def test_roots_as_entries_of_archives(spark, tmp_path, monkeypatch):
+    """Files of a jar come as its entries, larger ones are unpacked as they are parsed; all archives of a module count if all are kept."""
+    from sylvan.sources import repository
+
+    monkeypatch.setattr(repository, "HELD", 100)
+    df, rows = spark.range(20), None
+    for jar, ids in (("j1", df.where("id < 8")), ("j2", df.where("id >= 8"))):
+        own = parts(20)(ids, f"s/{jar}.jar!/models/m.mps").unionAll(files.rows(df.limit(1), 0, file=F.lit(f"s/{jar}.jar!/a.msd"), text=F.lit('<solution name="a" uuid="u" />')))
+        rows = own if rows is None else rows.unionAll(own)
+    files.write(rows, str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out/s")) == ["j1.jar", "j2.jar"]
+    for repo in (Repository(spark, str(tmp_path / "out"), keep_all=True), Repository(spark, str(tmp_path / "out"), keep_all=True).snapshot(str(tmp_path / "kept"))):
+        assert repo.errors.count() == 0 and repo.nodes.count() == 40 and repo.node_refs.count() == 40 and repo.models.count() == 2
+        assert {r.node_id for r in repo.nodes.where("depth = 0").collect()} == {f"k{k}" for k in range(20)}
