@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .graph import Rounds
 
+#: Nodes of a root that a node is held against on the average, and nodes of the largest root, up to which a root's nodes are simply joined; beyond, bins.
+TRIED, ROOT = 256, 1 << 16
+
 
 def children(nodes: DataFrame, role: str | None = None) -> DataFrame:
     """parent_id, node_id of child nodes, of one role or all."""
@@ -57,6 +60,14 @@ def within(nodes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
 def descendants(numbered: DataFrame) -> DataFrame:
     """ancestor_id, node_id by interval containment.  The numbers are written once, as both sides and the sizes of spans are taken from them."""
     numbered = Rounds(numbered.sparkSession, "tree").keep(numbered.select("model_id", "root_id", "node_id", "pre", "last"))
-    a = numbered.select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
-    nodes = numbered.select("model_id", "root_id", "node_id", F.col("pre").cast("long").alias("pre"))
-    return within(nodes, a, ["model_id", "root_id"]).select("model_id", "ancestor_id", "node_id")
+    long = numbered.select("model_id", "root_id", "node_id", F.col("pre").cast("long").alias("pre"), F.col("last").cast("long").alias("last"))
+    roots = numbered.groupBy("model_id", "root_id").agg(F.count("*").alias("n"))
+    tried, most = roots.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n"), F.max("n")).first()
+    if (tried or 0) <= TRIED and (most or 0) <= ROOT:
+        # Both sides have the same columns, so that one shuffle does for both; what lies in a node ends in it.
+        a = long.withColumnsRenamed({"node_id": "ancestor_id", "pre": "low", "last": "high"})
+        found = long.join(a, ["model_id", "root_id"]).where("pre > low and pre <= high and last <= high")
+    else:
+        a = long.select("model_id", "root_id", F.col("node_id").alias("ancestor_id"), F.col("pre").alias("low"), F.col("last").alias("high"))
+        found = within(long.drop("last"), a, ["model_id", "root_id"])
+    return found.select("model_id", "ancestor_id", "node_id")
