@@ -32,7 +32,7 @@ FORMAT = "model_repository"
 BATCH_ROWS = 4096
 OPEN_COST = 256 << 10
 #: Bytes that a task parses, and that an archive's part has unpacked.
-SHARE = 64 << 20
+SHARE = 16 << 20
 #: Bytes that one of an archive is taken to unpack to.
 PACKED = 8
 #: Bytes of an archive's entry that are read at once; a larger one is unpacked as it is parsed.
@@ -78,6 +78,8 @@ class RepositoryReader(DataSourceReader):
         self.wanted = set(TABLES)
         self.task_bytes = int(options.get("task_bytes", SHARE))
         self.tests: list[tuple[str, tuple]] = []  # of files: a method of str, and values of which one has to hold
+        if "beginnings" in options:
+            self.tests.append(("startswith", tuple(json.loads(options["beginnings"]))))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -254,15 +256,30 @@ class Repository(Questions):
     models with one id the first found stays, unless ``keep_all``.
     """
 
-    def __init__(self, spark: SparkSession, *paths: str, keep_all: bool = False, raw: DataFrame | None = None):
-        self.spark, self.paths, self.keep_all, self._raw = spark, paths, keep_all, raw
+    def __init__(self, spark: SparkSession, *paths: str, keep_all: bool = False, raw: DataFrame | None = None, only: list[str] | None = None):
+        self.spark, self.paths, self.keep_all, self._raw, self._only = spark, paths, keep_all, raw, only
         spark.dataSource.register(RepositorySource)
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
     def scan(self, **options: str) -> DataFrame:
         """All that is read, a row each; filters of table and file decide what is."""
+        if self._only is not None:
+            options["beginnings"] = json.dumps(self._only)
         return self.spark.read.format(FORMAT).options(paths=json.dumps(self.paths), **options).load()
 
+    def of_model(self, model_id: str) -> Repository:
+        """The repository of the files and archives that have something of a model, and its module's descriptor; they may have other models too.
+
+        Models are read up to their first nodes to find these.  What comes to the driver are paths of one model.
+        """
+        own = self.models.where(F.col("model_id") == model_id).select("module_id", "source", "persistency").distinct()
+        packed = F.regexp_extract("source", "^jar:file:(.*?)!/", 1)
+        plain = own.where(packed == "")
+        homes = self.modules.join(plain, "module_id", "left_semi").where("jar is null").select("path")
+        begin = plain.select(F.when(F.col("persistency") == "file_per_root", F.concat("source", F.lit("/"))).otherwise(F.col("source")))
+        files = [r[0] for r in own.where(packed != "").select(packed).unionAll(begin).unionAll(homes).distinct().collect()]
+        return Repository(self.spark, *self.paths, keep_all=self.keep_all, only=files)
+
     def table(self, name: str) -> DataFrame:
         """A table as read, before duplicates go."""
         raw = self._raw if self._raw is not None else self.scan()
@@ -299,6 +316,9 @@ class Repository(Questions):
         """The tables ``files`` and ``errors`` of what is there now, written to a folder; fresh is what has no equal fingerprint before."""
         rounds = graph.Rounds(self.spark, "listing")
         found = found_files(self.spark, self.paths, rounds)
+        if self._only is not None:
+            begins = F.exists(F.array(*map(F.lit, self._only)).cast("array<string>"), lambda b: F.col("path").startswith(b))
+            found = found.where(begins | F.col("wrong").isNotNull())
         known = items(found, rounds).withColumn("item", F.to_json(F.struct(*[part.split(" ")[0] for part in ITEM.split(", ")])))
         if before is None:
             known = known.withColumn("fresh", F.lit(True))

@@ -19,7 +19,7 @@ def root_rows(repo: Repository, file: F.Column, only: F.Column | None = None) ->
     A root's head brings the imports and the registry of the file that it was read from, so these take no rows of their own.
     """
     nodes = repo.nodes if only is None else repo.nodes.where(only)
-    heads = nodes.where("parent_id is null").join(repo.models.select("model_id", F.col("name").alias("model_name")), "model_id")
+    heads = nodes.where("parent_id is null").join(repo.models.select("model_id", "source", F.col("name").alias("model_name")), ["model_id", "source"])
     pack = lambda ddl: F.struct(*[part.split(":")[0] for part in ddl.removeprefix("struct<").replace("map<string,string>", "").removesuffix(">").split(", ")])
     listed = lambda df, ddl, name: df.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", pack(ddl).alias("row")))), lambda x: x["row"]).alias(name))
     heads = heads.join(listed(repo.model_imports, files.IMPORT, "imports"), "path", "left").join(listed(repo.registry, files.REGISTRY, "concepts"), "path", "left")
