@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves none of its shuffles on disk; else these stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Rounds:
     """Tables of one run, written and read back."""
 
@@ -40,7 +54,8 @@ class Rounds:
         path = f"{self.folder}/{self.made}"
         self.made += 1
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(hits)).alias("hits")).write.parquet(path)
+        with freed(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(hits)).alias("hits")).write.parquet(path)
         if gone is not None:
             self.drop(gone)
         out = self.spark.read.schema(df.schema).parquet(path)
