@@ -49,13 +49,15 @@ class Rounds:
         self.folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 
-    def keep(self, df: DataFrame, gone: DataFrame | None = None, hits: str = "false") -> DataFrame:
-        """The table as written, with ``rows`` and how many of them are ``hits``, counted on the way; another one that no later round reads is removed."""
+    def keep(self, df: DataFrame, gone: DataFrame | None = None, hits: str = "false", by: str | None = None) -> DataFrame:
+        """The table as written, with ``rows`` and how many of them are ``hits``, counted on the way; another one that no later round reads is removed.
+        Rows of one value of ``by``, of which there are few, are found without reading others."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
         seen = Observation()
         with freed(self.spark):
-            df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(hits)).alias("hits")).write.parquet(path)
+            out = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(hits)).alias("hits")).write
+            (out.partitionBy(by) if by else out).parquet(path)
         if gone is not None:
             self.drop(gone)
         out = self.spark.read.schema(df.schema).parquet(path)

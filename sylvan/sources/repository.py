@@ -10,13 +10,18 @@ from __future__ import annotations
 import io
 import json
 import os
+import posixpath
+import uuid
 import zipfile
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import accumulate
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
@@ -25,10 +30,13 @@ from pyspark.sql.types import StructType
 from ..operators import graph, tree
 from ..operators.questions import Questions
 from . import binary_models, xml_models
+from .files import FilesWriter, Written
 from .listing import ARCHIVE, BINARY, HEADER, ITEM, LANGUAGE, ROOT, SINGLE, SOLUTION, Item, classify, divided, entries, found_files, items, listing, opened
-from .rows import MODULE_TABLES, SCHEMA, TABLES, struct
+from .rows import HEAD_TABLES, MODULE_TABLES, SCHEMA, TABLES, struct
 
-FORMAT = "model_repository"
+FORMAT, KEPT = "model_repository", "model_snapshot"
+#: Bytes of a table's rows that a task holds before it writes them.
+GROUP_BYTES = 16 << 20
 BATCH_ROWS = 4096
 OPEN_COST = 256 << 10
 #: Bytes that a task parses, and that an archive's part has unpacked.
@@ -185,6 +193,21 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([("table", pa.string()), ("file", pa.string()), *structs])
 
 
+def _table_batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Rows of each table for itself: the file and the table's struct."""
+    full, held = _arrow_schema(), defaultdict(list)
+    schemas = {t: pa.schema([full.field("file"), full.field(t)]) for t in TABLES}
+    for file, table, row in rows:
+        if isinstance(row, xml_models.Columns):
+            yield table, _column_batch(schemas[table], file, table, row)
+            continue
+        held[table].append({"file": file, table: row})
+        if len(held[table]) >= BATCH_ROWS:
+            yield table, pa.RecordBatch.from_pylist(held.pop(table), schemas[table])
+    for table, some in held.items():
+        yield table, pa.RecordBatch.from_pylist(some, schemas[table])
+
+
 def _batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iterator[pa.RecordBatch]:
     schema, held, small, load = _arrow_schema(), [], [], 0
     for file, table, row in rows:
@@ -230,12 +253,61 @@ def _divide_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_pylist([{"top": top, "item": json.dumps(run._asdict()), "size": run.size} for run in runs], schema)
 
 
-def _parse_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All tables but ``files`` of the listed files (top, item)."""
-    for batch in batches:
-        for top, item in zip(batch.column("top").to_pylist(), batch.column("item").to_pylist()):
-            reader = RepositoryReader({"paths": "[]"})
-            yield from _batches(reader.parsed(Task(top, [Item(**json.loads(item))], [])))
+class SnapshotSource(DataSource):
+    """Takes listed files (top, item), parses them and keeps their tables as Parquet, a directory for each below the option ``path``; rows don't pass through Spark
+    on their way, where each would have the columns of all tables.  Option ``tables`` (JSON list): those that are kept."""
+
+    @classmethod
+    def name(cls) -> str:
+        return KEPT
+
+    def schema(self) -> str:
+        return "top string, item string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> SnapshotWriter:
+        return SnapshotWriter(self.options["path"], overwrite, json.loads(self.options["tables"]))
+
+
+class SnapshotWriter(FilesWriter):
+    """A task writes a file for each table, below the staging folder until the commit."""
+
+    def __init__(self, path: str, overwrite: bool, tables: list[str]):
+        super().__init__(path, overwrite)
+        self.tables = tables
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        filesystem, staging = arrow_fs.FileSystem.from_uri(self.staging)
+        own = f"{staging}/{uuid.uuid4().hex[:12]}"
+        filesystem.create_dir(own, recursive=True)
+        reader, writers, held = RepositoryReader({"paths": "[]"}), {}, {}
+        reader.wanted &= set(self.tables)
+
+        def flush(table: str) -> None:
+            rows = pa.Table.from_batches(held.pop(table)[0])
+            if table not in writers:
+                name = f"table={table}/part-{posixpath.basename(own)}.zstd.parquet"
+                filesystem.create_dir(f"{own}/table={table}", recursive=True)
+                out = filesystem.open_output_stream(f"{own}/{name}")
+                writers[table] = name, out, parquet.ParquetWriter(out, rows.schema, compression="zstd")
+            writers[table][2].write_table(rows)
+
+        for batch in iterator:
+            for top, item in zip(batch.column("top").to_pylist(), batch.column("item").to_pylist()):
+                parsed = reader.parsed(Task(top, [Item(**json.loads(item))], []))
+                for table, rows in _table_batches((file, table, row) for file, table, row in parsed if table in reader.wanted):
+                    some = held.setdefault(table, ([], []))
+                    some[0].append(rows)
+                    some[1].append(rows.nbytes)
+                    if sum(some[1]) >= GROUP_BYTES:
+                        flush(table)
+        for table in list(held):
+            flush(table)
+        with filesystem.open_output_stream(f"{own}.files") as listed:
+            for name, out, writer in writers.values():
+                writer.close()
+                out.close()
+                listed.write(f"{name}\n".encode())
+        return Written(own)
 
 
 def _keep(rows: DataFrame, folder: str) -> None:
@@ -267,15 +339,16 @@ class Repository(Questions):
             options["beginnings"] = json.dumps(self._only)
         return self.spark.read.format(FORMAT).options(paths=json.dumps(self.paths), **options).load()
 
-    def of_model(self, model_id: str) -> Repository:
+    def of_model(self, model_id: str, heads: Repository | None = None) -> Repository:
         """The repository of the files and archives that have something of a model, and its module's descriptor; they may have other models too.
 
-        Models are read up to their first nodes to find these.  What comes to the driver are paths of one model.
+        Models are read up to their first nodes to find these, or ``heads`` has been kept.  What comes to the driver are paths of one model.
         """
-        own = self.models.where(F.col("model_id") == model_id).select("module_id", "source", "persistency").distinct()
+        heads = heads or self
+        own = heads.models.where(F.col("model_id") == model_id).select("module_id", "source", "persistency").distinct()
         packed = F.regexp_extract("source", "^jar:file:(.*?)!/", 1)
         plain = own.where(packed == "")
-        homes = self.modules.join(plain, "module_id", "left_semi").where("jar is null").select("path")
+        homes = heads.modules.join(plain, "module_id", "left_semi").where("jar is null").select("path")
         begin = plain.select(F.when(F.col("persistency") == "file_per_root", F.concat("source", F.lit("/"))).otherwise(F.col("source")))
         files = [r[0] for r in own.where(packed != "").select(packed).unionAll(begin).unionAll(homes).distinct().collect()]
         return Repository(self.spark, *self.paths, keep_all=self.keep_all, only=files)
@@ -287,12 +360,17 @@ class Repository(Questions):
 
     # --- snapshots ---
 
-    def snapshot(self, folder: str) -> Repository:
-        """Parses everything once and keeps it as Parquet, a directory for each table.  Tasks list, and what they find is dealt by size."""
+    def snapshot(self, folder: str, tables: set[str] = frozenset(TABLES)) -> Repository:
+        """Parses everything once and keeps it as Parquet, a directory for each table, or for some ``tables``.  Tasks list, and what they find is dealt by size."""
         listed = self._list(f"{folder.rstrip('/')}-listed", None)
-        _keep(listed.unionByName(self._parse(listed)), folder)
+        _keep(listed, folder)
+        self._parse(listed, folder, tables)
         return self.of_snapshot(self.spark, folder, *self.paths, keep_all=self.keep_all)
 
+    def heads(self, folder: str) -> Repository:
+        """A snapshot of all but nodes, references and registries: files are parsed up to their first nodes, all at once for all tables."""
+        return self if self._raw is not None else self.snapshot(folder, HEAD_TABLES)
+
     @classmethod
     def of_snapshot(cls, spark: SparkSession, folder: str, *paths: str, keep_all: bool = False) -> Repository:
         return cls(spark, *paths, keep_all=keep_all, raw=spark.read.schema(SCHEMA).parquet(folder))
@@ -306,7 +384,8 @@ class Repository(Questions):
         part = f"{new.rstrip('/')}-parsed"
         before = self.spark.read.schema(SCHEMA).parquet(old)
         listed = self._list(f"{part}-listed", before)
-        _keep(listed.unionByName(self._parse(listed)), part)
+        _keep(listed, part)
+        self._parse(listed, part)
         parsed = self.spark.read.schema(SCHEMA).parquet(part)
         same = listed.where("table = 'files' and not files.fresh").select("file")
         _keep(before.where("table <> 'files'").join(same, "file", "left_semi").unionByName(parsed), new)
@@ -331,15 +410,18 @@ class Repository(Questions):
         blank("files", known).unionByName(blank("errors", wrong)).write.partitionBy("table").parquet(folder)
         return self.spark.read.schema(SCHEMA).parquet(folder)
 
-    def _parse(self, listed: DataFrame) -> DataFrame:
-        """All tables but ``files`` of the fresh files; archives larger than a task's share are dealt by their entries."""
+    def _parse(self, listed: DataFrame, folder: str, tables: set[str] = frozenset(TABLES)) -> None:
+        """Keeps all tables but ``files`` of the fresh files; archives larger than a task's share are dealt by their entries."""
         fresh = listed.where("table = 'files' and files.fresh").select("files.top", "files.item", "files.size", "files.path")
         large = F.col("path").endswith(ARCHIVE) & (F.col("size") > SHARE)
         pieces = fresh.where(~large).drop("path").unionAll(fresh.where(large).drop("path").repartition("item").mapInArrow(_divide_listed, "top string, item string, size long"))
         pieces = graph.Rounds(self.spark, "pieces").keep(pieces)
         whole = (F.get_json_object("item", "$.kind") == ARCHIVE) & F.get_json_object("item", "$.last").isNull()
         bytes_ = pieces.agg(F.sum(F.when(whole, F.col("size") * PACKED).otherwise(F.col("size")) + OPEN_COST)).first()[0] or 0
-        return pieces.repartition(1 + int(bytes_ // SHARE), "item").select("top", "item").mapInArrow(_parse_listed, SCHEMA)
+        self.spark.dataSource.register(SnapshotSource)
+        dealt = pieces.repartition(1 + int(bytes_ // SHARE), "item").select("top", "item")
+        with graph.freed(self.spark):
+            dealt.write.format(KEPT).options(path=folder, tables=json.dumps(sorted(set(tables) - {"files"}))).mode("append").save()
 
     # --- tables ---
 

@@ -18,6 +18,7 @@ TABLES = {
 #: What a scan of modules alone, or of models without their nodes, has to read.
 MODULE_TABLES = {"modules", "module_deps"}
 NODE_TABLES = {"nodes", "node_refs"}
+HEAD_TABLES = {*MODULE_TABLES, "models", "model_imports", "model_languages", "errors"}
 
 
 def struct(ddl: str) -> str:

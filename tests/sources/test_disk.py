@@ -38,9 +38,9 @@ def test_a_repository_is_written_some_files_at_a_time(spark, monkeypatch):
     want = sorted_rows(queries._written(f).nodes.drop("source", "path"))
     monkeypatch.setattr(queries, "_ROUND_NODES", 1000)
     ran, write = [], files.write
-    monkeypatch.setattr(files, "write", lambda df, folder, **how: (ran.append(how["rounds"]), write(df, folder, **how)))
+    monkeypatch.setattr(files, "write", lambda df, folder: (ran.append(folder), write(df, folder)))
     repo = queries._written(f)
-    assert ran == [queries._MOST_ROUNDS] and sorted_rows(repo.nodes.drop("source", "path")) == want and repo.errors.count() == 0
+    assert len(ran) == queries._MOST_ROUNDS and sorted_rows(repo.nodes.drop("source", "path")) == want and repo.errors.count() == 0
 
 
 def test_odd_names_and_values(spark, tmp_path):
@@ -74,3 +74,18 @@ def test_a_node_without_the_one_above_it(spark, tmp_path):
     node = F.struct(F.lit(1).alias("depth"), F.lit("k").alias("node_id"), F.lit("C").alias("concept"), F.lit(None).cast("string").alias("role"), F.create_map().cast("map<string,string>").alias("props"))
     with pytest.raises(Exception, match="a node without the one above it"):
         files.write(files.rows(spark.range(1), 3, file=F.lit("f"), node=node), str(tmp_path / "out"))
+
+
+@there
+def test_heads_are_read_once(spark, tmp_path):
+    """Modules, models and imports each took scans of all files, and what was parsed went through rows with the columns of all tables."""
+    repo = queries._written(Forest(spark, DATA))
+    kept = repo.heads(str(tmp_path / "heads"))
+    assert kept.heads("nowhere") is kept and "BatchScan" not in kept.loaded_imports()._jdf.queryExecution().toString()
+    assert kept.table("nodes").count() == kept.table("node_refs").count() == kept.table("registry").count() == 0
+    for name in ("modules", "module_deps", "models", "model_imports"):
+        assert sorted_rows(kept.table(name)) == sorted_rows(repo.table(name))
+    all_ = repo.snapshot(str(tmp_path / "all"))
+    assert sorted_rows(all_.table("node_refs")) == sorted_rows(repo.table("node_refs")) and sorted_rows(all_.table("nodes")) == sorted_rows(repo.table("nodes"))
+    assert {tuple(spark.read.parquet(f).columns) for f in glob.glob(str(tmp_path / "all/table=nodes/*.parquet"))} == {("file", "nodes")}
+    assert os.listdir(tmp_path) and not [n for n in os.listdir(tmp_path) if ".staging-" in n]
