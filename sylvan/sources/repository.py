@@ -17,7 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -32,7 +32,7 @@ from ..operators.questions import Questions
 from . import binary_models, xml_models
 from .files import FilesWriter, Written
 from .listing import ARCHIVE, BINARY, HEADER, ITEM, LANGUAGE, ROOT, SINGLE, SOLUTION, Item, classify, divided, entries, found_files, items, listing, opened
-from .rows import HEAD_TABLES, MODULE_TABLES, SCHEMA, TABLES, struct
+from .rows import HEAD_TABLES, MODEL_TABLES, MODULE_TABLES, SCHEMA, TABLES, struct
 
 FORMAT, KEPT = "model_repository", "model_snapshot"
 #: Bytes of a table's rows that a task holds before it writes them.
@@ -43,7 +43,7 @@ OPEN_COST = 256 << 10
 SHARE = 16 << 20
 #: Bytes that one of an archive is taken to unpack to.
 PACKED = 8
-#: Bytes of an archive's entry that are read at once; a larger one is unpacked as it is parsed.
+#: Bytes of an archive, or of its entry, that are read at once; a larger entry is unpacked as it is parsed.
 HELD = 4 << 20
 
 
@@ -58,6 +58,7 @@ class Task(InputPartition):
 
 class RepositorySource(DataSource):
     """Options: ``paths`` (JSON list) and ``task_bytes``, the share of a task; archives larger than it are dealt by their entries.
+    With ``table`` and its ``columns`` (JSON list) rows have these alone, not the columns of all tables.
 
     Filters of ``table`` and ``file`` (the path of a model file, descriptor or archive) reach the reader: equal to, in, and for files their
     beginnings and endings.  They decide which files become tasks and which parts of them are parsed.  As Spark has it, filters are pushed into
@@ -69,12 +70,21 @@ class RepositorySource(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return SCHEMA
+        return _ddl(self.options["table"], json.loads(self.options["columns"])) if "table" in self.options else SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return RepositoryReader(dict(self.options))
 
 
+def _columns(table: str) -> list[str]:
+    return [part.split(" ")[0] for part in TABLES[table].split(", ")]
+
+
+def _ddl(table: str, columns: list[str]) -> str:
+    kinds = dict(part.split(" ") for part in TABLES[table].split(", "))
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
 def _parsed_bytes(item: Item) -> int:
     """An archive's part has its unpacked size already."""
     return item.size * PACKED if item.kind == ARCHIVE and item.last is None else item.size
@@ -83,7 +93,9 @@ def _parsed_bytes(item: Item) -> int:
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"])
-        self.wanted = set(TABLES)
+        self.own = (options["table"], json.loads(options["columns"])) if "table" in options else None
+        self.wanted = {self.own[0]} if self.own else set(TABLES)
+        self.heads: xml_models.Heads = {}
         self.task_bytes = int(options.get("task_bytes", SHARE))
         self.tests: list[tuple[str, tuple]] = []  # of files: a method of str, and values of which one has to hold
         if "beginnings" in options:
@@ -113,6 +125,7 @@ class RepositoryReader(DataSourceReader):
             kept = [i for i in classify(files, nth) if self._keeps(i.path)]
             if self.wanted <= MODULE_TABLES:
                 kept = [i for i in kept if i.kind in (SOLUTION, LANGUAGE, ARCHIVE)]
+            kept = [i for i in kept if not self._mute(i)]
             if not self.wanted & (MODULE_TABLES | {"errors", "files"}):
                 kept = [i for i in kept if i.kind not in (SOLUTION, LANGUAGE)]
             opens = not self.wanted <= {"files"}
@@ -131,7 +144,12 @@ class RepositoryReader(DataSourceReader):
         return tasks or [Task("", [], [])]
 
     def read(self, task: Task) -> Iterator[pa.RecordBatch]:
-        yield from _batches((file, table, row) for file, table, row in self._rows(task) if table in self.wanted)
+        rows = ((file, table, row) for file, table, row in self._rows(task) if table in self.wanted)
+        yield from _own_batches(rows, *self.own) if self.own else _batches(rows)
+
+    def _mute(self, item: Item) -> bool:
+        """Whether a file has nothing that is wanted: of a directory's roots only one speaks for the model."""
+        return item.kind == ROOT and not item.lead and self.wanted <= MODEL_TABLES
 
     def _rows(self, task: Task) -> Iterator[tuple[str, str, dict]]:
         for path, stage, message in task.complaints:
@@ -145,6 +163,8 @@ class RepositoryReader(DataSourceReader):
     def parsed(self, task: Task) -> Iterator[tuple[str, str, dict]]:
         filesystem = opened(task.top)[0] if task.items else None
         for item in task.items:
+            if self._mute(item):
+                continue
             try:
                 with filesystem.open_input_file(item.path) as f:
                     if item.kind == ARCHIVE:
@@ -158,10 +178,10 @@ class RepositoryReader(DataSourceReader):
 
     def _archive(self, f, jar: Item) -> Iterator[xml_models.Row]:
         """Entries of an archive, or of its part; one without descriptors is passed over after a look at its directory."""
-        z, inside = entries(f, jar)
+        z, inside = entries(io.BytesIO(f.read()) if f.size() <= HELD else f, jar)
         with z:
             for item in inside[jar.first or 0 : jar.last]:
-                if self.wanted <= MODULE_TABLES and item.kind not in (SOLUTION, LANGUAGE):
+                if self.wanted <= MODULE_TABLES and item.kind not in (SOLUTION, LANGUAGE) or self._mute(item):
                     continue
                 prefix = f"jar:file:{jar.path}!/"
                 placed = item._replace(dir=prefix + (item.dir or ""), source=item.source and prefix + item.source)
@@ -175,8 +195,14 @@ class RepositoryReader(DataSourceReader):
             if item.kind == BINARY:
                 yield from binary_models.model(f.read(), place)
                 return
-            xml_models.check(f)
-            if item.kind in (SOLUTION, LANGUAGE):
+            small = item.size <= xml_models.TREE and item.kind not in (SOLUTION, LANGUAGE)
+            rows = xml_models.small_model(f.read(), place, self.wanted, self.heads) if small else None
+            if rows is None:
+                f.seek(0)
+                xml_models.check(f)
+            if rows is not None:
+                yield from rows
+            elif item.kind in (SOLUTION, LANGUAGE):
                 yield from xml_models.descriptor(f, place)
             else:
                 yield from xml_models.model(f, place, self.wanted)
@@ -228,6 +254,51 @@ def _batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]]) -> Iter
         yield _joined(small)
 
 
+def _own_batches(rows: Iterator[tuple[str, str, dict | xml_models.Columns]], table: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of one table with some of its columns; files of few nodes share a batch."""
+    full = _arrow_schema().field(table).type
+    schema = pa.schema([full.field(c) for c in columns])
+    held, load = {c: [] for c in columns}, 0
+
+    def taken() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.MapArray.from_arrays(*_map_parts(held[f.name])) if pa.types.is_map(f.type) else pa.array(held[f.name], f.type) for f in schema], schema=schema)
+        for values in held.values():
+            values.clear()
+        return batch
+
+    for _, _, row in rows:
+        if isinstance(row, xml_models.Columns):
+            n = len(row.rows)
+            lists = dict(zip(row.names, zip(*row.rows)))
+            for c, values in held.items():
+                if c == "props":
+                    values.append((row.sizes, *row.entries))
+                elif c in row.same:
+                    values += [row.same[c]] * n
+                else:
+                    values += lists[c]
+            load += n
+        else:
+            for c, values in held.items():
+                value = row.get(c)
+                if c == "props":
+                    value = dict(value or ())
+                    value = [len(value)], list(value), list(value.values())
+                values.append(value)
+            load += 1
+        if load >= BATCH_ROWS:
+            yield taken()
+            load = 0
+    if load:
+        yield taken()
+
+
+def _map_parts(parts: list[tuple[list, list, list]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Offsets, keys and values of a map column from its rows' numbers of entries, their keys and their values."""
+    sizes, keys, values = [list(chain.from_iterable(p)) for p in zip(*parts)]
+    return pa.array(list(accumulate(sizes, initial=0)), pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
+
+
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
@@ -353,10 +424,12 @@ class Repository(Questions):
         files = [r[0] for r in own.where(packed != "").select(packed).unionAll(begin).unionAll(homes).distinct().collect()]
         return Repository(self.spark, *self.paths, keep_all=self.keep_all, only=files)
 
-    def table(self, name: str) -> DataFrame:
-        """A table as read, before duplicates go."""
-        raw = self._raw if self._raw is not None else self.scan()
-        return raw.where(F.col("table") == name).select(f"{name}.*")
+    def table(self, name: str, *columns: str) -> DataFrame:
+        """A table as read, or some of its columns, before duplicates go."""
+        columns = columns or _columns(name)
+        if self._raw is None:
+            return self.scan(table=name, columns=json.dumps(columns))
+        return self._raw.where(F.col("table") == name).select(*[F.col(f"{name}.{c}") for c in columns])
 
     # --- snapshots ---
 
@@ -367,9 +440,13 @@ class Repository(Questions):
         self._parse(listed, folder, tables)
         return self.of_snapshot(self.spark, folder, *self.paths, keep_all=self.keep_all)
 
+    @property
+    def kept(self) -> bool:
+        return self._raw is not None
+
     def heads(self, folder: str) -> Repository:
         """A snapshot of all but nodes, references and registries: files are parsed up to their first nodes, all at once for all tables."""
-        return self if self._raw is not None else self.snapshot(folder, HEAD_TABLES)
+        return self if self.kept else self.snapshot(folder, HEAD_TABLES)
 
     @classmethod
     def of_snapshot(cls, spark: SparkSession, folder: str, *paths: str, keep_all: bool = False) -> Repository:

@@ -17,6 +17,8 @@ TABLES = {
 
 #: What a scan of modules alone, or of models without their nodes, has to read.
 MODULE_TABLES = {"modules", "module_deps"}
+#: What the file that speaks for a model has to be read for, and no other.
+MODEL_TABLES = {*MODULE_TABLES, "models"}
 NODE_TABLES = {"nodes", "node_refs"}
 HEAD_TABLES = {*MODULE_TABLES, "models", "model_imports", "model_languages", "errors"}
 
